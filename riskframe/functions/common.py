@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -24,6 +25,20 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Keeps rule expressions small where a derived value (a host, a label) is
+    tested again and again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def alternation(terms: Iterable[str]) -> str:
+    """A pattern that matches any of the literals."""
+    return "(?:" + "|".join(re.escape(t) for t in terms) + ")"
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

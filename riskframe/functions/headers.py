@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
-from riskframe.functions.common import any_of, col, compact, contains_any, strip, text
+from riskframe.functions.common import alternation, any_of, col, compact, let, strip, text
 
 IP_CANDIDATES = (
     r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f:.]*:)[0-9A-Fa-f:.]+(?![0-9A-Za-z])"
@@ -40,49 +40,61 @@ def _cidr(network: str) -> tuple[int, int]:
 
 
 def _ipv4_class(c: Column) -> Column:
-    number = F.when(c.rlike(STRICT_IPV4), ipv4_number(c))
-    chain = F.when(number.isNull(), "INVALID")
-    for name, networks in lx.IPV4_CLASSES:
-        chain = chain.when(any_of(number.between(*_cidr(n)) for n in networks), name)
-    return chain.otherwise("PUBLIC")
+    def rate(number: Column) -> Column:
+        chain = F.when(number.isNull(), "INVALID")
+        for name, networks in lx.IPV4_CLASSES:
+            chain = chain.when(any_of(number.between(*_cidr(n)) for n in networks), name)
+        return chain.otherwise("PUBLIC")
+
+    return let(F.when(c.rlike(STRICT_IPV4), ipv4_number(c)), rate)
 
 
 def ipv6_digits(c: Column) -> Column:
     """The 32 hex digits of an IPv6 literal, NULL when it is not one."""
-    lower = F.lower(c)
-    tail = F.regexp_extract(lower, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    number = ipv4_number(tail)
-    head = F.substring(lower, F.lit(1), F.length(lower) - F.length(tail))
-    as_groups = F.concat(head, F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
-    base = (
-        F.when(tail == "", lower)
-        .when(tail.rlike(STRICT_IPV4), as_groups)
-    )
-    halves = F.split(base, "::", -1)
+    def plain(lower: Column) -> Column:
+        # A trailing dotted quad becomes two hex groups.
+        def rewrite(tail: Column) -> Column:
+            number = ipv4_number(tail)
+            head = F.substring(lower, F.lit(1), F.length(lower) - F.length(tail))
+            groups = F.concat(head, F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
+            return F.when(tail == "", lower).when(tail.rlike(STRICT_IPV4), groups)
+
+        return let(F.regexp_extract(lower, r":(\d+\.\d+\.\d+\.\d+)$", 1), rewrite)
+
     groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
-    left = groups(halves[0])
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    used = F.size(left) + F.size(right)
-    fits = F.when(F.size(halves) == 2, used <= 7).otherwise(used == 8)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - used, F.lit(0))), right)
-    joined = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(base.rlike(IPV6_SHAPE) & fits, joined)
+
+    def fill(halves: Column) -> Column:
+        two = F.size(halves) == 2
+        sides = F.struct(
+            groups(halves[0]).alias("left"),
+            F.when(two, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("right"))
+
+        def join(s: Column) -> Column:
+            used = F.size(s["left"]) + F.size(s["right"])
+            fits = F.when(two, used <= 7).otherwise(used == 8)
+            filled = F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(8 - used, F.lit(0))), s["right"])
+            return F.when(fits, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+        return let(sides, join)
+
+    return let(let(F.lower(c), plain), lambda base: F.when(base.rlike(IPV6_SHAPE), let(F.split(base, "::", -1), fill)))
 
 
 def _ipv6_class(c: Column) -> Column:
-    digits = ipv6_digits(c)
-    mapped = digits.rlike("^0{20}ffff")
-    octets = [F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)]
-    chain = F.when(digits.isNull(), "INVALID").when(mapped, _ipv4_class(F.concat_ws(".", *octets)))
-    for name, pattern in IPV6_CLASSES:
-        chain = chain.when(digits.rlike(pattern), name)
-    return chain.otherwise("PUBLIC")
+    def rate(digits: Column) -> Column:
+        octets = [F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)]
+        chain = F.when(digits.isNull(), "INVALID").when(
+            digits.rlike("^0{20}ffff"), _ipv4_class(F.concat_ws(".", *octets)))
+        for name, pattern in IPV6_CLASSES:
+            chain = chain.when(digits.rlike(pattern), name)
+        return chain.otherwise("PUBLIC")
+
+    return let(ipv6_digits(c), rate)
 
 
 def ip_class(c: Column | str) -> Column:
     """LOOPBACK, LINK_LOCAL, PRIVATE, RESERVED, PUBLIC or INVALID, all in the JVM."""
-    value = strip(text(c))
-    return F.when(value.contains(":"), _ipv6_class(value)).otherwise(_ipv4_class(value))
+    return let(strip(text(c)), lambda v: F.when(v.contains(":"), _ipv6_class(v)).otherwise(_ipv4_class(v)))
 
 
 def ip_version(c: Column | str) -> Column:
@@ -107,47 +119,53 @@ def address_part(header: Column) -> Column:
 
 def infrastructure(ip: Column, org: Column | str) -> Column:
     """Kind of network behind an address, from its organisation text."""
-    lower = F.lower(text(org))
-    return (
-        F.when(contains_any(lower, lx.VPN_TERMS), "VPN_PROXY")
+    return let(F.lower(text(org)), lambda lower: (
+        F.when(lower.rlike(alternation(lx.VPN_TERMS)), "VPN_PROXY")
         .when(lower.rlike(r"\btor\b"), "TOR_EXIT")
-        .when(contains_any(lower, lx.CLOUD_TERMS), "DATACENTER_CLOUD")
-        .when(contains_any(lower, lx.HOSTING_TERMS), "HOSTING_PROVIDER")
+        .when(lower.rlike(alternation(lx.CLOUD_TERMS)), "DATACENTER_CLOUD")
+        .when(lower.rlike(alternation(lx.HOSTING_TERMS)), "HOSTING_PROVIDER")
         .when(ip_class(ip) != "PUBLIC", "INTERNAL_RESERVED")
         .when(lower != "", "RESIDENTIAL")
-        .otherwise("UNKNOWN")
-    )
+        .otherwise("UNKNOWN")))
 
 
 def parse_hop(header: Column | str) -> Column:
     """One ``Received`` header as a relay hop."""
-    raw = strip(text(header))
-    found = ip_candidates(address_part(raw))
-    public = F.filter(found, lambda r: r["ip_class"] == "PUBLIC")
-    chosen = F.coalesce(F.get(public, F.lit(0)), F.get(found, F.lit(0)))
-    host = lambda word: F.regexp_extract(raw, rf"(?i){word}\s+([^\s;()]+)", 1)
-    by = F.when(host("by") == "", "unknown").otherwise(host("by"))
-    kind = F.coalesce(chosen["ip_class"], F.lit("NONE"))
-    label = (
-        F.when(by == "unknown", "POSSIBLY_FORGED")
-        .when(contains_any(F.lower(by), lx.TRUSTED_MTAS), "TRUSTED_RELAY")
-        .when(~kind.isin("NONE", "PUBLIC"), "SUSPICIOUS_RELAY")
-        .otherwise("OBSERVED")
-    )
-    reason = (
-        F.when(label == "POSSIBLY_FORGED", F.lit("Missing 'by' MTA field in Received header syntax"))
-        .when(label == "TRUSTED_RELAY",
-              F.concat(F.lit("Received and signed by trusted major mail provider ("), by, F.lit(")")))
-        .when(label == "SUSPICIOUS_RELAY",
-              F.concat(F.lit("Hop claims non-routable "), kind, F.lit(" address in transmission path")))
-        .when(kind == "PUBLIC", "External routing infrastructure observed")
-        .otherwise("Standard relay hop observation")
-    )
-    return F.struct(
-        F.when(host("from") == "", "unknown").otherwise(host("from")).alias("from_host"),
-        by.alias("by_host"), chosen["ip"].alias("ip"), kind.alias("ip_class"),
-        label.alias("trust_label"), reason.alias("trust_reason"),
-    )
+    def facts(raw: Column) -> Column:
+        def choose(found: Column) -> Column:
+            public = F.filter(found, lambda r: r["ip_class"] == "PUBLIC")
+            return F.coalesce(F.get(public, F.lit(0)), F.get(found, F.lit(0)))
+
+        def host(word: str) -> Column:
+            return let(F.regexp_extract(raw, rf"(?i){word}\s+([^\s;()]+)", 1), lambda h: F.when(h == "", "unknown").otherwise(h))
+
+        return F.struct(
+            host("from").alias("from_host"), host("by").alias("by_host"),
+            let(ip_candidates(address_part(raw)), choose).alias("at"))
+
+    def label(f: Column) -> Column:
+        kind = F.coalesce(f["at"]["ip_class"], F.lit("NONE"))
+        trust = (
+            F.when(f["by_host"] == "unknown", "POSSIBLY_FORGED")
+            .when(F.lower(f["by_host"]).rlike(alternation(lx.TRUSTED_MTAS)), "TRUSTED_RELAY")
+            .when(~kind.isin("NONE", "PUBLIC"), "SUSPICIOUS_RELAY").otherwise("OBSERVED"))
+        return F.struct(f.alias("f"), kind.alias("kind"), trust.alias("trust"))
+
+    def explain(x: Column) -> Column:
+        f, kind, trust = x["f"], x["kind"], x["trust"]
+        reason = (
+            F.when(trust == "POSSIBLY_FORGED", F.lit("Missing 'by' MTA field in Received header syntax"))
+            .when(trust == "TRUSTED_RELAY", F.concat(
+                F.lit("Received and signed by trusted major mail provider ("), f["by_host"], F.lit(")")))
+            .when(trust == "SUSPICIOUS_RELAY", F.concat(
+                F.lit("Hop claims non-routable "), kind, F.lit(" address in transmission path")))
+            .when(kind == "PUBLIC", "External routing infrastructure observed")
+            .otherwise("Standard relay hop observation"))
+        return F.struct(
+            f["from_host"].alias("from_host"), f["by_host"].alias("by_host"), f["at"]["ip"].alias("ip"),
+            kind.alias("ip_class"), trust.alias("trust_label"), reason.alias("trust_reason"))
+
+    return let(let(let(strip(text(header)), facts), label), explain)
 
 
 # -- authentication --------------------------------------------------------
@@ -159,38 +177,31 @@ _DMARC = "pass|fail|bestguesspass|none|temperror|permerror"
 
 def parse_auth(header: Column | str) -> Column:
     """SPF, DKIM and DMARC verdicts with the derived authorization status."""
-    raw = text(header)
-    lower, absent = F.lower(raw), raw == ""
-
-    def status(name: str, values: str) -> Column:
-        found = F.upper(F.regexp_extract(lower, rf"{name}\s*=\s*({values})", 1))
-        return F.when(found == "", "UNKNOWN").when(found == "BESTGUESSPASS", "PASS").otherwise(found)
-
-    def raw_status(name: str, values: str) -> Column:
-        return F.upper(F.regexp_extract(lower, rf"{name}\s*=\s*({values})", 1))
-
-    def detail(name: str, values: str, pattern: str, missing: str) -> Column:
-        found = F.regexp_extract(lower, pattern, 1)
-        return (
-            F.when(absent, "No Authentication-Results header found")
-            .when(raw_status(name, values) == "", F.lit(missing))
-            .when(found == "", raw_status(name, values)).otherwise(strip(found) if name == "dkim" else found)
-        )
-
-    spf, dkim, dmarc = status("spf", _SPF), status("dkim", _DKIM), status("dmarc", _DMARC)
-    failed = (spf == "FAIL") | (dkim == "FAIL") | (dmarc == "FAIL")
-    passed = (spf == "PASS") & (dkim == "PASS") & (dmarc == "PASS")
-    return F.struct(
-        spf.alias("spf"), dkim.alias("dkim"), dmarc.alias("dmarc"),
-        detail("spf", _SPF, r"spf\s*=\s*\w+\s*\(([^)]+)\)",
-               "No SPF record evaluated in Authentication-Results").alias("spf_detail"),
-        detail("dkim", _DKIM, r"dkim\s*=\s*\w+\s*([^;]+)",
-               "No DKIM signature evaluated in Authentication-Results").alias("dkim_detail"),
-        detail("dmarc", _DMARC, r"dmarc\s*=\s*\w+\s*\(([^)]+)\)",
-               "No DMARC policy evaluated in Authentication-Results").alias("dmarc_detail"),
-        F.when(failed, "DOMAIN_UNAUTHORIZED").when(passed, "DOMAIN_AUTHORIZED")
-        .otherwise("PARTIAL_OR_UNAVAILABLE").alias("authorization"),
-    )
+    def read(lower: Column) -> Column:
+        def check(name: str, values: str, detail: str, missing: str) -> Column:
+            seen = F.struct(
+                F.upper(F.regexp_extract(lower, rf"{name}\s*=\s*({values})", 1)).alias("raw"),
+                strip(F.regexp_extract(lower, detail, 1)).alias("detail"))
+            return let(seen, lambda s: F.struct(
+                F.when(s["raw"] == "", "UNKNOWN").when(s["raw"] == "BESTGUESSPASS", "PASS").otherwise(s["raw"]).alias("status"),
+                F.when(lower == "", "No Authentication-Results header found").when(s["raw"] == "", F.lit(missing))
+                .when(s["detail"] == "", s["raw"]).otherwise(s["detail"]).alias("detail")))
+
+        return F.struct(
+            check("spf", _SPF, r"spf\s*=\s*\w+\s*\(([^)]+)\)", "No SPF record evaluated in Authentication-Results").alias("spf"),
+            check("dkim", _DKIM, r"dkim\s*=\s*\w+\s*([^;]+)", "No DKIM signature evaluated in Authentication-Results").alias("dkim"),
+            check("dmarc", _DMARC, r"dmarc\s*=\s*\w+\s*\(([^)]+)\)", "No DMARC policy evaluated in Authentication-Results").alias("dmarc"))
+
+    def decide(r: Column) -> Column:
+        statuses = F.array(*[r[n]["status"] for n in ("spf", "dkim", "dmarc")])
+        return F.struct(
+            *[r[n]["status"].alias(n) for n in ("spf", "dkim", "dmarc")],
+            *[r[n]["detail"].alias(f"{n}_detail") for n in ("spf", "dkim", "dmarc")],
+            F.when(F.array_contains(statuses, "FAIL"), "DOMAIN_UNAUTHORIZED")
+            .when(F.forall(statuses, lambda s: s == "PASS"), "DOMAIN_AUTHORIZED")
+            .otherwise("PARTIAL_OR_UNAVAILABLE").alias("authorization"))
+
+    return let(let(F.lower(text(header)), read), decide)
 
 
 def auth_status(header: Column | str, protocol: str) -> Column:
@@ -234,10 +245,14 @@ def header_map(c: Column | str) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(
         F.lower(strip(F.substring_index(x, ":", 1))).alias("k"),
         strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(
-        n.alias("k"),
-        F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), "").alias("v"))))
+
+    def merge(p: Column) -> Column:
+        names = F.array_distinct(F.transform(p, lambda e: e["k"]))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(
+            n.alias("k"),
+            F.array_join(F.transform(F.filter(p, lambda e: e["k"] == n), lambda e: e["v"]), "").alias("v"))))
+
+    return let(pairs, merge)
 
 
 def received_lines(c: Column | str) -> Column:
@@ -249,42 +264,44 @@ _ANY_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 
 def mobile_headers(c: Column | str) -> Column:
     """The simpler on-device reading of a raw header block."""
-    headers = header_map(c)
-    auth = F.coalesce(headers["authentication-results"], F.lit(""))
-    sender = F.coalesce(headers["from"], F.lit(""))
-
-    def status(name: str, values: str) -> Column:
-        found = F.upper(F.regexp_extract(auth, rf"(?i){name}=({values})", 1))
-        return F.when(found == "", "NONE").otherwise(found)
+    def status(auth: Column, name: str, values: str) -> Column:
+        return let(F.upper(F.regexp_extract(auth, rf"(?i){name}=({values})", 1)), lambda s: F.when(s == "", "NONE").otherwise(s))
 
     def mailbox(value: Column) -> Column:
-        inner = F.regexp_extract(value, r"<([^>]*)>", 1)
-        return F.lower(strip(F.when(inner != "", inner).otherwise(value)))
+        return let(F.regexp_extract(value, r"<([^>]*)>", 1), lambda inner: F.lower(strip(F.when(inner != "", inner).otherwise(value))))
 
     def domain(value: Column) -> Column:
         return F.when(value.contains("@"), strip(F.substring(value, F.instr(value, "@") + 1, F.length(value)))).otherwise("")
 
-    spf, dkim, dmarc = status("spf", "pass|fail|softfail|neutral|none"), status("dkim", "pass|fail|neutral|none"), status("dmarc", "pass|fail|none")
-    first_ips = F.transform(received_lines(c), lambda r: F.regexp_extract(r, rf"\b(?:{_ANY_OCTET}\.){{3}}{_ANY_OCTET}\b", 0))
-    routable = F.filter(first_ips, lambda ip: (ip != "") & ~ip.rlike(r"^(10\.|192\.168\.|127\.|172\.16\.)"))
-    box, reply = mailbox(sender), mailbox(F.coalesce(headers["reply-to"], F.lit("")))
-    return F.struct(
-        spf.alias("spf"), dkim.alias("dkim"), dmarc.alias("dmarc"),
-        F.get(routable, F.lit(0)).alias("originating_ip"), F.size(received_lines(c)).alias("hop_count"),
-        ((spf == "FAIL") | (dkim == "FAIL") | (dmarc == "FAIL")).alias("relay_suspicious"),
-        ((box != "") & (reply != "") & (domain(box) != domain(reply))).alias("reply_mismatch"),
-        sender.alias("sender"),
-    )
+    def read(h: Column) -> Column:
+        auth = F.coalesce(h["map"]["authentication-results"], F.lit(""))
+        sender = F.coalesce(h["map"]["from"], F.lit(""))
+        ips = F.transform(h["hops"], lambda r: F.regexp_extract(r, rf"\b(?:{_ANY_OCTET}\.){{3}}{_ANY_OCTET}\b", 0))
+        routable = F.filter(ips, lambda ip: (ip != "") & ~ip.rlike(r"^(10\.|192\.168\.|127\.|172\.16\.)"))
+        return F.struct(
+            status(auth, "spf", "pass|fail|softfail|neutral|none").alias("spf"),
+            status(auth, "dkim", "pass|fail|neutral|none").alias("dkim"), status(auth, "dmarc", "pass|fail|none").alias("dmarc"),
+            F.get(routable, F.lit(0)).alias("originating_ip"), F.size(h["hops"]).alias("hop_count"), sender.alias("sender"),
+            mailbox(sender).alias("box"), mailbox(F.coalesce(h["map"]["reply-to"], F.lit(""))).alias("reply"))
+
+    def decide(r: Column) -> Column:
+        failed = any_of(r[n] == "FAIL" for n in ("spf", "dkim", "dmarc"))
+        return F.struct(
+            *[r[n].alias(n) for n in ("spf", "dkim", "dmarc", "originating_ip", "hop_count")],
+            failed.alias("relay_suspicious"),
+            ((r["box"] != "") & (r["reply"] != "") & (domain(r["box"]) != domain(r["reply"]))).alias("reply_mismatch"),
+            r["sender"].alias("sender"))
+
+    facts = F.struct(header_map(c).alias("map"), received_lines(c).alias("hops"))
+    return let(let(facts, read), decide)
 
 
 def address_flags(c: Column | str) -> Column:
     """Version and boolean properties of an address."""
-    kind = ip_class(c)
-    return F.struct(
+    return let(ip_class(c), lambda kind: F.struct(
         ip_version(c).alias("ip_version"), kind.alias("ip_class"),
         (kind == "PUBLIC").alias("is_public"), (kind == "PRIVATE").alias("is_private"),
-        (kind == "LOOPBACK").alias("is_loopback"), (kind == "LINK_LOCAL").alias("is_link_local"),
-    )
+        (kind == "LOOPBACK").alias("is_loopback"), (kind == "LINK_LOCAL").alias("is_link_local")))
 
 
 def bracket_value(c: Column | str) -> Column:

@@ -322,17 +322,6 @@ def fuzzy_distance(word: str) -> int:
     return 1 if len(word) <= 4 else 2
 
 
-def first_fuzzy_match(token: Column, lexicon: list[str]) -> Column:
-    """The first lexicon word within its edit distance of the token, else NULL."""
-    tests = []
-    for word in lexicon:
-        limit = fuzzy_distance(word)
-        near = F.length(token).between(len(word) - limit, len(word) + limit)
-        distance = F.levenshtein(token, F.lit(word), limit)
-        tests.append(F.when(near & (distance >= 0), F.lit(word)))
-    return F.coalesce(*tests)
-
-
 def regional_score(c: Column | str, tanglish: Column, hinglish: Column) -> Column:
     """Keyword score of the regional rules: 3+ hits 0.85, 2 hits 0.70."""
     lower, tamil = F.lower(text(c)), has_tamil(c)

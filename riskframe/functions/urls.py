@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
 from riskframe.functions.common import (
-    any_of, clamp, col, compact, contains_any, ends_with_any, host_of, occurrences, starts_with_any,
-    strip, text,
+    alternation, clamp, col, compact, contains_any, host_of, let, occurrences, strip, text,
 )
 
 IPV4_HOST = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
@@ -28,11 +27,11 @@ def clean_domain(c: Column | str) -> Column:
 
 def is_or_under(host: Column, domains: list[str]) -> Column:
     """Host equals one of the domains or lies below it."""
-    return host.isin(domains) | ends_with_any(host, ["." + d for d in domains])
+    return host.rlike(rf"(?:^|\.){alternation(domains)}$")
 
 
 def is_trusted_host(host: Column) -> Column:
-    return is_or_under(host, lx.TRUSTED_DOMAINS) | ends_with_any(host, lx.INSTITUTION_SUFFIXES)
+    return is_or_under(host, lx.TRUSTED_DOMAINS) | host.rlike(alternation(lx.INSTITUTION_SUFFIXES) + "$")
 
 
 def is_trusted_mobile(host: Column) -> Column:
@@ -56,27 +55,29 @@ def brand_imitation(domain: Column | str, brands=None) -> Column:
     COMBOSQUAT; edit distance one or two a TYPOSQUAT; a brand in the
     sub-domain a SUBDOMAIN_SPOOF.
     """
-    name = F.lower(strip(text(domain)))
-    parts = F.split(name, r"\.")
-    root = F.element_at(parts, -2)
-    n = F.size(parts)
-    sub = F.when(n > 2, F.array_join(F.slice(parts, 1, n - 2), ".")).otherwise("")
     kind_type = "struct<brand:string,type:string>"
-    decided = None
-    for brand, official in brands or lx.PROTECTED_BRANDS:
-        def found(kind: str, brand=brand) -> Column:
-            return F.struct(F.lit(brand).alias("brand"), F.lit(kind).alias("type"))
-
-        tests = [
-            (is_or_under(name, official), F.lit(None).cast(kind_type)),
-            (root.contains(brand), found("COMBOSQUAT")),
-        ]
-        if len(brand) >= 4:
-            tests.append(((F.length(root) >= 4) & F.levenshtein(root, F.lit(brand), 2).between(1, 2), found("TYPOSQUAT")))
-        tests.append(((sub != "") & contains_any(sub, [brand, *official]), found("SUBDOMAIN_SPOOF")))
-        for condition, outcome in tests:
-            decided = F.when(condition, outcome) if decided is None else decided.when(condition, outcome)
-    return F.when(n >= 2, decided)
+
+    def split_host(name: Column) -> Column:
+        parts = F.split(name, r"\.")
+        n = F.size(parts)
+        return F.struct(
+            name.alias("name"), F.when(n >= 2, F.element_at(parts, -2)).alias("root"),
+            F.when(n > 2, F.array_join(F.slice(parts, 1, n - 2), ".")).otherwise("").alias("sub"))
+
+    def decide(h: Column) -> Column:
+        decided = F.when(h["root"].isNull(), F.lit(None).cast(kind_type))
+        for brand, official in brands or lx.PROTECTED_BRANDS:
+            found = lambda kind: F.struct(F.lit(brand).alias("brand"), F.lit(kind).alias("type"))  # noqa: B023, E731
+            decided = decided.when(is_or_under(h["name"], official), F.lit(None).cast(kind_type)).when(
+                h["root"].contains(brand), found("COMBOSQUAT"))
+            if len(brand) >= 4:
+                near = F.levenshtein(h["root"], F.lit(brand), 2).between(1, 2)
+                decided = decided.when((F.length(h["root"]) >= 4) & near, found("TYPOSQUAT"))
+            decided = decided.when(
+                (h["sub"] != "") & h["sub"].rlike(alternation([brand, *official])), found("SUBDOMAIN_SPOOF"))
+        return decided
+
+    return let(let(F.lower(strip(text(domain))), split_host), decide)
 
 
 def imitation_reason(domain: Column, outcome: Column) -> Column:
@@ -97,15 +98,15 @@ def imitation_reason(domain: Column, outcome: Column) -> Column:
 
 def registrable(host: Column) -> Column:
     """``struct<root, prefix>``: registrable domain and what stands before it."""
-    parts = F.split(F.lower(host), r"\.")
-    n = F.size(parts)
-    two = F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))
-    keep = F.when((n >= 3) & two.isin(lx.TWO_LEVEL_SUFFIXES), 3).otherwise(2)
-    short = n <= 2
-    return F.struct(
-        F.when(short, F.lower(host)).otherwise(F.array_join(F.slice(parts, n - keep + 1, keep), ".")).alias("root"),
-        F.when(short, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest(n - keep, F.lit(0))), ".")).alias("prefix"),
-    )
+    def cut(parts: Column) -> Column:
+        n = F.size(parts)
+        keep = F.when((n >= 3) & F.array_join(F.slice(parts, -2, 2), ".").isin(lx.TWO_LEVEL_SUFFIXES), 3).otherwise(2)
+        head = F.greatest(n - keep, F.lit(0))
+        return F.struct(
+            F.when(n <= 2, F.array_join(parts, ".")).otherwise(F.array_join(F.slice(parts, head + 1, keep), ".")).alias("root"),
+            F.when(n <= 2, "").otherwise(F.array_join(F.slice(parts, 1, head), ".")).alias("prefix"))
+
+    return let(F.split(F.lower(host), r"\."), cut)
 
 
 def mixed_scripts(label: Column) -> Column:
@@ -124,23 +125,31 @@ def domain_spoof(host: Column, unicode_host: Column | None = None) -> Column:
     """
     raw = F.lower(strip(text(host)))
     shown = F.lower(F.coalesce(unicode_host, raw)) if unicode_host is not None else raw
-    root = registrable(shown)["root"]
-    folded = registrable(fold_homoglyphs(shown))
-    label = F.substring_index(folded["root"], ".", 1)
-    official = root.isin(lx.OFFICIAL_ROOTS)
-
-    near = any_of(
-        (F.length(label) >= 4) & (label != brand) & F.levenshtein(label, F.lit(brand), 2).between(1, 2)
-        for brand in lx.MOBILE_BRANDS if len(brand) >= 4)
-    in_prefix = (folded["prefix"] != "") & contains_any(folded["prefix"], lx.MOBILE_BRANDS)
-    mixed = F.exists(F.split(shown, r"\."), mixed_scripts)
-    same = any_of(
-        (label == brand) | ((F.length(label) >= 4) & (F.levenshtein(label, F.lit(brand), 2) >= 0))
-        for brand in lx.MOBILE_BRANDS)
-    folded_differs = folded["root"] != root
-    homograph = mixed | ((raw.startswith("xn--") | folded_differs) & same)
-    live = (raw != "") & ~official
-    return F.struct((live & (near | in_prefix)).alias("typosquat"), (live & homograph).alias("homograph"))
+    brands = F.array(*[F.lit(b) for b in lx.MOBILE_BRANDS])
+
+    def judge(h: Column) -> Column:
+        label = F.substring_index(h["folded"]["root"], ".", 1)
+        live = (h["raw"] != "") & ~h["root"].isin(lx.OFFICIAL_ROOTS)
+
+        def tests(name: Column) -> Column:
+            long = F.length(name) >= 4
+            near = long & F.exists(brands, lambda b: (F.length(b) >= 4) & (name != b) & F.levenshtein(name, b, 2).between(1, 2))
+            same = F.exists(brands, lambda b: (name == b) | (long & (F.levenshtein(name, b, 2) >= 0)))
+            return F.struct(near.alias("near"), same.alias("same"))
+
+        def verdict(t: Column) -> Column:
+            prefix = h["folded"]["prefix"]
+            in_prefix = (prefix != "") & prefix.rlike(alternation(lx.MOBILE_BRANDS))
+            mixed = F.exists(F.split(h["shown"], r"\."), mixed_scripts)
+            imitated = (h["raw"].startswith("xn--") | (h["folded"]["root"] != h["root"]) | mixed) & t["same"]
+            return F.struct((live & (t["near"] | in_prefix)).alias("typosquat"), (live & (mixed | imitated)).alias("homograph"))
+
+        return let(let(label, tests), verdict)
+
+    facts = F.struct(
+        raw.alias("raw"), shown.alias("shown"), registrable(shown)["root"].alias("root"),
+        registrable(fold_homoglyphs(shown)).alias("folded"))
+    return let(facts, judge)
 
 
 # -- URL reputation --------------------------------------------------------
@@ -148,32 +157,29 @@ def domain_spoof(host: Column, unicode_host: Column | None = None) -> Column:
 def url_assessment(url: Column | str) -> Column:
     """Host flags and risk of one URL as a struct."""
     value = text(url)
-    host = host_of(value)
-    parsed = F.try_parse_url(value, F.lit("PROTOCOL"))
     # Text before the first colon is the scheme also where a URL has no host.
-    scheme = F.lower(F.coalesce(parsed, F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)))
-    shortener = host.isin(lx.SHORTENERS)
-    bad_tld = ends_with_any(host, lx.SUSPICIOUS_TLDS)
-    address = host.rlike(IPV4_HOST)
-    internal = host.isin(lx.INTERNAL_HOSTS) | starts_with_any(host, lx.INTERNAL_PREFIXES)
-    outcome = brand_imitation(host)
-    trusted = is_trusted_host(host)
-    risk = (
-        F.when(scheme.isin(lx.DANGEROUS_SCHEMES), 95)
-        .when(outcome.isNotNull(), 90)
-        .when(internal | address, 90)
-        .when(shortener & bad_tld, 85)
-        .when(shortener, 75)
-        .when(bad_tld, 70)
-        .when(~trusted, 25)
-        .otherwise(0)
-    )
-    return F.struct(
-        host.alias("domain"), shortener.alias("is_shortener"), trusted.alias("is_trusted"),
-        bad_tld.alias("suspicious_tld"), address.alias("ip_based"),
-        outcome.isNotNull().alias("is_brand_impersonation"), outcome["brand"].alias("brand"),
-        outcome["type"].alias("impersonation_type"), risk.alias("risk_score"),
-    )
+    scheme = F.lower(F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    internal = rf"^(?:{'|'.join(h.replace('.', chr(92) + '.') for h in lx.INTERNAL_HOSTS)})$|^{alternation(lx.INTERNAL_PREFIXES)}"
+
+    def flags(h: Column) -> Column:
+        return F.struct(
+            h["host"].alias("domain"), h["host"].isin(lx.SHORTENERS).alias("is_shortener"),
+            is_trusted_host(h["host"]).alias("is_trusted"),
+            h["host"].rlike(alternation(lx.SUSPICIOUS_TLDS) + "$").alias("suspicious_tld"),
+            h["host"].rlike(IPV4_HOST).alias("ip_based"), h["host"].rlike(internal).alias("internal"),
+            h["scheme"].isin(lx.DANGEROUS_SCHEMES).alias("dangerous"), brand_imitation(h["host"]).alias("outcome"))
+
+    def rate(f: Column) -> Column:
+        risk = (
+            F.when(f["dangerous"], 95).when(f["outcome"].isNotNull(), 90).when(f["internal"] | f["ip_based"], 90)
+            .when(f["is_shortener"] & f["suspicious_tld"], 85).when(f["is_shortener"], 75)
+            .when(f["suspicious_tld"], 70).when(~f["is_trusted"], 25).otherwise(0))
+        return F.struct(
+            *[f[c].alias(c) for c in ("domain", "is_shortener", "is_trusted", "suspicious_tld", "ip_based")],
+            f["outcome"].isNotNull().alias("is_brand_impersonation"), f["outcome"]["brand"].alias("brand"),
+            f["outcome"]["type"].alias("impersonation_type"), risk.alias("risk_score"))
+
+    return let(let(F.struct(host_of(value).alias("host"), scheme.alias("scheme")), flags), rate)
 
 
 # -- spoofed senders -------------------------------------------------------
@@ -185,42 +191,50 @@ def address_domain(c: Column) -> Column:
 def spoof_check(sender: Column | str, reply_to: Column | str, return_path: Column | str) -> Column:
     """Display-name, free-mail, look-alike and header-mismatch evidence of a sender."""
     raw = text(sender)
-    from_domain = address_domain(raw)
-    display = F.lower(F.regexp_extract(raw, r'^"?(.+?)"?\s*<(.+?)>', 1))
-    mailbox = F.lower(F.regexp_extract(raw, r'^"?(.+?)"?\s*<(.+?)>', 2))
-    named = display != ""
-    domain = F.when(mailbox.contains("@"), F.substring_index(mailbox, "@", -1)).otherwise("")
-    local = F.split_part(mailbox, F.lit("@"), F.lit(1))
-    folded = F.replace(F.replace(F.translate(from_domain, "10", "lo"), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
-    brands = [d.split(".")[0] for d in lx.TRUSTED_DOMAINS]
-
-    claimed = [named & display.contains(b) & ~domain.contains(b) for b in brands]
-    freemail = [named & domain.isin(lx.FREEMAIL_DOMAINS) & local.contains(b) for b in brands]
-    alike = [(from_domain != "") & folded.contains(b) & ~from_domain.contains(b) for b in brands]
-    reply, back = address_domain(text(reply_to)), address_domain(text(return_path))
-    reply_differs = (from_domain != "") & (reply != "") & (reply != from_domain)
-    back_differs = (from_domain != "") & (back != "") & (back != from_domain)
+    brands = F.array(*[F.lit(d.split(".")[0]) for d in lx.TRUSTED_DOMAINS])
+    named = r'^"?(.+?)"?\s*<(.+?)>'
+    facts = F.struct(
+        address_domain(raw).alias("sent"), F.lower(F.regexp_extract(raw, named, 1)).alias("display"),
+        F.lower(F.regexp_extract(raw, named, 2)).alias("mailbox"), address_domain(text(reply_to)).alias("reply"),
+        address_domain(text(return_path)).alias("back"))
 
     def say(*parts) -> Column:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
-    factors = []
-    for b, c1, c2 in zip(brands, claimed, freemail):
-        factors.append(F.when(c1, say(f"Display name mentions '{b}' but email domain is '", domain, "'")))
-        factors.append(F.when(c2, say("Free-mail service '", domain, f"' impersonating corporate brand '{b}' in username ('", local, "')")))
-    for b, c3 in zip(brands, alike):
-        factors.append(F.when(c3, say("Lookalike / typosquat domain detected: '", from_domain, f"' mimics legitimate brand '{b}'")))
-    factors.append(F.when(reply_differs, say("Header mismatch: Reply-To domain (", reply, ") differs from sender domain (", from_domain, ")")))
-    factors.append(F.when(back_differs, say("Header mismatch: Return-Path domain (", back, ") differs from sender domain (", from_domain, ")")))
-
-    score = F.greatest(
-        F.when(any_of(alike), 85).otherwise(0), F.when(any_of(freemail), 80).otherwise(0),
-        F.when(any_of(claimed), 75).otherwise(0), F.when(reply_differs | back_differs, 65).otherwise(0))
-    return F.struct(
-        score.alias("score"), (reply_differs | back_differs).alias("header_mismatch"),
-        any_of(alike).alias("lookalike"), (any_of(claimed) | any_of(freemail)).alias("impersonating"),
-        any_of(claimed).alias("display_claim"), compact(*factors).alias("factors"),
-    )
+    def compare(m: Column) -> Column:
+        domain = F.when(m["mailbox"].contains("@"), F.substring_index(m["mailbox"], "@", -1)).otherwise("")
+        local = F.split_part(m["mailbox"], F.lit("@"), F.lit(1))
+        folded = F.replace(F.replace(F.translate(m["sent"], "10", "lo"), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
+        shown, none = m["display"] != "", F.array().cast("array<string>")
+        claimed = F.when(shown, F.filter(brands, lambda b: m["display"].contains(b) & ~domain.contains(b))).otherwise(none)
+        free = F.when(shown & domain.isin(lx.FREEMAIL_DOMAINS), F.filter(brands, lambda b: local.contains(b))).otherwise(none)
+        alike = F.when(m["sent"] != "", F.filter(brands, lambda b: folded.contains(b) & ~m["sent"].contains(b))).otherwise(none)
+        return F.struct(
+            m.alias("m"), domain.alias("domain"), local.alias("local"), claimed.alias("claimed"), free.alias("free"),
+            alike.alias("alike"), ((m["sent"] != "") & (m["reply"] != "") & (m["reply"] != m["sent"])).alias("reply_differs"),
+            ((m["sent"] != "") & (m["back"] != "") & (m["back"] != m["sent"])).alias("back_differs"))
+
+    def conclude(c: Column) -> Column:
+        m, mismatch = c["m"], c["reply_differs"] | c["back_differs"]
+        factors = F.concat(
+            F.transform(c["claimed"], lambda b: say(
+                "Display name mentions '", b, "' but email domain is '", c["domain"], "'")),
+            F.transform(c["free"], lambda b: say(
+                "Free-mail service '", c["domain"], "' impersonating corporate brand '", b, "' in username ('", c["local"], "')")),
+            F.transform(c["alike"], lambda b: say(
+                "Lookalike / typosquat domain detected: '", m["sent"], "' mimics legitimate brand '", b, "'")),
+            compact(
+                F.when(c["reply_differs"], say("Header mismatch: Reply-To domain (", m["reply"], ") differs from sender domain (", m["sent"], ")")),
+                F.when(c["back_differs"], say("Header mismatch: Return-Path domain (", m["back"], ") differs from sender domain (", m["sent"], ")"))))
+        some = lambda n: F.size(c[n]) > 0
+        score = (
+            F.when(some("alike"), 85).when(some("free"), 80).when(some("claimed"), 75).when(mismatch, 65).otherwise(0))
+        return F.struct(
+            score.alias("score"), mismatch.alias("header_mismatch"), some("alike").alias("lookalike"),
+            (some("claimed") | some("free")).alias("impersonating"), some("claimed").alias("display_claim"),
+            factors.alias("factors"))
+
+    return let(let(facts, compare), conclude)
 
 
 def display_spoof(sender: Column | str) -> Column:
@@ -229,21 +243,23 @@ def display_spoof(sender: Column | str) -> Column:
     bracketed = raw.contains("<") & raw.contains(">")
     shown = F.lower(F.btrim(strip(F.substring_index(raw, "<", 1)), F.lit('"')))
     mailbox = F.lower(strip(F.regexp_extract(raw, r"<([^>]*)>", 1)))
-    return F.when(bracketed, F.coalesce(*[
-        F.when(shown.contains(b) & ~mailbox.contains(b), F.lit(b)) for b in lx.DISPLAY_NAME_BRANDS]))
+    brands = F.array(*[F.lit(b) for b in lx.DISPLAY_NAME_BRANDS])
+    return F.when(bracketed, let(F.struct(shown.alias("s"), mailbox.alias("m")), lambda x: F.get(
+        F.filter(brands, lambda b: x["s"].contains(b) & ~x["m"].contains(b)), F.lit(0))))
 
 
 # -- lexical features ------------------------------------------------------
 
 def entropy_bits(c: Column) -> Column:
     """Shannon entropy of the characters of a string, in bits."""
-    chars = F.split(c, "")
-    n = F.length(c).cast("double")
-    share = lambda ch: F.length(c).cast("double") - F.length(F.replace(c, ch, F.lit(""))).cast("double")
-    total = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0),
-        lambda acc, ch: acc - F.when(ch == "", 0.0).otherwise((share(ch) / n) * F.log2(share(ch) / n)))
-    return F.when(F.length(c) > 0, total).otherwise(0.0)
+    def total(value: Column) -> Column:
+        n = F.length(value).cast("double")
+        shares = F.transform(
+            F.filter(F.array_distinct(F.split(value, "")), lambda ch: ch != ""),
+            lambda ch: (n - F.length(F.replace(value, ch, F.lit("")))) / n)
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    return let(c, total)
 
 
 def netloc(url: Column) -> Column:
@@ -327,7 +343,7 @@ def mobile_features(url: Column | str) -> dict[str, Column]:
         "qty_special_chars": F.regexp_count(u, F.lit(r"[^\p{L}\p{Nd}/:.?=]")),
         "url_depth": F.size(F.filter(F.split(path, "/"), lambda p: p != "")),
         "is_ip": bit(host.rlike(IPV4_HOST)),
-        "is_suspicious_tld": bit(ends_with_any(host, lx.MOBILE_URL_TLDS)),
+        "is_suspicious_tld": bit(host.rlike(alternation(lx.MOBILE_URL_TLDS) + "$")),
         "query_length": F.length(query),
     }
 
@@ -347,4 +363,4 @@ def trim_url(c: Column) -> Column:
 def dangerous_target(url: Column | str) -> Column:
     """Does the path of the URL end in an executable extension?"""
     target = F.substring_index(F.substring_index(F.lower(trim_url(col(url))), "?", 1), "#", 1)
-    return ends_with_any(target, lx.DANGEROUS_TARGET_EXTENSIONS)
+    return target.rlike(alternation(lx.DANGEROUS_TARGET_EXTENSIONS) + "$")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
-from riskframe.functions.common import clamp, col
+from riskframe.functions.common import clamp, col, let
 from riskframe.functions.headers import (
     address_part, auth_sender_ip, bracket_value, infrastructure, ip_candidates, ip_class, parse_hop,
 )
@@ -35,23 +35,24 @@ def origin_ip(hops: Column, received: Column, headers: Column) -> Column:
 
     ``headers`` is a map of lower-cased header names.
     """
-    indexed = F.transform(hops, lambda h, i: F.struct(h["ip"].alias("ip"), h["ip_class"].alias("k"), (i + 1).alias("n")))
-    first = F.get(F.filter(indexed, lambda h: h["k"] == "PUBLIC"), F.lit(0))
     none = F.size(F.coalesce(received, F.array().cast("array<string>"))) == 0
 
     def aux(name: str) -> Column:
-        value = bracket_value(headers[name])
-        return F.when(ip_class(value) == "PUBLIC", F.struct(
-            value.alias("ip"),
+        return let(bracket_value(headers[name]), lambda v: F.when(ip_class(v) == "PUBLIC", F.struct(
+            v.alias("ip"),
             F.when(none, f"Identified from {name} header (Received headers absent).")
-            .otherwise(f"Cross-checked from authenticated {name} header.").alias("reason")))
-
-    spf = auth_sender_ip(headers["authentication-results"])
-    by_spf = F.when(~none & (ip_class(spf) == "PUBLIC"), F.struct(
-        spf.alias("ip"), F.lit("Extracted from SPF sender IP evaluation in Authentication-Results.").alias("reason")))
-    by_hop = F.when(first.isNotNull(), F.struct(
-        first["ip"].alias("ip"),
-        F.format_string("Hop %d was the earliest publicly routable IP in the transmission path.", first["n"]).alias("reason")))
+            .otherwise(f"Cross-checked from authenticated {name} header.").alias("reason"))))
+
+    by_spf = let(auth_sender_ip(headers["authentication-results"]), lambda v: F.when(
+        ~none & (ip_class(v) == "PUBLIC"), F.struct(
+            v.alias("ip"), F.lit("Extracted from SPF sender IP evaluation in Authentication-Results.").alias("reason"))))
+
+    def first_public(indexed: Column) -> Column:
+        return let(F.get(F.filter(indexed, lambda h: h["k"] == "PUBLIC"), F.lit(0)), lambda h: F.when(h.isNotNull(), F.struct(
+            h["ip"].alias("ip"),
+            F.format_string("Hop %d was the earliest publicly routable IP in the transmission path.", h["n"]).alias("reason"))))
+
+    by_hop = first_public(F.transform(hops, lambda h, i: F.struct(h["ip"].alias("ip"), h["ip_class"].alias("k"), (i + 1).alias("n"))))
     nothing = F.struct(F.lit(NOT_DETERMINABLE).alias("ip"), F.when(
         none, "No Received headers present in email metadata.").otherwise(
         "All observed hops represent private, loopback, or non-routable addresses.").alias("reason"))

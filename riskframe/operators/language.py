@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskframe import lexicons as lx
 from riskframe.functions.common import words
 from riskframe.functions.text import (
-    clean_for_model, first_fuzzy_match, latin_tokens, normalize_adversarial, pattern_hits,
+    clean_for_model, fuzzy_distance, latin_tokens, normalize_adversarial, pattern_hits,
 )
 from riskframe.operators.joins import lookup_join
 from riskframe.session import checkpointed
@@ -17,13 +17,21 @@ from riskframe.session import checkpointed
 def fuzzy_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """Distinct tokens that are near a scam word, with the first word they match.
 
-    Edit distances are computed once per distinct token of the corpus.
+    Edit distances are computed once per distinct token, and only against
+    words of a length within reach: an equi-join on the length with the fixed
+    word lists (a few hundred rows).
     """
-    short = tokens.filter(F.length(token).between(3, 16)).select(token).distinct()
-    near = short.select(
-        token, first_fuzzy_match(F.col(token), lx.TANGLISH_WORDS).alias("tanglish_word"),
-        first_fuzzy_match(F.col(token), lx.HINGLISH_WORDS).alias("hinglish_word"))
-    return near.filter(F.col("tanglish_word").isNotNull() | F.col("hinglish_word").isNotNull())
+    rows = []
+    for kind, words_ in (("tanglish", lx.TANGLISH_WORDS), ("hinglish", lx.HINGLISH_WORDS)):
+        for i, word in enumerate(words_):
+            reach = fuzzy_distance(word)
+            rows += [(n, kind, i, word, reach) for n in range(len(word) - reach, len(word) + reach + 1)]
+    lexicon = tokens.sparkSession.createDataFrame(rows, "len int, kind string, ordinal int, word string, reach int")
+    short = tokens.filter(F.length(token).between(3, 16)).select(token).distinct().withColumn("len", F.length(token))
+    distance = F.levenshtein(F.col(token), F.col("word"))
+    near = short.join(F.broadcast(lexicon), "len").filter(distance <= F.col("reach"))
+    first = lambda kind: F.min_by("word", F.when(F.col("kind") == kind, F.col("ordinal")))
+    return near.groupBy(token).agg(first("tanglish").alias("tanglish_word"), first("hinglish").alias("hinglish_word"))
 
 
 def detect_romanised(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -137,14 +137,15 @@ def triage(df: DataFrame, allow_verified: bool = False) -> DataFrame:
 def signal_rows(analysed: DataFrame, key: str) -> DataFrame:
     """Fired rules as a long table ``key, signal, score`` (input of ``content_risk``)."""
     n = lambda c: F.size(c)
+    row = lambda name, score: F.struct(F.lit(name).alias("signal"), score.alias("score"))
     fired = F.array(
-        F.struct(F.lit("URL").alias("signal"), F.col("url_signals.url_risk").alias("score")),
-        F.struct(F.lit("URGENCY"), F.when(n("urgency_hits") > 0, F.least(F.lit(30) + n("urgency_hits") * 12, F.lit(90))).otherwise(0)),
-        F.struct(F.lit("CREDENTIAL"), F.when(n("credential_hits") > 0, 85).otherwise(0)),
-        F.struct(F.lit("SPOOFING"), F.col("spoof.score")),
-        F.struct(F.lit("EXPOSURE"), F.when(n("exposure_types") > 0, 95).otherwise(0)),
-        F.struct(F.lit("BEC"), F.when(n("bec_hits") > 0, 90).otherwise(0)),
-        F.struct(F.lit("FRAUD"), F.when((n("fraud_hits") > 0) & (n("bec_hits") == 0), 85).otherwise(0)))
+        row("URL", F.col("url_signals.url_risk")),
+        row("URGENCY", F.when(n("urgency_hits") > 0, F.least(F.lit(30) + n("urgency_hits") * 12, F.lit(90))).otherwise(0)),
+        row("CREDENTIAL", F.when(n("credential_hits") > 0, 85).otherwise(0)),
+        row("SPOOFING", F.col("spoof.score")),
+        row("EXPOSURE", F.when(n("exposure_types") > 0, 95).otherwise(0)),
+        row("BEC", F.when(n("bec_hits") > 0, 90).otherwise(0)),
+        row("FRAUD", F.when((n("fraud_hits") > 0) & (n("bec_hits") == 0), 85).otherwise(0)))
     return analysed.select(key, F.explode(F.filter(fired, lambda s: s["score"] > 0)).alias("s")).select(key, "s.*")
 
 
