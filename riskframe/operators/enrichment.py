@@ -165,7 +165,7 @@ def enrich_domains(emails: DataFrame, dim: DataFrame, as_of: Column, sender: str
     """
     facts = dim.select(
         "domain", "registrar", "creation_date", "has_mx",
-        F.greatest(F.datediff(as_of, F.col("creation_date")), F.lit(0)).alias("age_days"),
+        F.when(F.col("creation_date").isNotNull(), F.greatest(F.datediff(as_of, F.col("creation_date")), F.lit(0))).alias("age_days"),
         F.when(F.col("has_mx") | F.col("registrar").isNotNull(), "RESOLVED").otherwise("PARTIAL_OR_UNAVAILABLE").alias("domain_status"))
     out = emails.withColumn("domain", clean_domain(sender))
     out = lookup_join(out, facts, "domain").withColumn("is_young_domain", F.coalesce(F.col("age_days") < 30, F.lit(False)))
@@ -192,7 +192,7 @@ def parse_registry(c: Column | str, as_of: Column) -> Column:
                             r'\["fn",[^\]]*?,"text","([^"]*)"\]', 1)
     return F.struct(
         F.coalesce(created.cast("string"), F.substring(stamp, 1, 10)).alias("creation_date"),
-        F.greatest(F.datediff(as_of, created), F.lit(0)).alias("age_days"),
+        F.when(created.isNotNull(), F.greatest(F.datediff(as_of, created), F.lit(0))).alias("age_days"),
         F.coalesce(F.when(name != "", name), F.when(registrar["handle"] != "", registrar["handle"]),
                    F.lit("Private / Unlisted")).alias("registrar"))
 
