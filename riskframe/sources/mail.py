@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.common import strip, text
 from riskframe.functions.text import extract_urls
-from riskframe.schemas import GRAPH_MESSAGE, PARSED_MAIL, TRIGGER
+from riskframe.schemas import GRAPH_MESSAGE, PARSED_MAIL, PARSED_MAIL_COLUMNS, TRIGGER
 
 
 def _parse_messages(batches):
@@ -53,7 +53,7 @@ def _parse_messages(batches):
             except Exception as error:  # a malformed message must not fail the job
                 row = {**empty, "parse_error": f"{type(error).__name__}: {error}"[:200]}
             rows.append({"source": key, "provider_type": provider, **row})
-        yield pd.DataFrame(rows, columns=[f.name for f in PARSED_MAIL.fields])
+        yield pd.DataFrame(rows, columns=PARSED_MAIL_COLUMNS)
 
 
 def _normalise(parsed: DataFrame) -> DataFrame:

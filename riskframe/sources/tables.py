@@ -17,10 +17,10 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"input CSV lacks columns: {sorted(missing)}")
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LABELLED_TEXT.fields])
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(LABELLED_TEXT).fields])
 
 
-def read_raw_features(spark: SparkSession, paths: list[str], schema: T.StructType = RAW_FEATURES) -> DataFrame:
+def read_raw_features(spark: SparkSession, paths: list[str], schema: str = RAW_FEATURES) -> DataFrame:
     return spark.read.schema(schema).json(paths)
 
 
@@ -51,11 +51,11 @@ def load_dims(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
-def evolve(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+def evolve(df: DataFrame, schema: str, defaults: dict | None = None) -> DataFrame:
     """Bring an older table to the current schema: missing columns get their default."""
     defaults = defaults or {}
     out = []
-    for field in schema.fields:
+    for field in T.StructType.fromDDL(schema).fields:
         value = F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)
         if field.name in defaults:
             value = F.coalesce(value, F.lit(defaults[field.name]).cast(field.dataType))
