@@ -22,7 +22,7 @@ IPV6_CLASSES = [
     ("LINK_LOCAL", "^fe[89ab]"),
     ("PUBLIC", "^(20010001000000000000000000000001|20010001000000000000000000000002|20010003|"
                "200100040112|2001002|2001003)"),
-    ("PRIVATE", "^(0{32}$|0064ff9b0001|0100000000000000|200100|200101|20010db8|2002|3fff0|f[cd])"),
+    ("PRIVATE", "^(0{32}$|0064ff9b0001|0100000000000000|200100|200101|20010db8|2002|f[cd])"),
     ("RESERVED", "^(00|01|0[2-7]|0[89a-f]|1|[4-9a-d]|e|f[0-7]|f[89ab]|fe[0-7]|ff)"),
 ]
 
@@ -80,11 +80,16 @@ def ipv6_digits(c: Column) -> Column:
     return let(let(F.lower(c), plain), lambda base: F.when(base.rlike(IPV6_SHAPE), let(F.split(base, "::", -1), fill)))
 
 
+def _mapped_class(inner: Column) -> Column:
+    """IPv4-mapped addresses keep the local classes; all others lie in a reserved block."""
+    return F.when(inner == "LOOPBACK", inner).when(inner.isin("LINK_LOCAL", "PRIVATE"), "PRIVATE").otherwise("RESERVED")
+
+
 def _ipv6_class(c: Column) -> Column:
     def rate(digits: Column) -> Column:
         octets = [F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)]
-        chain = F.when(digits.isNull(), "INVALID").when(
-            digits.rlike("^0{20}ffff"), _ipv4_class(F.concat_ws(".", *octets)))
+        mapped = digits.rlike("^0{20}ffff")
+        chain = F.when(digits.isNull(), "INVALID").when(mapped, _mapped_class(_ipv4_class(F.concat_ws(".", *octets))))
         for name, pattern in IPV6_CLASSES:
             chain = chain.when(digits.rlike(pattern), name)
         return chain.otherwise("PUBLIC")

@@ -236,7 +236,10 @@ def exposure_findings(c: Column | str) -> Column:
 def exposed_types(c: Column | str) -> Column:
     """Labels of the exposure rules that match, without building the matches."""
     value = text(c)
-    return compact(*[F.when(value.rlike("(?i)" + p), F.lit(label)) for label, p in lx.EXPOSURE_PATTERNS])
+    # A literal every match must contain keeps most texts away from the pattern.
+    needed = {"email:password credential pair": "@", "private key block": "-----"}
+    test = lambda label, p: value.contains(needed[label]) & value.rlike("(?i)" + p) if label in needed else value.rlike("(?i)" + p)
+    return compact(*[F.when(test(label, p), F.lit(label)) for label, p in lx.EXPOSURE_PATTERNS])
 
 
 # -- forwarded mail --------------------------------------------------------

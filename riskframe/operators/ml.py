@@ -66,13 +66,11 @@ def stratified_split(df: DataFrame, label: str, row_id: str, share: float, seed:
 def time_folds(df: DataFrame, order: list[str], folds: int = 3, name: str = "tile") -> DataFrame:
     """Chronological tiles 1..folds+1 of equal size (the first ones one row larger)."""
     ranked = global_rank(df, order, "_rank")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    tiles = folds + 1
-    base, extra = F.floor(F.col("_n") / tiles), F.col("_n") % tiles
-    r = F.col("_rank") - 1
-    big = extra * (base + 1)
-    tile = F.when(r < big, F.floor(r / (base + 1))).otherwise(extra + F.floor((r - big) / F.greatest(base, F.lit(1)))) + 1
-    return ranked.crossJoin(F.broadcast(total)).withColumn(name, tile.cast("int")).drop("_rank", "_n")
+    total, tiles = ranked.count(), folds + 1
+    base, extra = divmod(total, tiles)
+    r, big = F.col("_rank") - 1, extra * (base + 1)
+    tile = F.when(r < big, F.floor(r / (base + 1))).otherwise(extra + F.floor((r - big) / max(base, 1))) + 1
+    return ranked.withColumn(name, tile.cast("int")).drop("_rank")
 
 
 def fold_frames(tiled: DataFrame, folds: int = 3, name: str = "tile") -> list[tuple[DataFrame, DataFrame]]:

@@ -157,7 +157,7 @@ def map_hops(spark, sf):
 
 
 _IP6 = ["fe80::1", "2001:db8::5", "2607:f8b0:4005:805::200e", "::1", "fc00::7", "::ffff:8.8.8.8", "2002:c000:204::1", "ff02::1", "1:2:3", "::ffff:10.0.0.1"]
-_IP6_CLASS = ["LINK_LOCAL", "PRIVATE", "PUBLIC", "LOOPBACK", "PRIVATE", "PUBLIC", "PRIVATE", "RESERVED", "INVALID", "PRIVATE"]
+_IP6_CLASS = ["LINK_LOCAL", "PRIVATE", "PUBLIC", "LOOPBACK", "PRIVATE", "RESERVED", "PRIVATE", "RESERVED", "INVALID", "PRIVATE"]
 _PICK6 = "split_part('{v}', '|', CAST(c_custkey % 10 AS INT) + 1)"
 _V4 = "concat(CAST(c_custkey * 37 % 256 AS INT), '.', CAST(c_custkey * 11 % 256 AS INT), '.', CAST(c_nationkey AS INT), '.', CAST(c_custkey % 256 AS INT))"
 
