@@ -9,7 +9,11 @@ from riskframe import lexicons as lx
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under a path with name, extension, size and SHA-256."""
+    """Every file under a path with name, extension, size and SHA-256.
+
+    Spark's file scan leaves zero-byte files out; rows for them can be added
+    from a landing manifest and are then scanned as inconclusive.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1))).otherwise("")
