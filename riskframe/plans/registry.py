@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> dict[str, Query]:
     from riskframe.plans import (  # noqa: F401
-        case_queries, file_queries, header_queries, history_queries, model_queries, stream_queries, text_queries,
+        case_queries, file_queries, header_queries, history_queries, model_queries, source_queries, stream_queries, text_queries,
         url_queries,
     )
     return QUERIES
