@@ -9,7 +9,7 @@ from riskframe.functions import fusion
 from riskframe.functions import text as tx
 from riskframe.operators import triage as tr
 from riskframe.operators.language import build_vocabulary, detect_romanised, encode_tokens
-from riskframe.plans.datasets import MAIL_SQL, mail, table
+from riskframe.plans.datasets import LINK_SQL, MAIL_SQL, mail, table
 from riskframe.plans.registry import query
 from riskframe.plans.sqltext import (
     has_any, hit_count, hit_list, in_list, matches, quoted, unicode_edges,
@@ -196,25 +196,29 @@ _MARK = "(?is)^(.*?)(?:" + "{p}" + ")(.*)$"
 _MARKERS = [p.replace("(?i)", "") for p in tx.FORWARD_MARKERS]
 
 
-def _fwd_sql() -> str:
+def _fwd_cte() -> str:
     tests = " ".join(
         f"WHEN regexp_matches(b, {quoted('(?i)' + p)}) THEN {i}" for i, p in enumerate(_MARKERS, 1))
     before = " ".join(f"WHEN {i} THEN regexp_extract(b, {quoted(_MARK.replace('{p}', p))}, 1)" for i, p in enumerate(_MARKERS, 1))
     after = " ".join(f"WHEN {i} THEN regexp_extract(b, {quoted(_MARK.replace('{p}', p))}, 2)" for i, p in enumerate(_MARKERS, 1))
     block = r"(?is)^(.*?)((?:^|\n)\s*From:\s*[^\n]+\n\s*Date:\s*[^\n]+.*)$"
     return f"""
-WITH m AS (SELECT email_id, body_text AS b, regexp_matches(subject, '(?i)^(?:fwd?|fw):\\s*') AS fwd FROM ({MAIL_SQL})),
+m AS (SELECT email_id, body_text AS b, subject, regexp_matches(subject, '(?i)^(?:fwd?|fw):\\s*') AS fwd FROM ({MAIL_SQL})),
 k AS (SELECT *, CASE {tests} ELSE 0 END AS mk,
   fwd AND regexp_matches(b, '(?i)(?:^|\\n)\\s*From:\\s*[^\\n]+\\n\\s*Date:\\s*[^\\n]+') AS blk FROM m),
 s AS (SELECT *, CASE mk {before} ELSE CASE WHEN blk THEN regexp_extract(b, {quoted(block)}, 1) WHEN fwd THEN b ELSE '' END END AS com,
   CASE mk {after} ELSE CASE WHEN blk THEN regexp_extract(b, {quoted(block)}, 2) ELSE b END END AS org FROM k),
 h AS (SELECT *, trim(com, {_WS}) AS c, trim(org, {_WS}) AS o, (mk > 0 OR blk) AS q FROM s),
-f AS (SELECT *, CASE WHEN q THEN nullif(trim(regexp_extract(o, '(?i)From:\\s*([^\\n]+)', 1), {_WS}), '') END AS frm FROM h)
+f AS (SELECT *, CASE WHEN q THEN nullif(trim(regexp_extract(o, '(?i)From:\\s*([^\\n]+)', 1), {_WS}), '') END AS frm,
+  CASE WHEN q THEN nullif(trim(regexp_extract(o, '(?i)Subject:\\s*([^\\n]+)', 1), {_WS}), '') END AS osub FROM h)"""
+
+
+def _fwd_sql() -> str:
+    return f"""WITH {_fwd_cte()}
 SELECT email_id, (q OR fwd) AS is_forwarded,
   CASE WHEN q AND contains(frm, '@') THEN 'ORIGINAL HEADER EVIDENCE AVAILABLE' WHEN q THEN 'PARTIAL ORIGINAL EVIDENCE'
        WHEN fwd THEN 'FORWARDER-ONLY EVIDENCE' ELSE 'ORIGINAL SOURCE UNDETERMINABLE' END AS evidence_level,
-  frm AS original_sender,
-  CASE WHEN q THEN nullif(trim(regexp_extract(o, '(?i)Subject:\\s*([^\\n]+)', 1), {_WS}), '') END AS original_subject,
+  frm AS original_sender, osub AS original_subject,
   sha256(c) AS commentary_hash, sha256(o) AS content_hash FROM f"""
 
 
@@ -289,7 +293,11 @@ def vocabulary(spark, sf):
     return build_vocabulary(table(spark, sf, "documents")).withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
-@query("token_encoding")
+@query("token_encoding", f"""
+WITH v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 7998)),
+t AS (SELECT doc_id, {_TOKENS}[1:60] AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS token, unnest(range(1, len(l) + 1)) AS p FROM t),
+c AS (SELECT doc_id, list(CASE WHEN coalesce(id, 1) >= 8000 THEN 1 ELSE coalesce(id, 1) END ORDER BY p) AS ids FROM u LEFT JOIN v ON u.token = v.token GROUP BY 1)
+SELECT documents.doc_id, array_to_string(list_resize(coalesce(ids, []), 60, 0), ',') AS token_ids FROM documents LEFT JOIN c ON documents.doc_id = c.doc_id""")
 def token_encoding(spark, sf):
     docs = table(spark, sf, "documents")
     coded = encode_tokens(docs, build_vocabulary(docs), "doc_id")
@@ -298,19 +306,71 @@ def token_encoding(spark, sf):
 
 # -- triage ----------------------------------------------------------------
 
-@query("email_triage")
+def _triage_cte() -> str:
+    from riskframe.plans.header_queries import _AUTH_CTE, _PEN
+    from riskframe.plans.url_queries import _HOSTS_CTE, _spoof_sql
+
+    urls = (f"SELECT email_id AS link_id, unnest(list_distinct(list_transform(regexp_extract_all(body_text, {quoted(tx.URL_PATTERN)}), "
+            f"lambda x: rtrim(x, '.')))) AS url FROM ({MAIL_SQL})")
+    hosts = _HOSTS_CTE.replace(LINK_SQL, urls)
+    cats = ", ".join([
+        "CASE WHEN nx > 0 THEN 'SENSITIVE_DATA_EXPOSURE' END", "CASE WHEN nc > 0 OR url_risk >= 50 OR short THEN 'PHISHING' END",
+        f"CASE WHEN nb > 0 OR {has_any('low', lx.BEC_CATEGORY_PHRASES)} THEN 'BEC' END",
+        f"CASE WHEN (nf > 0 AND nb = 0) OR {has_any('low', lx.FRAUD_CATEGORY_PHRASES)} THEN 'FRAUD' END",
+        "CASE WHEN impersonating THEN 'IMPERSONATION' END", "CASE WHEN header_mismatch OR lookalike THEN 'SPOOFED' END"])
+    order = " ".join(f"WHEN list_contains(cats, '{c}') THEN '{c}'" for c in lx.CATEGORY_PRIORITY)
+    return f"""
+fw AS (WITH {_fwd_cte()} SELECT email_id, (q OR fwd) AS is_forwarded, concat(coalesce(osub, subject), ' ', CASE WHEN (q OR fwd) AND o <> '' THEN o ELSE b END) AS t FROM f),
+sp AS ({_spoof_sql()}), ur AS (WITH {hosts} SELECT link_id AS email_id, max(risk) AS url_risk, bool_or(short) AS short FROM s GROUP BY 1),
+au AS (WITH {_AUTH_CTE} SELECT email_id, spf, dkim, dmarc, CASE WHEN spf = 'UNKNOWN' AND dkim = 'UNKNOWN' AND dmarc = 'UNKNOWN' THEN 0
+  ELSE {_PEN.format(c='spf')} + {_PEN.format(c='dkim')} + {_PEN.format(c='dmarc')} END AS auth_score FROM a),
+n AS (SELECT fw.email_id, is_forwarded, lower(t) AS low, len({_EXPOSED}) AS nx, {hit_count('lower(t)', lx.URGENCY_PHRASES)} AS nu, {hit_count('lower(t)', lx.CREDENTIAL_PHRASES)} AS nc,
+  {hit_count('lower(t)', lx.BEC_PHRASES)} AS nb, {hit_count('lower(t)', lx.FRAUD_PHRASES)} AS nf, coalesce(url_risk, 0) AS url_risk, coalesce(short, false) AS short,
+  sp.score AS sps, header_mismatch, lookalike, impersonating, auth_score, NOT (spf = 'UNKNOWN' AND dkim = 'UNKNOWN' AND dmarc = 'UNKNOWN') AS known
+  FROM fw JOIN sp ON fw.email_id = sp.email_id JOIN au ON fw.email_id = au.email_id LEFT JOIN ur ON fw.email_id = ur.email_id),
+g AS (SELECT *, CAST(greatest(url_risk, CASE WHEN nu > 0 THEN least(30 + nu * 12, 90) ELSE 0 END, CASE WHEN nc > 0 THEN 85 ELSE 0 END, sps, CASE WHEN nx > 0 THEN 95 ELSE 0 END,
+  CASE WHEN nb > 0 THEN 90 ELSE 0 END, CASE WHEN nf > 0 AND nb = 0 THEN 85 ELSE 0 END) AS INT) AS c, list_filter([{cats}], lambda x: x IS NOT NULL) AS cats0 FROM n),
+k AS (SELECT *, CASE WHEN len(cats0) = 0 AND nu > 0 THEN ['SPAM'] ELSE cats0 END AS cats FROM g),
+pc AS (SELECT *, CASE {order} WHEN c >= 30 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS cat FROM k)"""
+
+
+@query("email_triage", f"""
+WITH {_triage_cte()},
+a1 AS (SELECT *, cat IN ('PHISHING', 'IMPERSONATION', 'SPOOFED', 'BEC', 'MALWARE') AS mim, CAST(floor(round(c * 0.6 + auth_score * 0.4, 6)) AS INT) AS mix FROM pc),
+a2 AS (SELECT *, CASE WHEN known THEN CASE WHEN mim OR c >= 40 THEN greatest(c, mix) ELSE mix END ELSE c END AS s0 FROM a1),
+a3 AS (SELECT *, CASE WHEN mim OR c >= 70 OR cat IN ('SENSITIVE_DATA_EXPOSURE', 'FRAUD') THEN greatest(s0, c) ELSE s0 END AS s1 FROM a2),
+a4 AS (SELECT *, CASE WHEN mim THEN greatest(s1, 85) ELSE s1 END AS s2 FROM a3),
+a5 AS (SELECT *, least(100, CASE WHEN is_forwarded AND c >= 40 AND s2 < c THEN c ELSE s2 END) AS risk_score FROM a4),
+a6 AS (SELECT *, CASE WHEN c < 30 AND auth_score < 30 AND NOT mim THEN 'SAFE' WHEN risk_score >= 70 OR cat IN ('SENSITIVE_DATA_EXPOSURE','PHISHING','MALWARE','BEC','IMPERSONATION') OR mim THEN 'MALICIOUS'
+  WHEN risk_score >= 45 THEN 'SUSPICIOUS' WHEN risk_score >= 20 THEN 'UNVERIFIED' ELSE 'SAFE' END AS v0 FROM a5),
+a7 AS (SELECT *, CASE WHEN v0 = 'SAFE' AND (c >= 40 OR mim) THEN CASE WHEN c >= 70 OR mim THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END ELSE v0 END AS verdict FROM a6)
+SELECT email_id, c AS content_score, auth_score, risk_score, verdict, CASE verdict WHEN 'MALICIOUS' THEN 'HIGH' WHEN 'SUSPICIOUS' THEN 'MEDIUM-HIGH' WHEN 'UNVERIFIED' THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
+  cat AS primary_category, array_to_string(list_sort(list_filter(cats, lambda x: x <> cat)), ',') AS secondary_categories, is_forwarded FROM a7""")
 def email_triage(spark, sf):
     out = tr.triage(mail(spark, sf))
     return out.select(
         "email_id", "content_score", "auth_score", "risk_score", "verdict", "risk_band", "primary_category",
-        F.array_join("secondary_categories", ",").alias("secondary_categories"), "is_forwarded", "summary")
+        F.array_join("secondary_categories", ",").alias("secondary_categories"), "is_forwarded")
 
 
-@query("signal_risk")
+_FIRED = ", ".join([
+    "CASE WHEN url_risk > 0 THEN 'URL' END", "CASE WHEN nu > 0 THEN 'URGENCY' END", "CASE WHEN nc > 0 THEN 'CREDENTIAL' END",
+    "CASE WHEN sps > 0 THEN 'SPOOFING' END", "CASE WHEN nx > 0 THEN 'EXPOSURE' END", "CASE WHEN nb > 0 THEN 'BEC' END",
+    "CASE WHEN nf > 0 AND nb = 0 THEN 'FRAUD' END"])
+
+
+@query("signal_risk", f"""
+WITH {_triage_cte()}
+SELECT email_id, c AS content_score, array_to_string(list_sort(list_filter([{_FIRED}], lambda x: x IS NOT NULL)), ',') AS signals FROM g WHERE c > 0""")
 def signal_risk(spark, sf):
     return tr.content_risk(tr.signal_rows(tr.analyse_content(mail(spark, sf)), "email_id"), "email_id")
 
 
+@query("triage_summaries")
+def triage_summaries(spark, sf):
+    return tr.triage(mail(spark, sf)).select("email_id", "verdict", "summary", F.size("risk_factors").alias("n_factors"))
+
+
 _FLAG_RISK = f"""
 WITH d AS (SELECT doc_id, source, text AS t FROM documents),
 s AS (SELECT doc_id, source, {_SIG_SUM} AS n, len({_EXPOSED}) AS x FROM (SELECT doc_id, source, t, {_SIG_SQL} FROM d)),
