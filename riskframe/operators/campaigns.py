@@ -16,7 +16,7 @@ def star_edges(indicators: DataFrame) -> DataFrame:
     A value with n cases yields n - 1 edges, not n squared, and connects the
     same cases.
     """
-    members = linkable(indicators).select("normalized_value", "case_id").distinct()
+    members = checkpointed(linkable(indicators).select("normalized_value", "case_id").distinct())
     hub = members.groupBy("normalized_value").agg(F.min("case_id").alias("hub"), F.count(F.lit(1)).alias("_n"))
     hub = hub.filter(F.col("_n") > 1).drop("_n")
     joined = lookup_join(members, hub, "normalized_value", "inner")

@@ -9,6 +9,7 @@ from riskframe import lexicons as lx
 from riskframe.functions.text import normalize_indicator
 from riskframe.operators.enrichment import NOT_DETERMINABLE
 from riskframe.operators.joins import salted_join, top_n
+from riskframe.session import checkpointed
 
 CONFIDENCE_RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
@@ -72,8 +73,9 @@ def correlate(indicators: DataFrame, cases: DataFrame, per_indicator: int = 10)
     value and joined back; no pairs inside a value are ever formed. The type
     of the indicator need not match. ``cases`` gives ``verdict`` by ``case_id``.
     """
-    usable = linkable(indicators).select(
-        "case_id", "indicator_type", "indicator_value", "normalized_value").distinct()
+    # Written once: ranked, counted for hot values and joined below.
+    usable = checkpointed(linkable(indicators).select(
+        "case_id", "indicator_type", "indicator_value", "normalized_value").distinct())
     members = usable.select("normalized_value", "case_id").distinct()
     first = top_n(members, ["normalized_value"], [F.col("case_id")], per_indicator + 1)
     first = first.join(cases.select("case_id", "verdict"), "case_id", "left")

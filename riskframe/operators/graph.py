@@ -65,6 +65,7 @@ def case_graph(cases: DataFrame, urls: DataFrame, attachments: DataFrame, member
     for part in (links, files, camps, near):
         items = items.unionByName(part)
     items = items.select("case_id", "x.*")
+    items = checkpointed(items)
     # At most 4 + 5 + 3 + 6 items and the campaigns of a case reach this window.
     once = top_n(items, ["case_id", "node_id"], [F.col("ordinal")], 1, "_first")
     nodes = top_n(once, ["case_id"], [F.col("ordinal"), F.col("node_id")], MAX_NODES, "node_rank").select(

@@ -114,7 +114,24 @@ def orphan_campaigns(spark, sf):
     return cp.drop_orphans(camps, members)
 
 
-@query("case_graph")
+_GRAPH = f"""
+WITH RECURSIVE {_ROOTS}, m2 AS (SELECT DISTINCT normalized_value, case_id FROM u),
+pr AS (SELECT u.case_id, u.indicator_type, u.indicator_value, m2.case_id AS target_case_id,
+  row_number() OVER (PARTITION BY u.case_id, u.indicator_type, u.indicator_value, u.normalized_value ORDER BY m2.case_id) AS rn
+  FROM u JOIN m2 ON u.normalized_value = m2.normalized_value AND u.case_id <> m2.case_id),
+rl AS (SELECT case_id, target_case_id, row_number() OVER (PARTITION BY case_id ORDER BY CASE {_CONF} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC,
+  target_case_id, indicator_type, indicator_value) AS k FROM pr WHERE rn <= 10),
+near AS (SELECT case_id, count(DISTINCT target_case_id) AS n, count(*) AS e FROM rl WHERE k <= 6 GROUP BY 1),
+ip AS (SELECT case_id, 1 AS n FROM i WHERE indicator_type = 'origin_ip' GROUP BY 1),
+ur AS (SELECT case_id, count(*) AS n FROM i WHERE indicator_type = 'url_domain' AND normalized_value <> '' GROUP BY 1),
+fl AS (SELECT case_id, count(*) AS n FROM i WHERE indicator_type = 'attachment_hash' GROUP BY 1),
+cm AS (SELECT case_id, 1 AS n FROM comp)
+SELECT c.case_id, 1 + 2 * CAST(c.sender <> '' AS INT) + coalesce(ip.n, 0) + coalesce(ur.n, 0) + coalesce(fl.n, 0) + coalesce(cm.n, 0) + coalesce(near.n, 0) AS node_count,
+  2 * CAST(c.sender <> '' AS INT) + coalesce(ip.n, 0) + coalesce(ur.n, 0) + coalesce(fl.n, 0) + coalesce(cm.n, 0) + coalesce(near.e, 0) AS edge_count
+FROM c LEFT JOIN ip USING (case_id) LEFT JOIN ur USING (case_id) LEFT JOIN fl USING (case_id) LEFT JOIN cm USING (case_id) LEFT JOIN near USING (case_id)"""
+
+
+@query("case_graph", _GRAPH)
 def case_graph(spark, sf):
     ind, cases = indicators(spark, sf), case_verdicts(spark, sf)
     rel = co.correlate(ind, cases)

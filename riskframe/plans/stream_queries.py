@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.plans.datasets import SCAN_SQL, mail, table
-from riskframe.plans.registry import query
+from riskframe.plans import text_queries  # noqa: F401  (registers the batch form first)
+from riskframe.plans.registry import QUERIES, query
 from riskframe.streaming import streams as st
 
 _VERDICT = "CASE event_type WHEN 'error' THEN 'DANGER' WHEN 'signup' THEN 'WARNING' ELSE 'SAFE' END"
@@ -122,7 +123,7 @@ def stream_dedup_cheap(spark, sf):
     return st.run_available(st.dedup_cheap(_events(spark, sf), ["user_id", "props"])).select("id")
 
 
-@query("stream_triage")
+@query("stream_triage", f"SELECT email_id, verdict, risk_score, primary_category FROM ({QUERIES['email_triage'].sql})")
 def stream_triage(spark, sf):
     staged = st.shared_folder(st.prepare(spark))
     messages = mail(spark, sf).select(
