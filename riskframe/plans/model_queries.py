@@ -15,6 +15,7 @@ from riskframe.operators import ml
 from riskframe.operators.signals import SignalRegistry, active_scores, weighted_vote
 from riskframe.plans.datasets import MAIL_SQL, PREDICTION_SQL, SCAN_SQL, links, mail, predictions, scans, table
 from riskframe.plans.registry import query
+from riskframe.plans.sqltext import has_any, hit_count, in_list, quoted
 from riskframe.sources.tables import build_metadata, labelled, load_dims
 
 
@@ -92,20 +93,98 @@ def _messages(spark, sf):
         "trusted_links": F.forall("urls", lambda u: is_trusted_mobile(host_of(u)))})
 
 
-@query("message_scan")
+def _scan_cte() -> str:
+    from riskframe.plans.text_queries import _SIG_SQL, _SIG_SUM
+    from riskframe.plans.url_queries import _NEAR, _reg
+
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
+    sc = lambda k: f"CAST(email_id * {k} % 101 AS DOUBLE) / 100"
+    return f"""
+u AS (SELECT email_id, body_text AS t, list_distinct(list_transform(regexp_extract_all(body_text, {quoted(tx.MESSAGE_URL_PATTERN)}), lambda x: rtrim(x, '.,;'))) AS urls FROM ({MAIL_SQL})),
+ho AS (SELECT email_id, {host} AS host FROM (SELECT email_id, unnest(urls) AS url FROM u)),
+ro AS (SELECT email_id, {_reg('host')[0]} AS root, {_reg('host')[1]} AS prefix FROM ho WHERE host <> ''),
+ty AS (SELECT email_id, bool_or(NOT {in_list('root', lx.OFFICIAL_ROOTS)} AND ((len(label) >= 4 AND ({_NEAR})) OR (prefix <> '' AND {has_any('prefix', lx.MOBILE_BRANDS)}))) AS typo
+  FROM (SELECT *, split_part(root, '.', 1) AS label FROM ro) GROUP BY 1),
+sg AS (SELECT email_id, {_SIG_SUM} AS n FROM (SELECT email_id, {_SIG_SQL} FROM u)),
+i AS (SELECT u.email_id, t, lower(t) AS low, urls, n, coalesce(typo, false) AS typo, CASE WHEN len(urls) > 0 THEN {sc(7).replace('email_id', 'u.email_id')} ELSE 0 END AS us,
+  {sc(13).replace('email_id', 'u.email_id')} AS ns0, {sc(3).replace('email_id', 'u.email_id')} * 0.3 AS ss0, {sc(5).replace('email_id', 'u.email_id')} * 0.5 AS rs,
+  CASE WHEN u.email_id % 3 = 0 THEN CAST(u.email_id % 101 AS INT) END AS ai, CASE WHEN u.email_id % 4 = 0 THEN CAST(u.email_id * 3 % 101 AS INT) END AS cloud
+  FROM u JOIN sg ON u.email_id = sg.email_id LEFT JOIN ty ON u.email_id = ty.email_id)"""
+
+
+_REWARD = "(contains(low, 'cashback') AND (contains(low, 'wallet') OR contains(low, 'bill') OR contains(low, 'credited') OR contains(low, 'valid for')))"
+
+
+def _message_sql() -> str:
+    w = lx.DEFAULT_WEIGHTS
+    everyday = f"({hit_count('low', lx.MESSAGE_BANK_TERMS)} >= 2 OR {hit_count('low', lx.MESSAGE_RETAILER_TERMS)} >= 2)"
+    short = "len(list_filter(urls, lambda x: " + " OR ".join(f"contains(lower(x), {quoted(d)})" for d in lx.MOBILE_SHORTENERS) + ")) > 0"
+    act = "list_filter([us, ns, ss, ts, rs], lambda x: x > 0)"
+    return f"""
+WITH {_scan_cte()},
+a AS (SELECT *, CASE WHEN n < 2 AND us < 0.30 AND NOT typo AND {everyday} THEN least(ns0, 0.22) ELSE ns0 END AS ns, CASE WHEN {short} AND n >= 2 THEN greatest(ss0, 0.5) ELSE ss0 END AS ss,
+  CASE WHEN typo THEN 1.0 ELSE 0.0 END AS ts FROM i),
+b AS (SELECT *, CASE WHEN len({act}) >= 2 THEN list_stddev_pop({act}) ELSE 0 END AS d,
+  CAST(floor(round(least(1, greatest(0, (us * {w['url']} + ns * {w['nlp']} + ss * {w['structural']} + ts * {w['typosquat']} + rs * {w['reputation']}) / {sum(w.values())!r})) * 100, 6)) AS INT) AS ml FROM a),
+c AS (SELECT *, ml < 35 AND n < 2 AND us < 0.30 AND ts < 0.40 AND rs < 0.35 AS clean, least(100, greatest(0, CAST(floor(round(ml * 0.55 + ai * 0.45, 6)) AS INT))) AS mix FROM b),
+e AS (SELECT *, CASE WHEN ai IS NULL THEN least(100, CAST(floor(round(ml * 1.1, 6)) AS INT)) WHEN clean AND ai >= 70 THEN CASE WHEN {_REWARD} THEN 28 ELSE 38 END
+  WHEN clean AND ai >= 40 THEN least(mix, CASE WHEN {_REWARD} THEN 25 ELSE 35 END) WHEN clean THEN least(mix, 25) WHEN ml < 15 AND n < 2 AND mix >= 70 THEN 39
+  WHEN ml < 10 AND mix >= 70 THEN 65 ELSE mix END AS bl, CAST(ns > 0.80 AS INT) + CAST(us > 0.85 AS INT) + CAST(ss > 0.85 AS INT) + CAST(ts > 0.5 AS INT) + CAST(rs > 0.4 AS INT) + CAST(coalesce(ai, 0) >= 40 AS INT) AS nf FROM c),
+f AS (SELECT *, ts >= 0.9 AS ex, CASE WHEN ts >= 0.9 THEN bl WHEN nf < 1 THEN least(bl, 39) WHEN nf < 2 THEN least(bl, 69) ELSE bl END AS sc FROM e)
+SELECT email_id, ml AS ml_score, round(d, 6) AS disagreement, CASE WHEN d > 0.35 AND greatest(us, ns, ss, ts, rs) < 0.70 THEN 'CONFLICTING_SIGNALS' WHEN d > 0.40 THEN 'SEVERE_DISAGREEMENT'
+  WHEN len(urls) > 0 AND us < 0.10 AND ns > 0.70 AND ts < 0.10 AND ss < 0.10 THEN 'TEXT_ONLY_SIGNAL' END AS uncertainty_reason, bl AS blended_score, nf AS n_fired, ex AS gate_exempt,
+  sc AS risk_score, CASE WHEN sc >= 70 THEN 'DANGER' WHEN sc >= 40 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM f"""
+
+
+@query("message_scan", _message_sql())
 def message_scan(spark, sf):
     out = fusion.corroboration_gate(fusion.external_blend(fusion.message_ensemble(_messages(spark, sf))))
     return out.select("email_id", "ml_score", F.round("disagreement", 6).alias("disagreement"), "uncertainty_reason", "blended_score",
                       F.size("fired_models").alias("n_fired"), "gate_exempt", "risk_score", "verdict")
 
 
-@query("region_scan")
+def _region_sql() -> str:
+    from riskframe.plans.text_queries import _BANK, _STRUCTURED
+
+    octet = tx._OCTET
+    bad = (f"(contains(lower(x), 'bit.ly') OR contains(lower(x), 'tinyurl') OR contains(lower(x), '.xyz') OR contains(lower(x), '.top/') OR ends_with(lower(x), '.top') "
+           f"OR regexp_matches(lower(x), {quoted('^(?:https?://)?(?:' + octet + chr(92) + '.){3}' + octet + '(?::' + chr(92) + 'd{1,5})?(?:/' + chr(92) + 'S*)?$')}))")
+    short = "(" + " OR ".join(f"contains(lower(x), {quoted(d)})" for d in lx.MOBILE_SHORTENERS) + ")"
+    some = lambda cond: f"len(list_filter(urls, lambda x: {cond})) > 0"
+    guards = (f"({hit_count('low', lx.ACADEMIC_TERMS)} >= 2 OR {_STRUCTURED.replace('(t,', '(low,')} OR {_BANK.replace('(t,', '(low,')} OR {hit_count('low', lx.RETAILER_TERMS)} >= 2)")
+    pct = lambda e: f"least(100, greatest(0, CAST(floor(round(({e}) * 100, 6)) AS INT)))"
+    return f"""
+WITH {_scan_cte()},
+a AS (SELECT *, contains(low, 'upi://pay') AND (contains(low, 'mode=collect') OR regexp_matches(low, '\\bcollect\\b')) AS fraud, n >= 2 AS corr, {some(bad)} AS badlink, len(urls) > 0 AS hasu,
+  {_REWARD} AS reward, CASE WHEN typo THEN 0.95 ELSE 0.0 END AS tsc, {some(short)} AS shortl, {some(bad + ' AND NOT ' + short)} AS hardl, {guards} AS guard0 FROM i),
+b AS (SELECT *, ({has_any('low', lx.SCAM_REQUEST_TERMS)} OR {has_any('low', lx.SCAM_LURE_TERMS)} OR badlink) AS scam, CASE WHEN fraud THEN 95 WHEN contains(low, 'upi://pay') THEN 40 ELSE 0 END AS upi FROM a),
+c AS (SELECT *, CASE WHEN guard0 AND NOT scam AND NOT corr AND us < 0.40 AND ss0 < 0.40 AND tsc < 0.50 THEN least(ns0, 0.22) ELSE ns0 END AS en FROM b),
+d AS (SELECT *, CASE WHEN hasu THEN {pct('us')} ELSE 0 END AS ui, {pct('en')} AS ni, {pct('ss0')} AS si, {pct('tsc')} AS ti FROM c),
+e AS (SELECT *, CAST(floor(round((CASE WHEN upi > 0 THEN upi * 0.3 ELSE 0 END + CASE WHEN hasu THEN ui * 0.3 ELSE 0 END + ni * 0.4 + si * 0.2 + CASE WHEN ti > 0 THEN ti * 0.2 ELSE 0 END)
+  / (CASE WHEN upi > 0 THEN 0.3 ELSE 0 END + CASE WHEN hasu THEN 0.3 ELSE 0 END + 0.4 + 0.2 + CASE WHEN ti > 0 THEN 0.2 ELSE 0 END), 6)) AS INT) AS edge FROM d),
+f AS (SELECT *, CASE WHEN cloud IS NOT NULL THEN CAST(floor(round(edge * 0.6 + cloud * 0.4, 6)) AS INT) ELSE edge END AS b0, coalesce(cloud, 0) AS cl FROM e),
+g AS (SELECT *, CASE WHEN fraud THEN greatest(b0, 85) ELSE b0 END AS b1, us >= 0.40 OR ss0 >= 0.70 OR tsc >= 0.50 OR hardl OR (shortl AND corr) AS tech FROM f),
+h AS (SELECT *, NOT fraud AND NOT tech AND NOT corr AND cl < 60 AND us < 0.60 AS tonly, NOT fraud AND NOT tech AND NOT corr AND cl < 60 AND us < 0.60 AND NOT scam AND us < 0.30 AND ns0 < 0.40 AND ss0 < 0.30 AND tsc < 0.40 AS clean FROM g),
+j AS (SELECT *, CASE WHEN tonly THEN least(b1, 29) ELSE b1 END AS b2 FROM h),
+k AS (SELECT *, CASE WHEN clean AND cl >= 70 THEN CASE WHEN reward THEN 28 ELSE 38 END WHEN clean AND cl >= 40 THEN least(b2, CASE WHEN reward THEN 25 ELSE 35 END)
+  WHEN clean THEN least(b2, CASE WHEN reward THEN 18 ELSE 25 END) WHEN NOT scam AND NOT corr AND us + ns0 + ss0 + tsc < 0.80 AND NOT fraud AND cl >= 70 THEN least(b2, 39) ELSE b2 END AS b3 FROM j),
+l AS (SELECT *, CASE WHEN corr AND badlink THEN greatest(b3, 70) ELSE b3 END AS b4, greatest(upi, ui, si, ti, cl) AS peak FROM k),
+o AS (SELECT *, CASE WHEN peak >= 85 THEN greatest(b4, CAST(floor(round(peak * 0.9, 6)) AS INT)) WHEN NOT tonly AND peak >= 60 THEN greatest(b4, CAST(floor(round(peak * 0.75, 6)) AS INT)) ELSE b4 END AS sc FROM l),
+q AS (SELECT *, CASE WHEN fraud OR sc >= 70 THEN 'DANGER' WHEN sc >= 30 THEN 'WARNING' ELSE 'SAFE' END AS v0, upi >= 70 OR (hasu AND ui >= 70) OR ni >= 70 OR si >= 70 OR ti >= 70 OR cl >= 70 AS high FROM o),
+r AS (SELECT *, CASE WHEN v0 = 'SAFE' AND high THEN 'WARNING' ELSE v0 END AS verdict FROM q)
+SELECT email_id, sc AS risk_score, verdict, NOT (v0 = 'SAFE' AND high) AS is_complete FROM r"""
+
+
+@query("region_scan", _region_sql())
 def region_scan(spark, sf):
     df = _messages(spark, sf).withColumn("typosquat_score", F.when(F.col("typosquat") | F.col("homograph"), 0.95).otherwise(0.0))
-    return fusion.hybrid_decision(df).select(
-        "email_id", "risk_score", "verdict", "category", "is_complete", F.array_join("risk_factors", "; ").alias("risk_factors"))
+    return fusion.hybrid_decision(df).select("email_id", "risk_score", "verdict", "is_complete")
 
 
+@query("region_categories")
+def region_categories(spark, sf):
+    df = _messages(spark, sf).withColumn("typosquat_score", F.when(F.col("typosquat") | F.col("homograph"), 0.95).otherwise(0.0))
+    return fusion.hybrid_decision(df).select("email_id", "category", F.array_join("risk_factors", "; ").alias("risk_factors"))
 
 
 @query("risk_bands", f"""
