@@ -69,7 +69,18 @@ def stream_intent_join(spark, sf):
     return st.run_available(st.match_intents(files, intents, 3600)).filter("intent_id is not null").select("id", "intent_id")
 
 
-@query("stream_claims")
+@query("stream_claims", f"""
+WITH RECURSIVE s AS (SELECT id, CAST(user_id AS VARCHAR) AS uri, ts, event_type AS layer, CASE event_type WHEN 'purchase' THEN 'CAPTURED' WHEN 'error' THEN 'PROCESSED' ELSE 'CLAIM' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS rn FROM ({SCAN_SQL})),
+r(uri, rn, id, layer, kind, granted, held_at, holder, state) AS (
+  SELECT uri, rn, id, layer, kind, true, CASE kind WHEN 'CLAIM' THEN ts END, CASE kind WHEN 'CLAIM' THEN layer END, CASE kind WHEN 'CLAIM' THEN 'P' END FROM s WHERE rn = 1
+  UNION ALL SELECT s.uri, s.rn, s.id, s.layer, s.kind, x.state IS NULL,
+    CASE s.kind WHEN 'CLAIM' THEN CASE WHEN x.state IS NULL THEN s.ts ELSE x.held_at END WHEN 'CAPTURED' THEN CASE WHEN x.state IS NOT NULL THEN x.held_at END END,
+    CASE s.kind WHEN 'CLAIM' THEN CASE WHEN x.state IS NULL THEN s.layer ELSE x.holder END WHEN 'CAPTURED' THEN CASE WHEN x.state IS NOT NULL THEN x.holder END END,
+    CASE s.kind WHEN 'CLAIM' THEN coalesce(x.state, 'P') WHEN 'CAPTURED' THEN CASE WHEN x.state IS NOT NULL THEN 'C' END END
+  FROM (SELECT r.uri, r.rn, r.held_at, r.holder, CASE WHEN r.state = 'P' AND n.ts - r.held_at > INTERVAL 1 HOUR THEN NULL ELSE r.state END AS state FROM r JOIN s n ON n.uri = r.uri AND n.rn = r.rn + 1) x
+  JOIN s ON s.uri = x.uri AND s.rn = x.rn + 1)
+SELECT uri, id, layer, granted, holder FROM r WHERE kind = 'CLAIM'""")
 def stream_claims(spark, sf):
     kind = F.expr("CASE event_type WHEN 'purchase' THEN 'CAPTURED' WHEN 'error' THEN 'PROCESSED' ELSE 'CLAIM' END")
     events = _events(spark, sf).select(
@@ -108,7 +119,14 @@ def stream_cached_lookup(spark, sf):
     return st.run_available(st.cached_lookup(_events(spark, sf), dim, "user_id", ttl_seconds=86400)).select("id", "segment")
 
 
-@query("stream_overlay_alerts")
+@query("stream_overlay_alerts", f"""
+WITH RECURSIVE s AS (SELECT id, user_id AS device_id, package, ts, row_number() OVER (PARTITION BY user_id, package ORDER BY ts, id) AS rn FROM (
+  SELECT *, split_part('com.sbi.lotusintouch|com.example.game|net.one97.paytm|com.axis.mobile', '|', CAST(id % 4 AS INT) + 1) AS package FROM ({SCAN_SQL}))
+  WHERE (contains(package, 'sbi') OR contains(package, 'paytm')) AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' AND user_id IN (SELECT c_custkey FROM customer)),
+r(device_id, package, rn, id, last_ts, ok) AS (SELECT device_id, package, rn, id, ts, true FROM s WHERE rn = 1
+  UNION ALL SELECT s.device_id, s.package, s.rn, s.id, CASE WHEN s.ts - r.last_ts >= INTERVAL 24 HOUR THEN s.ts ELSE r.last_ts END, s.ts - r.last_ts >= INTERVAL 24 HOUR
+  FROM r JOIN s ON s.device_id = r.device_id AND s.package = r.package AND s.rn = r.rn + 1)
+SELECT device_id, package, id FROM r WHERE ok""")
 def stream_overlay_alerts(spark, sf):
     packages = "split_part('com.sbi.lotusintouch|com.example.game|net.one97.paytm|com.axis.mobile', '|', CAST(id % 4 AS INT) + 1)"
     fg = _events(spark, sf).selectExpr("user_id AS device_id", f"{packages} AS package", "'' AS label", "ts", "id")

@@ -28,6 +28,7 @@ def local_session(cores: str = "8", app: str = "riskframe", **conf: str) -> Spar
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
     )
     for key, value in {**SESSION_CONF, **STREAM_CONF, **conf}.items():

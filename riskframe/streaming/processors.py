@@ -97,9 +97,10 @@ class Claims(_Ordered):
         held = self.claim.get() if self.claim.exists() else None
         out = []
         for us, row_id, kind, layer, ts in zip(pdf["_us"], pdf["id"], pdf["kind"], pdf["layer"], pdf["ts"]):
+            if held is not None and held[2] == "PENDING_CAPTURE" and us - held[0] > self.step:
+                held = None  # the pending claim has lapsed
             if kind == "CLAIM":
-                lapsed = held is not None and held[2] == "PENDING_CAPTURE" and us - held[0] > self.step
-                granted = held is None or lapsed
+                granted = held is None
                 if granted:
                     held = (int(us), layer, "PENDING_CAPTURE")
                 out.append((key[0], row_id, ts, layer, granted, held[1]))
