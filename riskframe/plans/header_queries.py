@@ -11,6 +11,7 @@ from riskframe.operators import enrichment as en
 from riskframe.plans.datasets import MAIL_SQL, mail, table
 from riskframe.plans.registry import query
 from riskframe.plans.sqltext import has_any, quoted
+from riskframe.session import checkpointed
 
 _SPF, _DKIM, _DMARC = hx._SPF, hx._DKIM, hx._DMARC
 
@@ -109,11 +110,11 @@ def observed_ips(spark, sf):
     return en.observed_ips(mail(spark, sf)).drop("sighting")
 
 
-def _geo_dim(spark, sf):
-    """Address snapshot: every first-octet value of the nation table's keys gets a country."""
+def _geo_dim(spark, sf, hops):
+    """Address snapshot: the first octet of each public address picks a row of the nation table."""
     nations = table(spark, sf, "nation")
-    hops = en.relay_hops(mail(spark, sf)).filter("ip_class = 'PUBLIC'").select("ip").distinct()
-    keyed = hops.withColumn("n_nationkey", F.pmod(F.split_part("ip", F.lit("."), F.lit(1)).cast("int"), F.lit(25)))
+    ips = hops.filter("ip_class = 'PUBLIC'").select("ip").distinct()
+    keyed = ips.withColumn("n_nationkey", F.pmod(F.split_part("ip", F.lit("."), F.lit(1)).cast("int"), F.lit(25)))
     code = F.expr("split_part('RU|US|DE|CN|IN|FR|NG', '|', n_nationkey % 7 + 1)")
     org = F.expr("split_part('NordVPN AS|Google LLC|Acme Hosting|Home Cable|Tor node|Storage Corp|', '|', n_nationkey % 7 + 1)")
     return keyed.join(F.broadcast(nations), "n_nationkey").select(
@@ -121,6 +122,12 @@ def _geo_dim(spark, sf):
         (F.col("n_nationkey") * 1.5 - 10).alias("lat"), (F.col("n_nationkey") * 3.0).alias("lon"))
 
 
+def _located_hops(spark, sf):
+    """Parsed hops, written once, with their snapshot."""
+    hops = checkpointed(en.relay_hops(mail(spark, sf)))
+    return en.enrich_hops(hops, _geo_dim(spark, sf, hops))
+
+
 _GEO_SQL = """g AS (SELECT ip, n_name AS country, split_part('RU|US|DE|CN|IN|FR|NG', '|', CAST(k % 7 + 1 AS INT)) AS code,
   split_part('NordVPN AS|Google LLC|Acme Hosting|Home Cable|Tor node|Storage Corp|', '|', CAST(k % 7 + 1 AS INT)) AS org, k * 1.5 - 10 AS lat, k * 3.0 AS lon
   FROM (SELECT DISTINCT ip, CAST(split_part(ip, '.', 1) AS INT) % 25 AS k FROM hops WHERE ip_class = 'PUBLIC') JOIN nation ON n_nationkey = k)"""
@@ -133,7 +140,7 @@ SELECT email_id, hop_index, g.country AS geo_country, CASE WHEN g.ip IS NOT NULL
   ELSE concat('Internal relay (', lower(ip_class), ') — not routable; no geolocation applicable.') END AS note
 FROM hops LEFT JOIN g ON hops.ip = g.ip AND hops.ip_class = 'PUBLIC'""")
 def hop_geolocation(spark, sf):
-    return en.enrich_hops(en.relay_hops(mail(spark, sf)), _geo_dim(spark, sf)).select("email_id", "hop_index", "geo_country", "note")
+    return _located_hops(spark, sf).select("email_id", "hop_index", "geo_country", "note")
 
 
 @query("relay_anomaly", f"""
@@ -145,14 +152,14 @@ SELECT email_id, count(*) AS relay_count, count(DISTINCT code) AS country_count,
   CAST(least(100, sum(CASE WHEN code IN ('RU','CN','NG','KP','IR') THEN 25 ELSE 0 END + CASE WHEN k = 'V' THEN 20 ELSE 0 END)
     + CASE WHEN count(DISTINCT code) > 3 THEN 20 ELSE 0 END) AS INT) AS anomaly_score FROM t GROUP BY 1""")
 def relay_anomaly(spark, sf):
-    return en.relay_anomaly(en.enrich_hops(en.relay_hops(mail(spark, sf)), _geo_dim(spark, sf)))
+    return en.relay_anomaly(_located_hops(spark, sf))
 
 
 @query("map_hops", f"""
 WITH {_HOP_ROWS}, {_GEO_SQL} SELECT email_id, hop_index, hops.ip, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM hops JOIN g ON hops.ip = g.ip
 WHERE ip_class = 'PUBLIC' AND lat <> 0 AND lon <> 0 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
 def map_hops(spark, sf):
-    hops = en.plottable_hops(en.enrich_hops(en.relay_hops(mail(spark, sf)), _geo_dim(spark, sf)))
+    hops = en.plottable_hops(_located_hops(spark, sf))
     return hops.select("email_id", "hop_index", "ip", F.col("geo_lat").cast("double").alias("lat"), F.col("geo_lon").cast("double").alias("lon"))
 
 

@@ -76,7 +76,7 @@ def test_entropy_finding(spark):
     none = "array<struct<category:string,description:string,severity:int>>"
     def run(e, pdf, raw, sev):
         found = F.array(F.struct(F.lit("SUSPICIOUS_MIME_MISMATCH").alias("category"), F.lit("x").alias("description"), F.lit(sev).alias("severity"))) if sev else F.array().cast(none)
-        df = spark.range(1).select(found.alias("findings"), F.lit(e).alias("entropy"), F.lit(5000).alias("size"), F.lit(pdf).alias("is_pdf"), F.lit(raw).alias("raw"))
+        df = spark.range(1).select(found.alias("findings"), F.lit(e).alias("entropy"), F.lit(5000).alias("size"), F.lit(pdf).alias("is_pdf"), F.lit(bool(raw)).alias("has_flate"))
         return [f["severity"] for f in fx.with_entropy_finding(df).first()["findings"] if f["category"] == "HIGH_ENTROPY_PACKED"]
     assert run(7.67, True, "/FlateDecode", 0) == [1] and run(7.95, True, "/FlateDecode", 5) == [6]
     assert run(7.6, False, "", 0) == [3] and run(7.5, False, "", 0) == []
