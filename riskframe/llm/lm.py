@@ -5,7 +5,7 @@ weight of the bigram depends on how often its context was seen (buckets by power
 expectation-maximisation on a held-out part of the training documents, whose counts are deleted from the estimates
 meanwhile. Afterwards the model counts every training document.
 
-How it runs: documents are read in groups of about two million tokens. Each group asks for the counts of its distinct
+How it runs: documents are read in groups of about a million tokens. Each group asks for the counts of its distinct
 words and bigrams, once, as sorted 64-bit keys; keys are dealt out by range, added up there, and the totals go back to
 the group. A word or pair that stands in every text costs one key a group, so no key is hot. Nothing of the corpus
 comes to the driver but fixed-size histograms. Words and pairs are told apart by 64-bit hashes.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import common as c
 
 END, START = np.uint64(0x1E), np.uint64(0x1C)  # keys of the end of a text and of its start; words' keys are scrambled hashes
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_200_000
 CONTEXT_BUCKETS, RATIO_BINS, RATIO_PER_E = 48, 1200, 20
 EXACT_COUNTS, COUNT_BINS = 1024, 1024 + 64 * 32
 _GROUP = "group long, em boolean, kind int, bucket int, docs binary, words binary, codes binary, train binary, fold binary"
@@ -90,7 +90,7 @@ def _tokenise(remainder: int, modulus: int, em_modulus: int):
                 "codes": pa.array([c.pack(place[codes].astype(np.int32))], pa.binary()),
                 "train": pa.array([None], pa.binary()), "fold": pa.array([None], pa.binary())})
 
-        for batch in c.pieces(batches):
+        for batch in c.pieces(batches, most=4 << 20):
             ids = batch.column("doc_id").to_pylist()
             train = c.id_remainder(ids, modulus) != remainder
             fold = train & (np.array([c.xxhash.xxh3_64_intdigest(str(i).encode(), 7) % em_modulus for i in ids]) == 0)
