@@ -128,3 +128,9 @@ def bounded_sample(rows: DataFrame, most_chars: int, key: str = "doc_id", text:
             break
         total, last = total + n, s
     return rows.filter(part <= last)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that a checkpoint folder is set, by the rule of ``checkpointed``."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpointed(spark.range(1))

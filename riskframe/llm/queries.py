@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import lm
+from riskframe.llm import lm, packing, seekable
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(c.table(spark, sf_dir, "documents"))
 
 
+def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
+
+
+def op9_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = seekable.write_token_files(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return seekable.read_token_files(files)
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op7_exact_complement_packing": op7_exact_complement_packing,
+    "op9_seekable_frames": op9_seekable_frames,
 }
 ORACLE_SQL: dict[str, str] = {}
