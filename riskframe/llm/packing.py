@@ -33,8 +33,19 @@ Filling = tuple[int, ...]
 _PIECES = "row long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+#: What is consumed before best-fit. Greedy triples can spoil what is left on small tables.
+ORDERS = (("pairs", "triples"), ("pairs",))
+
+
 def plan(available: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Fillings and how many sequences get each, using every piece of ``available`` (length -> pieces) once."""
+    """Fillings and how many sequences get each, using every piece of ``available`` (length -> pieces) once.
+
+    Every order of ``ORDERS`` is planned (on counts, so this costs little); the one with the fewest sequences is taken.
+    """
+    return min((consume(available, capacity, order) for order in ORDERS), key=lambda p: sum(n for _, n in p))
+
+
+def consume(available: dict[int, int], capacity: int, order: tuple[str, ...]) -> list[tuple[Filling, int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in available.items():
         left[length] = n
@@ -50,17 +61,23 @@ def plan(available: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
                 left[x] -= k * times
             done.append((filling, times))
 
+    def pairs() -> None:
+        for a in range(capacity - 1, (capacity - 1) // 2, -1):
+            take((a, capacity - a))
+
+    def triples() -> None:
+        for a in range(capacity - 2, 0, -1):  # the longest first: they are the hardest to place
+            gap = capacity - a
+            # b from half the gap up: the pair (b, gap - b) stands in the index of pair sums at `gap`
+            for b in range(min(a, gap - 1), (gap - 1) // 2, -1):
+                if left[a] == 0:
+                    break
+                if left[b] and left[gap - b]:
+                    take((a, b, gap - b))
+
     take((capacity,))
-    for a in range(capacity - 1, (capacity - 1) // 2, -1):
-        take((a, capacity - a))
-    for a in range(capacity - 2, 0, -1):  # the longest first: they are the hardest to place
-        gap = capacity - a
-        # b from half the gap up: the pair (b, gap - b) stands in the index of pair sums at `gap`
-        for b in range(min(a, gap - 1), (gap - 1) // 2, -1):
-            if left[a] == 0:
-                break
-            if left[b] and left[gap - b]:
-                take((a, b, gap - b))
+    for step in order:
+        {"pairs": pairs, "triples": triples}[step]()
     return done + best_fit(left, capacity)
 
 

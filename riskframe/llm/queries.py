@@ -6,17 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import lm, packing, seekable
+from riskframe.llm import hosts, lines, lm, packing, seekable
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(c.table(spark, sf_dir, "documents"))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = hosts.judge(c.table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
 
+def op8_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(c.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = seekable.write_token_files(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return seekable.read_token_files(files)
@@ -24,7 +33,12 @@ def op9_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op3_host_rules": op3_host_rules,
     "op7_exact_complement_packing": op7_exact_complement_packing,
+    "op8_cuckoo_lines": op8_cuckoo_lines,
     "op9_seekable_frames": op9_seekable_frames,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_host_rules": hosts.SQL,
+    "op8_cuckoo_lines": lines.SQL,
+}
