@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import hosts, lines, lm, packing, seekable
+from riskframe.llm import hosts, lines, lm, packing, seekable, vectors
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(c.table(spark, sf_dir, "documents"))
 
 
+def op2_itq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(c.table(spark, sf_dir, "embeddings"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = hosts.judge(c.table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,6 +37,7 @@ def op9_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_itq_hamming": op2_itq_hamming,
     "op3_host_rules": op3_host_rules,
     "op7_exact_complement_packing": op7_exact_complement_packing,
     "op8_cuckoo_lines": op8_cuckoo_lines,
