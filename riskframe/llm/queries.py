@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import hosts, lines, lm, packing, seekable, vectors
+from riskframe.llm import hosts, lines, lm, minhash, packing, seekable, vectors
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(c.table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_itq_hamming": op2_itq_hamming,
     "op3_host_rules": op3_host_rules,
+    "op5_fast_similarity_sketching": op5_fast_similarity_sketching,
     "op7_exact_complement_packing": op7_exact_complement_packing,
     "op8_cuckoo_lines": op8_cuckoo_lines,
     "op9_seekable_frames": op9_seekable_frames,
