@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import common as c
 
 END, START = np.uint64(0x1E), np.uint64(0x1C)  # keys of the end of a text and of its start; words' keys are scrambled hashes
-GROUP_TOKENS = 1_200_000
+GROUP_TOKENS = 800_000
 CONTEXT_BUCKETS, RATIO_BINS, RATIO_PER_E = 48, 1200, 20
 EXACT_COUNTS, COUNT_BINS = 1024, 1024 + 64 * 32
 _GROUP = "group long, em boolean, kind int, bucket int, docs binary, words binary, codes binary, train binary, fold binary"
@@ -155,7 +155,8 @@ def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(buckets)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 g = _Group(row)
                 cut = np.append(np.searchsorted(g.unique, edges), len(g.unique))
                 out = []
@@ -176,7 +177,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows with equal ``key``, which stand together."""
     now: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one row at a time: they are large
+            row = batch.slice(i, 1).to_pylist()[0]
             if now and now[0][key] != row[key]:
                 yield now
                 now = []
@@ -201,7 +203,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, k in zip(rows, keys, strict=True):
             where = place[at:at + len(k)]
             at += len(k)
-            yield _answer(r["group"], r["em"], r["bucket"], c.pack(train[where]), c.pack(fold[where]))
+            yield _answer(r["group"], r["em"], r["bucket"], c.pack(train[where]), c.pack(fold[where]) if r["em"] else None)
         yield _answer(-1, False, rows[0]["bucket"], c.pack(stats), None)
 
 
@@ -215,12 +217,13 @@ def _answer(group, em, bucket, train, fold) -> pa.RecordBatch:
 
 # --- learning the weights --------------------------------------------------------
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Group, np.ndarray, np.ndarray]]:
-    """Groups with the totals of their keys: in all training texts, and in the held-out part of them."""
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Group, np.ndarray, np.ndarray | None]]:
+    """Groups with the totals of their keys: in all training texts and, for held-out groups, in the held-out ones."""
     for rows in _runs(batches, "group"):
         g = _Group(rows[0])
         answers = sorted(rows[1:], key=lambda r: r["bucket"])
-        yield g, np.concatenate([c.unpack(r["train"], np.int64) for r in answers]), np.concatenate([c.unpack(r["fold"], np.int64) for r in answers])
+        totals = (np.concatenate([c.unpack(r[x], np.int64) for r in answers]) if answers[0][x] is not None else None for x in ("train", "fold"))
+        yield g, *totals
 
 
 def _below(words: np.ndarray, tokens: int, types: int, unigram: float) -> np.ndarray:
