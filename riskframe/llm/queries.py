@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import hosts, lines, lm, minhash, packing, seekable, vectors
+from riskframe.llm import hosts, lines, lm, minhash, mixing, packing, quality, seekable, toxicity, vectors
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,19 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(c.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(c.table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
@@ -39,14 +48,21 @@ def op9_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.read_token_files(files)
 
 
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_itq_hamming": op2_itq_hamming,
     "op3_host_rules": op3_host_rules,
+    "op4_exponential_keys": op4_exponential_keys,
     "op5_fast_similarity_sketching": op5_fast_similarity_sketching,
+    "op6_random_indexing": op6_random_indexing,
     "op7_exact_complement_packing": op7_exact_complement_packing,
     "op8_cuckoo_lines": op8_cuckoo_lines,
     "op9_seekable_frames": op9_seekable_frames,
+    "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_host_rules": hosts.SQL,
