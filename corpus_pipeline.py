@@ -35,16 +35,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays, once.
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays.
 
-    Documents without a word, and those without an id, are in no group and stay.
+    Documents without a word, and those without an id, are in no group and stay. An id that several rows share stays
+    if one of its rows does, and of its equal rows one.
     """
     configure(spark)
-    found = minhash.near_duplicates(docs, size=5, least_percent=80)
-    kept = found.filter("kept").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    # Equal ids: the rows of a group are one document, so one row of each id stays.
-    return docs.join(kept.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(
-        docs.filter("doc_id is null")).select(*docs.columns)
+    found = minhash.near_duplicates(docs, size=5, least_percent=80).filter("doc_id is not null")
+    ids = c.checkpointed(found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("_kept"))
+    single = docs.join(ids.filter("_rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    shared = docs.join(ids.filter("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(shared).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
