@@ -76,6 +76,14 @@ def segments(flat: pa.Array, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start | (since % SEGMENT == 0))
 
 
+def distinct(codes: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each segment's distinct words, and where they begin: a word said often in a segment speaks once."""
+    sizes = np.diff(np.append(first, len(codes)))
+    pairs = np.unique(np.repeat(np.arange(len(first)), sizes) * words + codes)
+    of = pairs // max(words, 1)
+    return pairs % max(words, 1), np.searchsorted(of, np.arange(len(first)))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # SLOTS + 1, the last one 0
@@ -89,7 +97,8 @@ class Model:
         if len(codes):
             value = self.weights[word_slots(words.to_pylist())].sum(axis=1)
             first = segments(flat, rows)
-            np.maximum.at(best, rows[first], np.add.reduceat(value[codes], first) + self.bias)
+            own, begin = distinct(codes, first, len(words))
+            np.maximum.at(best, rows[first], np.add.reduceat(value[own], begin) + self.bias)
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -106,7 +115,8 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, turns: int
     slots = word_slots(words)
     first = segments(flat, rows)
     of_text = rows[first]
-    last = np.append(first[1:], len(codes))
+    spoken, first = distinct(codes, first, len(words))
+    last = np.append(first[1:], len(spoken))
 
     # Start: how much more often a slot stands in toxic texts, for slots of three texts or more.
     pairs = np.unique(rows * len(words) + codes)
@@ -120,7 +130,7 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, turns: int
     bias = -2.0
     for _ in range(turns):
         value = weights[slots].sum(axis=1)
-        score = np.add.reduceat(value[codes], first)
+        score = np.add.reduceat(value[spoken], first)
         order = np.lexsort((-score, of_text))
         rank = np.empty(len(order), dtype=np.int64)
         starts = np.searchsorted(of_text, of_text, side="left")
@@ -129,7 +139,7 @@ def train(texts: list[str], labels: list[int], penalty: float = 1.0, turns: int
         chosen = np.flatnonzero(np.where(y[of_text] == 1, rank < 1, rank < 4))  # a toxic text's worst segment; a clean text's four
         sizes = last[chosen] - first[chosen]
         begin = np.cumsum(sizes) - sizes
-        own = codes[np.repeat(first[chosen] - begin, sizes) + np.arange(sizes.sum())]
+        own = spoken[np.repeat(first[chosen] - begin, sizes) + np.arange(sizes.sum())]
         target = y[of_text[chosen]]
         weight = np.where(target == 1, np.sqrt(max((1 - target).sum(), 1) / max(target.sum(), 1)), 1.0)
         weights, bias = _fit(weights, bias, own, begin, target, weight / weight.sum(), slots, words, penalty, steps)
