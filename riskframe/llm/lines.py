@@ -105,6 +105,7 @@ class Shard:
     def __init__(self, blob: bytes | None = None):
         self.filters: list[CuckooFilter] = []
         self.loose = np.zeros(0, dtype=np.uint64)  # keys whose insertion failed, kept whole
+        self.fresh = np.zeros(0, dtype=np.uint64)  # keys inserted since the blob was read; not part of it
         if blob:
             reader = pa.ipc.open_stream(blob)
             for batch in reader:
@@ -121,9 +122,14 @@ class Shard:
         return known
 
     def insert(self, h: np.ndarray) -> np.ndarray:
-        """Insert distinct keys that are not there yet; returns which seemed to be there."""
+        """Insert those of distinct keys that are certainly new; returns which seemed to be there."""
         known = self.contains(h)
-        new = h[~known]
+        self.force(h[~known])
+        return known
+
+    def force(self, new: np.ndarray) -> None:
+        """Insert distinct keys whatever the filters say: for keys that only seemed to be there."""
+        self.fresh = np.union1d(self.fresh, new)
         if len(new):
             if not self.filters or (self.filters[-1].table != 0).mean() + len(new) / self.filters[-1].table.size > 0.9:
                 self.filters.append(CuckooFilter(max(2 * len(new), 1024)))
@@ -131,7 +137,6 @@ class Shard:
             if len(last.insert(new)):  # very rare: keep these keys whole instead
                 last.table[:] = before
                 self.loose = np.union1d(self.loose, new)
-        return known
 
     def delete(self, h: np.ndarray) -> None:
         whole = np.isin(h, self.loose)
@@ -214,17 +219,29 @@ def _row(shard: int, filters: Shard) -> pa.RecordBatch:
                             "n": pa.array([None], pa.int64()), "blob": pa.array([filters.blob()], pa.binary())})
 
 
+def _mixed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return c.mix(hi.astype(np.uint64) ^ c.mix(lo.astype(np.uint64)))
+
+
 def _insert(shard, filters, hi, lo, n):
-    h = c.mix(hi.astype(np.uint64) ^ c.mix(lo.astype(np.uint64)))
-    unique, place = np.unique(h, return_inverse=True)
-    known = filters.insert(unique)[place] | (np.bincount(place, weights=n) > 1)[place]
-    k = int(known.sum())
-    yield pa.record_batch({"shard": pa.array(np.full(k, shard, dtype=np.int32)), "hi": pa.array(hi[known]), "lo": pa.array(lo[known]),
-                           "n": pa.array(n[known]), "blob": pa.array([None] * k, pa.binary())})
+    """Suspects: keys met again (n as it is), or that a filter took for known before they were inserted here (n = 0)."""
+    unique, place = np.unique(_mixed(hi, lo), return_inverse=True)
+    here = np.isin(unique, filters.fresh)
+    known = filters.insert(unique)
+    suspect = (known | (np.bincount(place, weights=n) > 1))[place]
+    k = int(suspect.sum())
+    yield pa.record_batch({"shard": pa.array(np.full(k, shard, dtype=np.int32)), "hi": pa.array(hi[suspect]), "lo": pa.array(lo[suspect]),
+                           "n": pa.array(np.where((known & ~here)[place], 0, n)[suspect]), "blob": pa.array([None] * k, pa.binary())})
+
+
+def _force(shard, filters, hi, lo, n):
+    filters.force(np.setdiff1d(_mixed(hi, lo), filters.fresh))
+    return
+    yield
 
 
 def _delete(shard, filters, hi, lo, n):
-    filters.delete(np.unique(c.mix(hi.astype(np.uint64) ^ c.mix(lo.astype(np.uint64)))))
+    filters.delete(np.unique(_mixed(hi, lo)))
     return
     yield
 
@@ -259,21 +276,37 @@ class LineIndex:
         signed = self._read("references", _REFS + ", sign int", self._every())
         return signed.groupBy("doc_id", *_KEY).agg(F.sum("sign").alias("n")).filter("n > 0").drop("n")
 
-    def insert(self, docs: DataFrame) -> None:
-        """Add documents (doc_id long, text string) that are not in the index."""
+    def insert(self, docs: DataFrame, last: bool = False) -> None:
+        """Add documents (doc_id long, text string) that are not in the index.
+
+        Keys that only seemed to be known (their fingerprint was another key's) get a fingerprint of their own, so that
+        a later deletion of the other one does not hide them. ``last``: no change follows, so that step is left out.
+        """
         signed = references(docs, self.least).distinct() if self.version else references(docs, self.least)
-        signed.withColumn("sign", F.lit(1)).write.mode("overwrite").parquet(f"{self.folder}/references/{self.version + 1}")
+        self._next(signed.withColumn("sign", F.lit(1)))
         new = self._read("references", _REFS, range(self.version + 1, self.version + 2))
+        held = self.references().select(*_KEY) if self.version else None
         self._pass(_sharded(new, self.shards), _insert)
         self.version += 1
+        if not last:
+            seeming = self._read("filters", _SHARDED, range(self.version, self.version + 1)).filter("blob is null and n = 0").select(*_KEY).distinct()
+            strangers = seeming.join(held, _KEY, "left_anti") if held is not None else seeming
+            self._next(None)
+            self._pass(_sharded(strangers, self.shards), _force)
+            self.version += 1
+
+    def _next(self, references: DataFrame | None) -> None:
+        """The reference rows of the next version; none if only its filters change."""
+        rows = self.spark.createDataFrame([], _REFS + ", sign int") if references is None else references
+        rows.write.mode("overwrite").parquet(f"{self.folder}/references/{self.version + 1}")
 
     def delete(self, ids: DataFrame) -> None:
         """Take documents (doc_id) out again."""
         gone = self.references().join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("sign", F.lit(-1))
-        gone.write.mode("overwrite").parquet(f"{self.folder}/references/{self.version + 1}")
-        gone = self._read("references", _REFS, range(self.version + 1, self.version + 2))
-        before = self.references().join(gone.select(*_KEY).distinct(), _KEY, "left_semi")
-        orphans = before.join(gone, [*_KEY, "doc_id"], "left").groupBy(*_KEY).agg(F.count("*").alias("n"), F.count(gone["doc_id"]).alias("g")).filter("n = g")
+        self._next(gone.select("doc_id", *_KEY, "sign"))
+        taken = self._read("references", _REFS, range(self.version + 1, self.version + 2)).distinct()
+        counted = self.references().distinct().groupBy(*_KEY).agg(F.count("*").alias("n"))
+        orphans = taken.groupBy(*_KEY).agg(F.count("*").alias("g")).join(counted, _KEY).filter("n = g")
         self._pass(_sharded(orphans, self.shards), _delete)
         self.version += 1
 
@@ -328,7 +361,7 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     doc_id are one document. Extra columns pass through. An empty table gives an empty result.
     """
     index = LineIndex(docs.sparkSession, least=least)
-    index.insert(docs)
+    index.insert(docs, last=True)
     return index.clean(docs)
 
 

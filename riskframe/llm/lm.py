@@ -249,10 +249,10 @@ def em_weight(n: np.ndarray, ratio: np.ndarray, steps: int = 200) -> float:
     """Weight of a component that is ``ratio`` times as likely as the other, by expectation-maximisation."""
     if n.sum() == 0:
         return 0.0
-    weight = 0.5
-    for _ in range(steps):
-        weight = float((n * (weight * ratio / (weight * ratio + 1 - weight))).sum() / n.sum())
-    return min(weight, 0.9999)
+    n, ratio, weight = n[n > 0], ratio[n > 0], 0.5
+    for _ in range(steps):  # never quite 1: the lower order must keep some probability
+        weight = min(float((n * (weight * ratio / (weight * ratio + 1 - weight))).sum() / n.sum()), 0.9999)
+    return weight
 
 
 def _learn(groups: DataFrame, answers: DataFrame, parts: int) -> Weights:

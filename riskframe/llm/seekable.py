@@ -177,12 +177,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
     """Encode whole texts and write them in ascending doc_id order, one file a range of ids.
 
     docs: doc_id long, text string. Returns one row a file: part, path, docs, tokens, start (ids in the files before).
-    A null text is an empty one (its end id alone); null ids come first; repeated rows are written each. An empty
+    A null text is an empty one (its end id alone); null ids come first; repeated rows are written each, rows of one id in the order of
+    their texts. An empty
     table gives no file. A task that is repeated writes its file anew and renames it into place.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
-    ordered = docs.select("doc_id", "text").repartitionByRange(c.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange(c.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     files = c.checkpointed(ordered.mapInArrow(_write(folder, vocabulary, end), "part int, path string, docs long, tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file: at most the number of partitions
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

@@ -18,8 +18,9 @@ from tokenizers import Tokenizer
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
-#: Runs of white space, where a cut could move a token border; and the mark used below. Such texts are cut with more care.
-_ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\x01"
+#: Runs of white space, where a cut could move a token border; the mark used below; and what can be a special token.
+#: Such texts are cut with more care.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\x01|<\|"
 _CAREFUL = re.compile(r"(?<=\S)(?=[ \n])")
 _MARKED = r"(\pL)([.,!?|#%*$&;:])"
 _MOST = 250_000  # stretches remembered by a worker before the older half is let go
