@@ -114,20 +114,24 @@ def unpack(blob: bytes, dtype, delta: bool = False) -> np.ndarray:
 
 # --- bounded samples ----------------------------------------------------------
 
-def bounded_sample(rows: DataFrame, most_chars: int, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
-    """Whole rows in the order of a hash of their key, as many as hold ``most_chars`` characters.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most_chars: int, seed: int = 17) -> tuple[list[str], list[int]]:
+    """Whole labelled texts for training, of at most ``most_chars`` characters, with their labels 0 or 1.
 
-    The hash is cut into 65,536 slices; the sample takes slices from the first on. Only the slice sizes come to
-    the driver. Where one slice alone is above the bound the sample takes none.
+    Only rows whose crc32(doc_id) mod ``modulus`` is not 0 are used. Ids are dealt into 65,536 slices by hash; the sample
+    takes slices from the first on. Slices are measured on ids and lengths alone, and texts are read for the chosen ones
+    only, so that labels and texts of the whole table never meet. Where one slice is above the bound there is no sample.
     """
-    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 16)).cast("int")
-    sizes = rows.groupBy(part.alias("s")).agg(F.sum(F.length(text) + 64).alias("n")).collect()
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 16)).cast("int")
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    train = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_of_id(F.col("doc_id")) % modulus != 0))
+    sizes = train.select("doc_id", (F.length("text") + 64).alias("_n")).join(marked, "doc_id").groupBy(part.alias("s")).agg(F.sum("_n").alias("n"))
     total, last = 0, -1
-    for s, n in sorted((r["s"], r["n"] or 0) for r in sizes):
+    for s, n in sorted((r["s"], r["n"]) for r in sizes.collect()):  # at most 65,536 rows
         if total + n > most_chars:
             break
         total, last = total + n, s
-    return rows.filter(part <= last)
+    picked = train.filter(part <= last).select("doc_id", "text").join(marked.filter(part <= last), "doc_id").orderBy("doc_id", "text").collect()
+    return [r["text"] for r in picked], [r["_label"] for r in picked]
 
 
 def checkpoint_folder(spark: SparkSession) -> None:

@@ -4,11 +4,12 @@ A sketch has a fixed number of coordinates. Round by round every shingle is thro
 that reaches a coordinate, and the smallest value in it, fill it. After as many rounds as there are coordinates, a round
 sends all shingles to one coordinate in turn, so every coordinate fills. Large sets fill in one or two rounds.
 
-Equal sets are one node. Nodes that agree in a whole band of coordinates meet in a bucket. Candidates come in three
-turns, each followed by exact verification on the full sets and by components:
+Equal sets are one node. Nodes that agree in a whole band of coordinates meet in a bucket. Candidates come in turns,
+each followed by exact verification on the full sets and by components:
 
 1. each node with the first and the last node of its buckets (two pairs a node and bucket, never all pairs);
-2. where a bucket still holds nodes of different components: each node with its most similar node of each other one;
+2. where a bucket still holds nodes of different components: each node with its most similar node of another one, then
+   with its 16 most similar ones;
 3. every pair of a bucket that is still in different components, in blocks.
 
 Links inside a component need no further test, so a group of thousands of near copies costs a few pairs a node, and no
@@ -31,6 +32,8 @@ from riskframe.llm import common as c
 from riskframe.llm.graph import components, groups, in_blocks
 
 COORDINATES, BANDS, ROWS, BLOCK = 126, 21, 6, 1024
+#: How many of the most similar nodes of other components a node proposes in each turn; the last turn leaves none out.
+TURNS = (1, 16, None)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -125,8 +128,8 @@ def _agreement(least: float):
     return run
 
 
-def _across(least: float, best_only: bool):
-    """Pairs of a group in different components that are similar enough; if asked, each node's best of each component."""
+def _across(least: float, most: int | None):
+    """Pairs of a group in different components that are similar enough: each node's ``most`` best, or all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["bucket", "lo", "hi"]):
             node, part, block = (np.asarray(t[x].combine_chunks()) for x in ("node", "component", "block"))
@@ -135,18 +138,18 @@ def _across(least: float, best_only: bool):
             if not len(a) or not len(b) or (part[a].min() == part[a].max() == part[b].min() == part[b].max()):
                 continue
             v = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
-            for i in a:
-                others = b[part[b] != part[i]]
-                if lo == hi:
+            sides = [(a, b)] if most is None or lo == hi else [(a, b), (b, a)]
+            for i, side in ((i, other) for own, other in sides for i in own):
+                others = side[part[side] != part[i]]
+                if lo == hi and most is None:
                     others = others[others > i]
                 if not len(others):
                     continue
                 alike = (v[others] == v[i]).mean(axis=1)
                 near = alike >= least
                 others, alike = others[near], alike[near]
-                if best_only and len(others) > 1:
-                    order = np.lexsort((-alike, part[others]))
-                    others = others[order][np.unique(part[others][order], return_index=True)[1]]
+                if most is not None and len(others) > most:
+                    others = others[np.lexsort((node[others], -alike))[:most]]
                 if len(others):
                     x, y = np.full(len(others), node[i]), node[others]
                     yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
@@ -227,16 +230,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, least_percent: int = 85, coo
         return c.checkpointed(both.select("a", "b", "sa", "sb").mapInArrow(_verified(least_percent), "a long, b long"))
 
     tested, links = first, verify(first)
-    for best_only in (True, False):
+    for most in TURNS:
         parts = components(links)
         labelled = members.select("bucket", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("size"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p != q").select("bucket", "size")
+        mixed = c.checkpointed(mixed)
+        if mixed.isEmpty():
+            break
         dealt = in_blocks(labelled.join(mixed, "bucket").join(sketch_of, "node"), ["bucket"], "node", "size", block)
-        new = dealt.mapInArrow(_across(near, best_only), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        new = dealt.mapInArrow(_across(near, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         new = c.checkpointed(new)
-        if new.isEmpty():
-            break
         tested, links = tested.unionByName(new), links.unionByName(verify(new))
     parts = components(links)
     placed = same.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -23,7 +23,7 @@ from riskframe.llm import common as c
 
 WIDTH, NONZERO, WINDOW, LEAST_COUNT = 96, 6, 2, 5
 HIDDEN, EPOCHS, RATE = 32, 40, 3e-3
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 12_000_000
 _TOKEN = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
@@ -180,10 +180,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod ``modulus`` is not 0, of at most ``sample_chars`` characters."""
-    marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (c.crc32_of_id(F.col("doc_id")) % modulus != 0)).join(marked, "doc_id")
-    picked = c.bounded_sample(rows, sample_chars).select("doc_id", "text", "_label").orderBy("doc_id", "text").collect()
-    texts, y = [r["text"] for r in picked], np.array([r["_label"] for r in picked], dtype=np.float64)
+    texts, marks = c.labelled_sample(docs, labels, label, modulus, sample_chars)
+    y = np.array(marks, dtype=np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
     if not len(y) or y.min() == y.max():
         return Model(WordVectors({}), None, share)

@@ -25,7 +25,7 @@ from riskframe.llm import common as c
 SLOTS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 SEGMENT = 32
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 12_000_000
 
 # Terms that name groups, neutral in themselves; a term is swapped within its row.
 IDENTITY_TERMS = (
@@ -189,10 +189,7 @@ def _fit(weights, bias, own, begin, target, weight, slots, words, penalty, steps
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, sample_chars: int = SAMPLE_CHARS, penalty: float = 1.0) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod ``modulus`` is not 0, of at most ``sample_chars`` characters."""
-    marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (c.crc32_of_id(F.col("doc_id")) % modulus != 0)).join(marked, "doc_id")
-    picked = c.bounded_sample(rows, sample_chars).select("doc_id", "text", "_label").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in picked], [r["_label"] for r in picked], penalty)
+    return train(*c.labelled_sample(docs, labels, label, modulus, sample_chars), penalty)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
