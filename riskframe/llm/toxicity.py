@@ -25,7 +25,7 @@ from riskframe.llm import common as c
 SLOTS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 SEGMENT = 32
-SAMPLE_CHARS = 12_000_000
+SAMPLE_CHARS = 18_000_000
 
 # Terms that name groups, neutral in themselves; a term is swapped within its row.
 IDENTITY_TERMS = (
