@@ -101,6 +101,26 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+#: What stands before the path: scheme, user information, and the host (group 1 in brackets, group 2 otherwise).
+_AUTHORITY = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^:/?#]*))"
+_BEFORE_PATH = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
+
+
+def raw_host_of(url: Column) -> Column:
+    """Host of a URL as written; empty when there is none. Any character is taken, so an odd one cannot hide a host."""
+    return F.coalesce(F.concat(F.regexp_extract(url, _AUTHORITY, 1), F.regexp_extract(url, _AUTHORITY, 2)), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL; empty when there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    return F.lower(raw_host_of(url))
+
+
+def path_of(url: Column) -> Column:
+    """Path of a URL; empty for schemes without one (``mailto:x``)."""
+    opaque = url.rlike(r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.\-]*:[^/]")
+    return F.when(opaque, "").otherwise(F.coalesce(F.regexp_extract(url, _BEFORE_PATH + "([^?#]*)", 1), F.lit("")))
+
+
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
 from riskframe.functions.common import (
-    any_of, col, compact, contains_any, flag, hit_count, hits, strip, text, words,
+    any_of, col, compact, contains_any, flag, hit_count, hits, host_of, strip, text, words,
 )
 
 URL_PATTERN = r"""(?i)https?://[^\s<>"')\]},;]+"""
@@ -83,9 +83,8 @@ def link_mismatches(html: Column | str) -> Column:
 
     def differs(p: Column) -> Column:
         shown = strip(F.regexp_replace(p["shown"], "<[^>]+>", ""))
-        target = F.lower(F.try_parse_url(p["href"], F.lit("HOST")))
-        claimed = F.lower(F.try_parse_url(shown, F.lit("HOST")))
-        return shown.rlike("(?i)^https?://") & F.coalesce(target != claimed, F.lit(False)) & (target != "") & (claimed != "")
+        target, claimed = host_of(p["href"]), host_of(shown)
+        return shown.rlike("(?i)^https?://") & (target != claimed) & (target != "") & (claimed != "")
 
     return F.size(F.filter(pairs, differs))
 
@@ -143,7 +142,7 @@ def normalize_indicator(kind: Column, value: Column | str) -> Column:
     address = F.regexp_extract(base, r"<([^<>]+)>", 1)
     mailbox = F.when(address != "", strip(address)).otherwise(base)
     tail = F.substring_index(base, "@", -1)
-    host = F.when(tail.rlike("^https?://"), F.coalesce(F.try_parse_url(tail, F.lit("HOST")), tail)).otherwise(tail)
+    host = F.when(tail.rlike("^https?://"), host_of(tail)).otherwise(tail)
     domain = F.btrim(strip(host), F.lit("/"))
     return (
         F.when(kind.isin("sender_email", "reply_to"), mailbox)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
 from riskframe.functions.common import (
-    alternation, clamp, col, compact, contains_any, host_of, let, occurrences, strip, text,
+    alternation, clamp, col, compact, contains_any, host_of, let, occurrences, path_of, query_of, raw_host_of, strip, text,
 )
 
 IPV4_HOST = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
@@ -20,7 +20,7 @@ def clean_domain(c: Column | str) -> Column:
     """Host name out of an address, a URL or plain text; empty when it is none."""
     target = F.lower(strip(text(c)))
     target = F.when(target.contains("@"), strip(F.btrim(F.substring_index(target, "@", -1), F.lit(">")))).otherwise(target)
-    target = F.when(target.rlike("^https?://"), F.coalesce(F.try_parse_url(target, F.lit("HOST")), target)).otherwise(target)
+    target = F.when(target.rlike("^https?://"), host_of(target)).otherwise(target)
     target = F.btrim(F.btrim(target, F.lit("/")), F.lit("<> "))
     return F.when(target.contains(".") & (F.length(target) >= 4), target).otherwise("")
 
@@ -329,9 +329,7 @@ def mobile_features(url: Column | str) -> dict[str, Column]:
     """The 14-value vector of the mobile URL model."""
     u = text(url)
     lower = F.lower(u)
-    host = F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit(""))
-    query = F.coalesce(F.try_parse_url(u, F.lit("QUERY")), F.lit(""))
-    path = F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit(""))
+    host, query, path = raw_host_of(u), query_of(u), path_of(u)
     bit = lambda c: c.cast("int")
     return {
         "url_length": F.length(u), "domain_length": F.length(host),

@@ -17,7 +17,7 @@ def _contains(c: str, term: str) -> Column:
 
 
 def search_cases(df: DataFrame, sender: str | None = None, domain: str | None = None, verdict: str | None = None,
-                 category: str | None = None, query: str | None = None, limit: int | None = 50) -> DataFrame:
+                 category: str | None = None, query: str | None = None, limit: int | None = None) -> DataFrame:
     """Filtered cases, newest first, with masked senders."""
     out = df
     if sender:
@@ -81,12 +81,13 @@ def truncate(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def ioc_matrix(cases: DataFrame, url_scores: DataFrame) -> DataFrame:
+def ioc_matrix(cases: DataFrame, url_scores: DataFrame, max_links: int | None = None) -> DataFrame:
     """Typed indicators of each case with the recommended action.
 
     ``cases``: case_id, sender, subject, ts_text, origin_ip, verdict;
-    ``url_scores``: case_id, pos, url, domain, risk_score (the report lists the
-    first three links).
+    ``url_scores``: case_id, pos, url, domain, risk_score. Values are whole;
+    ``shown`` is the shortened form of a printed report, and ``max_links``
+    limits a report to the first links (off by default).
     """
     row = lambda kind, value, context, action: F.struct(
         F.lit(kind).alias("ioc_type"), value.alias("observable"), context.alias("context"), action.alias("action"))
@@ -99,11 +100,13 @@ def ioc_matrix(cases: DataFrame, url_scores: DataFrame) -> DataFrame:
         F.when((ip != "") & (ip != NOT_DETERMINABLE), row(
             "NETWORK IP", ip, F.lit("Chronological earliest observable public relay"),
             F.when(bad, "Perimeter Firewall / SIEM Block").otherwise("Traffic Logging"))),
-        row("EVIDENCE HASH", F.concat(F.substring(digest, 1, 32), F.lit("...")),
+        row("EVIDENCE HASH", digest,
             F.lit("SHA-256 cryptographic dossier integrity digest"), F.lit("Retain in DFIR Evidence Store")),
     ))).alias("r"))
-    links = top_n(url_scores, ["case_id"], [F.col("pos")], 3).select("case_id", row(
-        "EXTERNAL URL", F.substring("url", 1, 50),
+    listed = url_scores if max_links is None else top_n(url_scores, ["case_id"], [F.col("pos")], max_links)
+    links = listed.select("case_id", row(
+        "EXTERNAL URL", F.col("url"),
         F.format_string("Domain: %s (Risk: %d)", F.col("domain"), F.col("risk_score")),
         F.when(F.col("risk_score") >= 50, "DNS Sinkhole / Web Proxy Block").otherwise("Monitor Web Gateway")).alias("r"))
-    return own.unionByName(links).select("case_id", "r.*")
+    shown = F.when(F.col("ioc_type") == "EVIDENCE HASH", F.concat(F.substring("observable", 1, 32), F.lit("..."))).otherwise(F.substring("observable", 1, 50))
+    return own.unionByName(links).select("case_id", "r.*").withColumn("shown", shown)

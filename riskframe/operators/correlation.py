@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskframe import lexicons as lx
 from riskframe.functions.text import normalize_indicator
 from riskframe.operators.enrichment import NOT_DETERMINABLE
-from riskframe.operators.joins import salted_join, top_n
+from riskframe.operators.joins import lookup_join, top_n
 from riskframe.session import checkpointed
 
 CONFIDENCE_RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
@@ -85,7 +85,7 @@ def correlate(indicators: DataFrame, cases: DataFrame, per_indicator: int = 10)
             "rank", F.col("case_id").alias("target_case_id"),
             F.coalesce("verdict", F.lit("UNKNOWN")).alias("target_verdict")))).alias("_others"))
         .filter(F.size("_others") > 1))
-    joined = salted_join(usable, packed, ["normalized_value"], "inner")
+    joined = lookup_join(usable, packed, "normalized_value", "inner")
     others = F.slice(F.filter("_others", lambda o: o["target_case_id"] != F.col("case_id")), 1, per_indicator)
     out = joined.withColumn("_o", F.explode(others)).select(
         "case_id", "indicator_type", "indicator_value", "normalized_value", "_o.target_case_id", "_o.target_verdict")

@@ -120,11 +120,11 @@ def enrich_hops(hops: DataFrame, geo: DataFrame) -> DataFrame:
     return joined.withColumn("note", note).drop("_geo_ip", "_found")
 
 
-def relay_anomaly(hops: DataFrame, key: str = "email_id", max_ips: int | None = 10) -> DataFrame:
+def relay_anomaly(hops: DataFrame, key: str = "email_id", max_ips: int | None = None) -> DataFrame:
     """Contextual anomaly score of a relay path (never part of the verdict).
 
     Works on the distinct resolved public addresses of each message in hop
-    order; ``max_ips`` is the number of addresses the report looks at.
+    order; ``max_ips`` limits it to the first addresses (off by default).
     """
     public = (
         hops.filter((F.col("ip_class") == "PUBLIC") & F.col("geo_country_code").isNotNull())

@@ -5,51 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A dimension of at most this many rows is broadcast; anything larger is shuffled.
-BROADCAST_ROWS = 100_000
-#: Rows per key above which the key is split over several tasks.
-HOT_ROWS = 1_000_000
+#: Rows with a NULL key match nothing; they are dealt over so many places of their own.
+NULL_PLACES = 4096
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+    """Join with a lookup table that is unique per key.
 
-
-def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Shuffle join of a skewed fact side with a dimension that is unique per key.
-
-    Keys with more than ``hot_rows`` fact rows are spread over
-    ``ceil(rows / hot_rows)`` salts and only their dimension rows are
-    replicated. The list of hot keys has at most ``rows / hot_rows`` entries.
+    Spark measures the lookup side while it runs and broadcasts it only if it is small; otherwise both sides are
+    shuffled and adaptive execution splits the partitions of hot keys. Rows without a key would all meet in one task:
+    a second join column spreads them.
     """
-    keys = [F.col(k) for k in on]
-    hot = (
-        fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = fact.join(hot, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns if not _unhashable(fact, c)]), salts).cast("int"))
-    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt").select(
-        *keys, *[c for c in fact.columns if c not in on], *[c for c in dim.columns if c not in on])
+    on = [on] if isinstance(on, str) else on
+    missing = F.greatest(*[F.col(k).isNull() for k in on]) if len(on) > 1 else F.col(on[0]).isNull()
+    others = [F.col(c) for c in fact.columns if not _unhashable(fact, c)]
+    place = F.when(missing, 1 + F.pmod(F.xxhash64(*others), F.lit(NULL_PLACES))).otherwise(F.lit(0)).cast("int")
+    joined = fact.withColumn("_place", place).join(dim.withColumn("_place", missing.cast("int")), [*on, "_place"], how)
+    if how in ("left_semi", "left_anti"):
+        return joined.select(*fact.columns)
+    return joined.select(*on, *[c for c in fact.columns if c not in on], *[c for c in dim.columns if c not in on])
 
 
 def _unhashable(df: DataFrame, name: str) -> bool:
     return "map<" in df.schema[name].dataType.simpleString()
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left",
-                max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join with a lookup table: broadcast when its size is checked to be small, salted otherwise."""
-    on = [on] if isinstance(on, str) else on
-    if is_small(dim, max_rows):
-        return fact.join(F.broadcast(dim), on, how)
-    return salted_join(fact, dim, on, how, hot_rows)
-
-
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key; Spark limits each partition before the shuffle."""
     from pyspark.sql import Window

@@ -59,11 +59,23 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
         totals.withColumn("_parts", F.count(F.lit(1)).over(border)).filter(F.col("_parts") > 1)
         .select("_part", *keys, *[F.sum(f"_t_{n}").over(ahead).alias(f"_c_{n}") for n in sums])
     )
-    joined = local.join(F.broadcast(carry), ["_part", *keys], "left")
+    joined = _carried(local, carry, keys)
     return joined.select(*df.columns, *[
         (F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
+def _carried(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the carry of their partition and key; a NULL key is a key like any other.
+
+    The carry has at most two rows for each partition, so it is broadcast.
+    """
+    named = carry.withColumnsRenamed({k: f"_key_{k}" for k in ["_part", *keys]})
+    same = F.col("_part") == F.col("_key__part")
+    for k in keys:
+        same = same & local[k].eqNullSafe(named[f"_key_{k}"])
+    return local.join(F.broadcast(named), same, "left").drop(*[f"_key_{k}" for k in ["_part", *keys]])
+
+
 def previous_values(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
                     prefix: str = "prev_") -> DataFrame:
     """The given columns of the row just before, within the key."""
@@ -180,5 +192,5 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, na
     # Only keys that cross a partition border: at most two rows per partition.
     carry = ends.withColumn("_parts", F.count(F.lit(1)).over(border)).filter(F.col("_parts") > 1).select(
         "_part", *keys, F.last("_e", ignorenulls=True).over(back).alias("_c"))
-    joined = local.join(F.broadcast(carry), ["_part", *keys], "left")
+    joined = _carried(local, carry, keys)
     return joined.select(*df.columns, F.coalesce("_l", "_c").alias(name))

@@ -154,7 +154,7 @@ SELECT case_id, {_MASK} AS sender, subject, verdict, risk_score FROM ({CASE_SQL}
 WHERE contains(lower(sender), '@mail3') AND verdict = 'MALICIOUS' AND contains(lower(subject), 'review_')
 ORDER BY ts DESC, case_id LIMIT 50""")
 def case_search(spark, sf):
-    out = cs.search_cases(case_verdicts(spark, sf), domain="Mail3", verdict="malicious", query="review_")
+    out = cs.search_cases(case_verdicts(spark, sf), domain="Mail3", verdict="malicious", query="review_", limit=50)
     return out.select("case_id", "sender", "subject", "verdict", "risk_score")
 
 
@@ -199,15 +199,15 @@ def case_delete(spark, sf):
 
 @query("ioc_matrix", f"""
 WITH c AS (SELECT case_id, sender, subject, verdict, CASE WHEN risk_score % 3 = 0 THEN '' ELSE '8.8.8.8' END AS ip FROM ({CASE_SQL})),
-l AS (SELECT concat('P', link_id % 1000000000) AS case_id, url, link_id, row_number() OVER (PARTITION BY link_id % 1000000000 ORDER BY link_id) AS rn FROM ({LINK_SQL}))
+l AS (SELECT concat('P', link_id % 1000000000) AS case_id, url, link_id FROM ({LINK_SQL}))
 SELECT case_id, 'EMAIL SENDER' AS ioc_type, sender AS observable, CASE WHEN verdict = 'MALICIOUS' THEN 'Filter / Gateway Quarantine' ELSE 'Standard Logging' END AS action FROM c WHERE sender <> ''
 UNION ALL SELECT case_id, 'NETWORK IP', ip, CASE WHEN verdict = 'MALICIOUS' THEN 'Perimeter Firewall / SIEM Block' ELSE 'Traffic Logging' END FROM c WHERE ip <> ''
-UNION ALL SELECT case_id, 'EVIDENCE HASH', concat(left(sha256(concat(sender, ':', subject, ':', 't0')), 32), '...'), 'Retain in DFIR Evidence Store' FROM c
-UNION ALL SELECT case_id, 'EXTERNAL URL', left(url, 50), 'Monitor Web Gateway' FROM l WHERE rn <= 3""")
+UNION ALL SELECT case_id, 'EVIDENCE HASH', sha256(concat(sender, ':', subject, ':', 't0')), 'Retain in DFIR Evidence Store' FROM c
+UNION ALL SELECT case_id, 'EXTERNAL URL', url, 'Monitor Web Gateway' FROM l""")
 def ioc_matrix(spark, sf):
     cases = case_verdicts(spark, sf).withColumns({
         "origin_ip": F.expr("CASE WHEN risk_score % 3 = 0 THEN '' ELSE '8.8.8.8' END"), "ts_text": F.lit("t0")})
     urls = links(spark, sf).select(
         F.concat(F.lit("P"), (F.col("link_id") % 1000000000).cast("string")).alias("case_id"), F.col("link_id").alias("pos"), "url",
         F.lit("d").alias("domain"), F.lit(10).alias("risk_score"))
-    return cs.ioc_matrix(cases, urls).drop("context")
+    return cs.ioc_matrix(cases, urls).drop("context", "shown")

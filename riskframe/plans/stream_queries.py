@@ -136,9 +136,14 @@ def stream_overlay_alerts(spark, sf):
     return st.run_available(st.overlay_alerts(fg, overlays, 86400)).select("device_id", "package", "id")
 
 
-@query("stream_dedup_cheap")
-def stream_dedup_cheap(spark, sf):
-    return st.run_available(st.dedup_cheap(_events(spark, sf), ["user_id", "props"])).select("id")
+@query("stream_dedup_exact", f"""
+WITH RECURSIVE s AS (SELECT id, user_id, content AS props, ts, row_number() OVER (PARTITION BY user_id, content ORDER BY ts, id) AS rn FROM ({SCAN_SQL})),
+r(user_id, props, rn, id, last_ts, ok) AS (SELECT user_id, props, rn, id, ts, true FROM s WHERE rn = 1
+  UNION ALL SELECT s.user_id, s.props, s.rn, s.id, CASE WHEN s.ts - r.last_ts < INTERVAL 12 HOUR THEN r.last_ts ELSE s.ts END,
+    s.ts - r.last_ts >= INTERVAL 12 HOUR FROM r JOIN s ON s.user_id = r.user_id AND s.props = r.props AND s.rn = r.rn + 1)
+SELECT id FROM r WHERE ok""")
+def stream_dedup_exact(spark, sf):
+    return st.run_available(st.dedup_exact(_events(spark, sf), ["user_id", "props"], 12 * 3600)).select("id")
 
 
 @query("stream_triage", f"SELECT email_id, verdict, risk_score, primary_category FROM ({QUERIES['email_triage'].sql})")

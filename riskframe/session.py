@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,23 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (single-machine tests).
+    The folder comes from ``spark.checkpoint.dir``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="riskframe-ckpt-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which all executors see.
+
+    A temporary one stands in only where everything runs in one process.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="riskframe-ckpt-")

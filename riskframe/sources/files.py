@@ -26,7 +26,8 @@ def archive_parts(files: DataFrame, max_bytes: int = lx.MAX_INFLATED_BYTES) -> D
     """Parts of ZIP containers: ``file_id, part_name, part_text, bomb``.
 
     Every part is listed; the text is read for relationship files. A container
-    whose parts would inflate past the limit is flagged instead of unpacked.
+    whose parts would inflate past the limit is flagged; its relationship files
+    are still read, but for single ones past the limit.
     """
     zipped = files.filter(F.substring("content", 1, 2) == F.lit(b"PK")).select("file_id", "content")
 
@@ -44,7 +45,7 @@ def archive_parts(files: DataFrame, max_bytes: int = lx.MAX_INFLATED_BYTES) -> D
                         bomb = sum(i.file_size for i in z.infolist()) > max_bytes
                         for info in z.infolist():
                             name = info.filename.lower()
-                            read = name.endswith(".rels") and not bomb
+                            read = name.endswith(".rels") and info.file_size <= max_bytes
                             body = z.read(info).decode("utf-8", errors="ignore").lower() if read else None
                             rows.append((file_id, name, body, bomb))
                 except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
@@ -57,9 +58,10 @@ def archive_parts(files: DataFrame, max_bytes: int = lx.MAX_INFLATED_BYTES) -> D
 def inflated_streams(files: DataFrame, max_total: int = lx.MAX_INFLATED_BYTES, max_stream: int = lx.MAX_STREAM_BYTES) -> DataFrame:
     """Text of the compressed streams of PDF files: ``file_id, inflated, bomb``.
 
-    Streams above ``max_stream`` compressed bytes are skipped and a file that
-    inflates past ``max_total`` is flagged, so one hostile file cannot exhaust
-    a task.
+    A stream above ``max_stream`` compressed bytes, or one that would inflate
+    past what is left of ``max_total``, is left out and the file is flagged; the
+    text of all other streams is kept, so a bomb hides nothing and one hostile
+    file cannot exhaust a task.
     """
     pdfs = files.filter(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("file_id", "content")
 
@@ -72,25 +74,29 @@ def inflated_streams(files: DataFrame, max_total: int = lx.MAX_INFLATED_BYTES, m
         opener = re.compile(rb"stream(\r\n|\r|\n)")
 
         def one(data: bytes):
-            texts, total, at = [], 0, 0
+            texts, total, at, bomb, before = [], 0, 0, False, 0
             while found := opener.search(data, at):
                 end = data.find(b"endstream", found.end())
                 if end < 0:
                     break
                 packed = data[found.end():end]
                 at = end + len(b"endstream")
-                context = data[max(0, found.start() - 2048):found.start()]
-                if b"/FlateDecode" not in context or not 0 < len(packed) <= max_stream:
+                context, before = data[before:found.start()], at
+                if b"/FlateDecode" not in context or not packed:
+                    continue
+                if len(packed) > max_stream:
+                    bomb = True
                     continue
                 try:
                     out = zlib.decompressobj().decompress(packed, max_total - total + 1)
                 except zlib.error:
                     continue
+                if total + len(out) > max_total:
+                    bomb = True
+                    continue
                 total += len(out)
-                if total > max_total:
-                    return "", True
                 texts.append(out.decode("latin-1"))
-            return "\n".join(texts), False
+            return "\n".join(texts), bomb
 
         for pdf in batches:
             done = [one(bytes(c)) for c in pdf["content"]]

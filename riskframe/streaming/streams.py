@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.session import STREAM_CONF
+from riskframe.session import STREAM_CONF, shared_root
 from riskframe.streaming.processors import (
     BUFFER_OUTPUT, CLAIM_OUTPUT, WEIGHT_OUTPUT, Claims, Cooldown, RecentBuffer, WeightAdapter, run_processor,
 )
@@ -27,8 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder (a local one only where none is named)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskframe-stream-")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    return f"{shared_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
@@ -86,9 +83,9 @@ def suppress_repeats(df: DataFrame, keys: list[str], content: str, seconds: floa
     return cooldown(df, keys, seconds, content=content)
 
 
-def dedup_cheap(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Approximate form: holds a key for at least the watermark delay, so it may drop more."""
-    return df.dropDuplicatesWithinWatermark(keys)
+def dedup_exact(df: DataFrame, keys: list[str], seconds: float = 60) -> DataFrame:
+    """Drop events whose key was accepted less than ``seconds`` before."""
+    return cooldown(df, keys, seconds)
 
 
 def debounce(df: DataFrame, keys: list[str], gap: str = "1 second", ts: str = "ts", value: str = "content") -> DataFrame:

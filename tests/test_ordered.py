@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import history as hs
 from riskframe.operators import ordered as od
-from riskframe.operators.joins import lookup_join, salted_join, top_n
+from riskframe.operators.joins import lookup_join, top_n
 
 START = datetime(2024, 1, 1)
 
@@ -85,16 +85,53 @@ def test_reputation_uses_only_the_past(frame, rows):
         past.append(weight[r[4]])
 
 
-def test_salted_join_equals_plain_join(spark, frame):
+def test_lookup_join_equals_plain_join_and_spreads_null_keys(spark, frame):
+    from pyspark.sql import functions as F
+
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, w int")
-    for how in ("left", "inner", "left_anti"):
-        if how == "left_anti":
-            continue
-        a = sorted(map(tuple, salted_join(frame, dim, ["key"], how, hot_rows=100).select("id", "w").collect()), key=repr)
-        b = sorted(map(tuple, frame.join(dim, "key", how).select("id", "w").collect()), key=repr)
-        assert a == b
-    c = sorted(map(tuple, lookup_join(frame, dim, "key", max_rows=1, hot_rows=100).select("id", "w").collect()), key=repr)
-    assert c == sorted(map(tuple, frame.join(dim, "key", "left").select("id", "w").collect()), key=repr)
+    missing = frame.withColumn("key", F.when(F.col("id") % 10 == 0, F.col("key")))
+    for rows in (frame, missing):
+        for how in ("left", "inner", "left_semi", "left_anti"):
+            columns = ["id"] if how.startswith("left_") else ["id", "w"]
+            a = sorted(map(tuple, lookup_join(rows, dim, "key", how).select(*columns).collect()), key=repr)
+            assert a == sorted(map(tuple, rows.join(dim, "key", how).select(*columns).collect()), key=repr)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        many = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+        sizes = [r["n"] for r in lookup_join(many, dim, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 0.5 * sum(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_null_keys_carry_over_partition_borders(spark):
+    from pyspark.sql import functions as F
+
+    from riskframe.operators.ordered import last_before, running_sums
+
+    rows = spark.range(1000).select("id", F.lit(None).cast("string").alias("key"), F.when(F.col("id") % 100 == 0, F.col("id")).alias("v")).repartition(6)
+    got = running_sums(rows, ["key"], ["id"], {"n": F.lit(1)}).collect()
+    assert all(r["n"] == r["id"] for r in got) and len(got) == 1000
+    assert all(r["l"] == r["id"] // 100 * 100 for r in last_before(rows, ["key"], ["id"], "v", "l").collect())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import types
+
+    from riskframe.session import shared_root
+
+    def session(master, folder=None):
+        conf = types.SimpleNamespace(get=lambda k, d=None: folder)
+        context = types.SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master)
+        return types.SimpleNamespace(sparkContext=context)
+
+    with pytest.raises(RuntimeError):
+        shared_root(session("spark://head:7077"))
+    assert shared_root(session("spark://head:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_root(session("local[4]"))
 
 
 def test_top_n_limits_before_the_shuffle(frame):
