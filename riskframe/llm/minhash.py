@@ -249,3 +249,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, least_percent: int = 85, coo
     joined = sketched.drop("sketch").join(placed, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("row", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL of the query over ``documents``.
+SQL = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct rid, array_to_string(w[i:i + 2], ' ') as shingle
+  from (select rid, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from d where len(w) > 0)
+), n as (select rid, count(*) as n from s group by rid), u as (select s.* from s join d on s.rid = d.rid where d.doc_id is not null),
+p as (select a.rid as x, b.rid as y, count(*) as c from u a join u b on a.shingle = b.shingle and a.rid <> b.rid group by a.rid, b.rid),
+l as (select x, y from p join n a on p.x = a.rid join n b on p.y = b.rid where 100 * c >= 85 * (a.n + b.n - c)),
+reach as (select rid, rid as other from d union select r.rid, l.y from reach r join l on r.other = l.x),
+part as (select r.rid, min(d.doc_id) as component_id from reach r join d on r.other = d.rid group by r.rid)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, part.component_id, coalesce(d.doc_id = part.component_id, true) as kept
+from d join part on d.rid = part.rid left join n on d.rid = n.rid
+"""

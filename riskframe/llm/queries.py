@@ -65,6 +65,8 @@ QUERIES = {
     "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_itq_hamming": vectors.SQL,
     "op3_host_rules": hosts.SQL,
+    "op5_fast_similarity_sketching": minhash.SQL,
     "op8_cuckoo_lines": lines.SQL,
 }

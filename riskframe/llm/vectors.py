@@ -178,3 +178,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                          F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL of the query over ``embeddings``.
+SQL = """
+with recursive v as (select row_number() over () as rid, vec_id, label, embedding::double[] as e from embeddings),
+ok as (
+  select *, list_dot_product(e, e) as n2 from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0
+), l as (
+  select a.rid as x, b.rid as y from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.rid <> b.rid
+  where list_dot_product(a.e, b.e) / sqrt(a.n2 * b.n2) >= 0.98
+), reach as (
+  select rid, rid as other from v union select r.rid, l.y from reach r join l on r.other = l.x
+), part as (
+  select r.rid, min(v.vec_id) as component_id from reach r join v on r.other = v.rid group by r.rid
+), n as (select x as rid, count(*) as n from l group by x)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, part.component_id, coalesce(v.vec_id = part.component_id, true) as kept
+from v join part on v.rid = part.rid left join n on v.rid = n.rid
+"""
