@@ -142,3 +142,18 @@ def test_known_bad_hash_ignores_the_empty_digest(spark):
     att = spark.createDataFrame([(1, lx.EMPTY_SHA256), (2, "AB" * 32)], "id int, sha256 string")
     bad = spark.createDataFrame([(lx.EMPTY_SHA256,), ("ab" * 32,)], "sha256 string")
     assert [r["id"] for r in en.known_bad_attachments(att, bad).collect()] == [2]
+
+
+def test_hosts_of_odd_urls(one):
+    from riskframe.functions.common import host_of, path_of, query_of
+    from pyspark.sql import functions as F
+
+    cases = {
+        "http://paypa1.com/a|b": "paypa1.com", "http://paypa1.com/a{b}?q=%zz": "paypa1.com", "http://pay_pal-login.com/x": "pay_pal-login.com",
+        "http://аpple.com/x": "аpple.com", "HTTPS://User:p@ss@Example.COM:8080/x": "example.com", "http://[2001:DB8::1]:80/": "2001:db8::1",
+        "//cdn.example.net/x": "cdn.example.net", "mailto:a@b.c": "", "no url": "", "": "", " http://lead.com": "lead.com", "http://x.com?q@y.com": "x.com",
+    }
+    for url, host in cases.items():
+        assert one(host_of(F.col("u")), u=url) == host, url
+    assert one(path_of(F.col("u")), u="http://x.com/a|b/c?d#e") == "/a|b/c" and one(query_of(F.col("u")), u="http://x.com/a?d=%zz#e") == "d=%zz"
+    assert one(path_of(F.col("u")), u="javascript:alert/1") == ""
