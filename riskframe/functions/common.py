@@ -51,10 +51,6 @@ def ends_with_any(c: Column, suffixes: Iterable[str]) -> Column:
     return any_of(c.endswith(s) for s in suffixes)
 
 
-def starts_with_any(c: Column, prefixes: Iterable[str]) -> Column:
-    return any_of(c.startswith(p) for p in prefixes)
-
-
 def hit_count(c: Column, terms: Iterable[str]) -> Column:
     """How many of the terms occur in the text (each counted once)."""
     return reduce(lambda a, b: a + b, (c.contains(t).cast("int") for t in terms), F.lit(0))
@@ -93,10 +89,6 @@ def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-def not_blank(c: Column) -> Column:
-    return F.when(strip(c) != "", c)
-
-
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 

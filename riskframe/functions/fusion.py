@@ -507,17 +507,6 @@ def representative_score(verdict: Column) -> Column:
 _N = len(lx.COMPONENTS)
 
 
-def default_weights() -> Column:
-    return F.array(*[F.lit(lx.DEFAULT_WEIGHTS[c]) for c in lx.COMPONENTS])
-
-
-def _bounded(weights: Column) -> Column:
-    """One clamp-and-normalise pass."""
-    held = F.transform(weights, lambda x: F.when(
-        x.isNotNull() & ~F.isnan(x) & (x >= 0.0), clamp(x, lx.MIN_WEIGHT, lx.MAX_WEIGHT)).otherwise(lx.MIN_WEIGHT))
-    return F.transform(held, lambda x: x / F.aggregate(held, F.lit(0.0), lambda a, b: a + b))
-
-
 def weight_step(weights, scores, verdict: str, correct: bool):
     """One feedback event on a weight vector (numpy; used by batch and stream folds)."""
     import numpy as np
@@ -537,7 +526,3 @@ def weight_step(weights, scores, verdict: str, correct: bool):
         w = np.where(np.isfinite(w) & (w >= 0), np.clip(w, lx.MIN_WEIGHT, lx.MAX_WEIGHT), lx.MIN_WEIGHT)
         w = w / w.sum()
     return w
-
-
-def any_high(scores: list[Column], limit: float) -> Column:
-    return any_of(s > limit for s in scores)

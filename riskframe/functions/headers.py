@@ -301,14 +301,6 @@ def mobile_headers(c: Column | str) -> Column:
     return let(let(facts, read), decide)
 
 
-def address_flags(c: Column | str) -> Column:
-    """Version and boolean properties of an address."""
-    return let(ip_class(c), lambda kind: F.struct(
-        ip_version(c).alias("ip_version"), kind.alias("ip_class"),
-        (kind == "PUBLIC").alias("is_public"), (kind == "PRIVATE").alias("is_private"),
-        (kind == "LOOPBACK").alias("is_loopback"), (kind == "LINK_LOCAL").alias("is_link_local")))
-
-
 def bracket_value(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit("[] \t\r\n"))
 
@@ -316,7 +308,3 @@ def bracket_value(c: Column | str) -> Column:
 def auth_sender_ip(header: Column | str) -> Column:
     found = F.regexp_extract(text(header), r"(?i)sender\s+IP\s+is\s+([0-9a-fA-F.:]+)", 1)
     return F.when(found != "", found)
-
-
-def all_statuses(auth: Column) -> Column:
-    return compact(auth["spf"], auth["dkim"], auth["dmarc"])

@@ -421,11 +421,3 @@ def repair_screen_domain(c: Column | str) -> Column:
         .when(lower.startswith("http") & lower.contains("0"), F.translate(lower, "01", "ol"))
         .otherwise(lower)
     )
-
-
-def is_regional(c: Column | str, tanglish: Column, hinglish: Column) -> Column:
-    return any_of([has_tamil(c), has_devanagari(c), has_telugu(c), tanglish, hinglish])
-
-
-def flags_of(signals: Column) -> Column:
-    return flag(signals)

@@ -80,20 +80,6 @@ def brand_imitation(domain: Column | str, brands=None) -> Column:
     return let(let(F.lower(strip(text(domain))), split_host), decide)
 
 
-def imitation_reason(domain: Column, outcome: Column) -> Column:
-    name, brand = F.lower(strip(domain)), outcome["brand"]
-    root = F.element_at(F.split(name, r"\."), -2)
-    return (
-        F.when(outcome["type"] == "COMBOSQUAT", F.concat(
-            F.lit("Domain '"), name, F.lit("' contains protected brand '"), brand, F.lit("' without authorization.")))
-        .when(outcome["type"] == "TYPOSQUAT", F.concat(
-            F.lit("Domain '"), name, F.lit("' typosquats protected brand '"), brand,
-            F.lit("' (Levenshtein distance "), F.levenshtein(root, brand).cast("string"), F.lit(").")))
-        .when(outcome["type"] == "SUBDOMAIN_SPOOF", F.concat(
-            F.lit("Subdomain in '"), name, F.lit("' mimics protected brand '"), brand, F.lit("'.")))
-    )
-
-
 # -- mobile domain check ---------------------------------------------------
 
 def registrable(host: Column) -> Column:

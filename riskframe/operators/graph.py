@@ -101,7 +101,3 @@ def reachable(roots: DataFrame, refs: DataFrame, max_rounds: int = 10_000) -> Da
             return seen
         seen = checkpointed(seen.union(front))
     raise RuntimeError(f"references deeper than {max_rounds}")
-
-
-def window_rank(keys: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -55,8 +55,3 @@ def weighted_vote(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(
         F.coalesce(F.try_divide(F.sum(r), F.sum(w)), F.lit(0.0)).alias("vote"), F.count_if(ready).alias("models_ready"),
         F.count_if(~ready).alias("models_failed"))
-
-
-def uncertain_on_failure(score: Column) -> Column:
-    """Local models that fail read as uncertain rather than clean."""
-    return F.coalesce(F.when(~F.isnan(score), score), F.lit(0.5))

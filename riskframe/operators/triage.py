@@ -15,12 +15,6 @@ from riskframe.functions.text import (
 from riskframe.functions.urls import spoof_check, url_assessment
 
 
-def score_urls(df: DataFrame, key: str, urls: str = "urls") -> DataFrame:
-    """Long table of assessed URLs: key, position, url, assessment columns."""
-    long = df.select(key, F.posexplode(F.col(urls)).alias("pos", "url"))
-    return long.select(key, "pos", "url", url_assessment("url").alias("_a")).select(key, "pos", "url", "_a.*")
-
-
 def url_rollup(url_scores: DataFrame, key: str) -> DataFrame:
     return url_scores.groupBy(key).agg(
         F.max("risk_score").alias("url_risk"), F.bool_or("is_shortener").alias("any_shortener"),

@@ -47,11 +47,6 @@ def unpack_region_scans(df: DataFrame) -> DataFrame:
         "extracted_urls", "recommended_actions")
 
 
-def write_indicators(df: DataFrame, table: str, buckets: int = 512) -> None:
-    """Indicators clustered by the correlation key, so later self-joins need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "normalized_value").sortBy("normalized_value").saveAsTable(table)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Publish a rewritten table under a new version folder; readers follow ``_current``."""
     from uuid import uuid4

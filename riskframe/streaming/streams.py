@@ -60,12 +60,6 @@ def write_batch(df: DataFrame, batch: int, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
-def latest_batch(df: DataFrame) -> DataFrame:
-    """Rows of the newest batch (complete mode)."""
-    newest = df.agg(F.max("batch_id").alias("batch_id"))
-    return df.join(F.broadcast(newest), "batch_id").drop("batch_id")
-
-
 # -- operators -------------------------------------------------------------
 
 def cooldown(df: DataFrame, keys: list[str], seconds: float, ts: str = "ts", row_id: str = "id",
