@@ -19,10 +19,13 @@ from riskframe.operators.ordered import global_rank
 STEPS = 4096
 
 
-def letter_share(text: Column) -> Column:
-    """Quality weight of a text: letters among its characters other than white space, from 0.05 to 1."""
-    dark = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]"))
-    return F.coalesce(F.greatest(F.regexp_count(text, F.lit(r"\p{L}")) / F.when(dark > 0, dark), F.lit(0.05)), F.lit(0.05))
+#: A word of letters, with one sign of punctuation at most after it.
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:]?(?![^\x20\x09-\x0D])"
+
+
+def plain_share(text: Column, size: Column) -> Column:
+    """Quality weight of a text of ``size`` words: the share of plain words, from 0.05 to 1."""
+    return F.coalesce(F.greatest(F.regexp_count(text, F.lit(PLAIN_WORD)) / F.when(size > 0, size), F.lit(0.05)), F.lit(0.05))
 
 
 def targets(sizes: DataFrame, share: float, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -62,26 +65,32 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
     return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
 
 
+def _keyed(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
+    """Size, key, the key's step and a hash of the text, for every document."""
+    weight = plain_share(F.col("text"), F.col("size")) if quality is None else quality
+    # u in (0, 1], from 52 bits of a hash
+    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 12) + 1) / F.lit(float(1 << 52))
+    keyed = docs.withColumn("size", c.n_words(F.col("text"))).withColumns({"_key": -F.log(u) / weight, "_text": F.xxhash64("text")})
+    place = F.floor((1 - F.exp(-F.col("_key"))) * (STEPS * STEPS)).cast("long")
+    return keyed.withColumn("_place", F.least(place, F.lit(STEPS * STEPS - 1)))
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, quality: Column | None = None,
-        seed: int = 7) -> DataFrame:
+        seed: int = 7, texts: bool = True) -> DataFrame:
     """All columns of ``docs`` with size, source_size, target, copies (times the mix takes it) and taken (size x copies).
 
     docs: doc_id long, text string, source string; other columns pass through, and columns named like the new ones are
     replaced. Size is the number of words; a null or blank text has size 0. A null source is a source of its own, the
-    last one. ``quality`` is a positive weight of a document (default: ``letter_share``). Keys come from the id and the
+    last one. ``quality`` is a positive weight of a document (default: ``plain_share``). Keys come from the id and the
     seed, so reruns agree; rows with equal keys are ordered by a hash of their text and are interchangeable if that is
-    equal too. An empty table gives an empty result.
+    equal too. An empty table gives an empty result. Without ``texts`` only doc_id and source of the documents come
+    back, and texts are read once instead of twice.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     own = docs.drop(*added)
-    weight = letter_share(F.col("text")) if quality is None else quality
-    # u in (0, 1], from 52 bits of a hash
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 12) + 1) / F.lit(float(1 << 52))
-    keyed = own.withColumns({"size": c.n_words(F.col("text")), "_key": -F.log(u) / weight, "_text": F.xxhash64("text")})
-    sized = keyed.select("doc_id", "source", "size", "_key", "_text")
-    place = F.floor((1 - F.exp(-F.col("_key"))) * (STEPS * STEPS)).cast("long")
-    sized = sized.withColumn("_place", F.least(place, F.lit(STEPS * STEPS - 1)))
-    sized = c.checkpointed(sized.withColumns({"b1": F.floor(F.col("_place") / STEPS), "b2": F.col("_place") % STEPS}).drop("_place"))
+    keyed = _keyed(own, quality, seed)
+    sized = keyed.select("doc_id", "source", "size", "_key", "_text", "_place")
+    sized = c.checkpointed(sized.withColumns({"b1": F.floor(F.col("_place") / STEPS), "b2": F.col("_place") % STEPS}))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = c.checkpointed(sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
@@ -101,13 +110,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     border = last.filter("_in").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "_text", "size")).alias("border"))
     cut = _by_source(_by_source(_by_source(sources, first.select("source", "c1")), second.select("source", "c2")), border)
 
-    joined = _by_source(keyed.withColumn("_place", F.least(place, F.lit(STEPS * STEPS - 1))), cut)
+    joined = _by_source(keyed if texts else sized, cut)
     b1, b2 = F.floor(F.col("_place") / STEPS), F.col("_place") % STEPS
     at_border = F.coalesce(F.struct("_key", "doc_id", "_text", "size") <= F.col("border"), F.lit(False))
     part = (b1 < F.col("c1")) | ((b1 == F.col("c1")) & ((b2 < F.col("c2")) | ((b2 == F.col("c2")) & at_border)))
     copies = F.col("epochs") + F.when(F.coalesce(part, F.lit(False)) & (F.col("rest") > 0), 1).otherwise(0)
     result = joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return result.select(*own.columns, *added)
+    return result.select(*(own.columns if texts else ["doc_id", "source"]), *added)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:

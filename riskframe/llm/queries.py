@@ -23,7 +23,7 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(c.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(c.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), texts=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
