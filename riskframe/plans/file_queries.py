@@ -73,7 +73,7 @@ def scan_reports(spark, sf):
     scanned = fx.scan_files(_pdf_files(spark, sf))
     round_trip = scanned.withColumn("findings", fx.findings_from_json(fx.findings_to_json(F.col("findings"))))
     return round_trip.select(
-        "file_id", fx.plain_summary(F.col("verdict"), F.col("findings"), F.col("entropy")).alias("plain_summary"),
+        "file_id", fx.plain_summary(F.col("verdict"), F.col("findings")).alias("plain_summary"),
         fx.technical_detail(round_trip).alias("technical_detail"))
 
 

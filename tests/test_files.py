@@ -127,3 +127,33 @@ def test_package_vector(one):
     v = one(fx.package_vector(F.col("p")), p=perms)
     assert len(v) == 64 and sum(v[:50]) == 3 and v[50:54] == [1, 1, 0, 0] and abs(v[54] - 0.06) < 1e-9 and abs(v[55] - 0.03) < 1e-9
     assert abs(one(fx.package_fallback(F.col("p")), p=perms) - 0.60) < 1e-9
+
+
+def test_plain_summary_names_every_kind_of_finding(spark):
+    from pyspark.sql import functions as F
+
+    from riskframe.operators.files import plain_summary
+
+    kind = "array<struct<category:string,description:string,severity:int>>"
+    rows = [("MALICIOUS", [("EMBEDDED_JAVASCRIPT", "", 4), ("EMBEDDED_EXECUTABLE", "", 9), ("EMBEDDED_JAVASCRIPT", "", 2)]), ("SAFE", []),
+            ("INCONCLUSIVE", []), ("SUSPICIOUS", [("ODD_KIND", "", 1)])]
+    df = spark.createDataFrame(rows, f"verdict string, findings {kind}")
+    got = {r["verdict"]: r["s"] for r in df.select("verdict", plain_summary(F.col("verdict"), F.col("findings")).alias("s")).collect()}
+    assert got["MALICIOUS"] == "Rated malicious: it can start another program, it carries script code. Delete it unopened."
+    assert got["SAFE"] == "Rated safe: nothing unusual was found in it. No action is needed."
+    assert got["SUSPICIOUS"].startswith("Rated suspicious: it shows signs of odd kind.") and "treat it with care" in got["INCONCLUSIVE"]
+
+
+def test_a_bomb_hides_no_other_stream(spark):
+    import zlib
+
+    from riskframe.sources.files import inflated_streams
+
+    def stream(data):
+        return b"1 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(data) + b"\nendstream endobj\n"
+
+    pdf = b"%PDF-1.4\n" + stream(b"first text") + stream(b"\0" * 50_000) + stream(b"app.alert(1)") + b"%%EOF"
+    df = spark.createDataFrame([("a", bytearray(pdf))], "file_id string, content binary")
+    row = inflated_streams(df, max_total=10_000).first()
+    assert row["bomb"] and row["inflated"] == "first text\napp.alert(1)"
+    assert not inflated_streams(df).first()["bomb"]
