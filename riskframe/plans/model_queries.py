@@ -264,9 +264,9 @@ def url_classifier(spark, sf):
 SELECT email_id, CASE WHEN contains(sender, '@') THEN concat(CASE WHEN len(split_part(sender, '@', 1)) > 1 THEN concat(left(sender, 1), '***') ELSE '***' END, '@', split_part(sender, '@', 2)) ELSE sender END AS masked,
   CASE WHEN regexp_extract(lower(authentication_results), 'spf\\s*=\\s*(pass|fail|softfail|neutral|none|temperror|permerror|bestguesspass)', 1) = '' THEN 'UNKNOWN'
     ELSE upper(regexp_extract(lower(authentication_results), 'spf\\s*=\\s*(pass|fail|softfail|neutral|none|temperror|permerror|bestguesspass)', 1)) END AS spf,
-  split_part('PUBLIC|PRIVATE|INVALID|LOOPBACK', '|', CAST(email_id % 4 AS INT) + 1) AS address_class FROM ({MAIL_SQL})""")
+  split_part('PUBLIC|PRIVATE|INVALID|LOOPBACK|LOOPBACK|PUBLIC|PRIVATE', '|', CAST(email_id % 7 AS INT) + 1) AS address_class FROM ({MAIL_SQL})""")
 def sql_functions(spark, sf):
     register_functions(spark)
     return mail(spark, sf).selectExpr(
         "email_id", "mask_email(sender) AS masked", "auth_status(authentication_results, 'SPF') AS spf",
-        "ip_class(split_part('8.8.8.8|10.0.0.1|1.2.3|127.0.0.1', '|', CAST(email_id % 4 AS INT) + 1)) AS address_class")
+        "ip_class(split_part('8.8.8.8|10.0.0.1|1.2.3|127.0.0.1|::1|2a00:1450:4009::8a|fd12::1', '|', CAST(email_id % 7 AS INT) + 1)) AS address_class")

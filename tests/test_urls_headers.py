@@ -157,3 +157,17 @@ def test_hosts_of_odd_urls(one):
         assert one(host_of(F.col("u")), u=url) == host, url
     assert one(path_of(F.col("u")), u="http://x.com/a|b/c?d#e") == "/a|b/c" and one(query_of(F.col("u")), u="http://x.com/a?d=%zz#e") == "d=%zz"
     assert one(path_of(F.col("u")), u="javascript:alert/1") == ""
+
+
+def test_sql_ip_class_equals_the_column_rule(spark):
+    from pyspark.sql import functions as F
+
+    from riskframe.functions.headers import ip_class
+    from riskframe.functions.sql import register_functions
+
+    register_functions(spark)
+    values = ["8.8.8.8", "10.0.0.1", "1.2.3", "127.0.0.1", "169.254.1.1", "::1", "::", "fe80::1", "2001:db8::1", "2a00:1450:4009::8a", "fd12:3456::1",
+              "::ffff:10.0.0.1", "::ffff:8.8.8.8", "1:2:3:4:5:6:7:8", "1:2", "g::1", "::1.2.3.4", " 8.8.4.4 ", "", None, "2002:aabb::", "ff02::1"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", ip_class("v").alias("a"), F.expr("ip_class(v)").alias("b")).collect()
+    assert [(r["v"], r["a"]) for r in rows] == [(r["v"], r["b"]) for r in rows]
