@@ -17,6 +17,7 @@ from riskframe.llm import common as c
 from riskframe.operators.ordered import global_rank
 
 STEPS = 4096
+PLACES = 64  # parts of a source when its documents meet the decision about it
 
 
 #: A word of letters, with one sign of punctuation at most after it.
@@ -65,6 +66,21 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
     return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
 
 
+def _at_step(docs: DataFrame, step: str, crossing: DataFrame, at: str) -> DataFrame:
+    """Documents of the step in which their source's budget falls; joined on source and step, so no source is one task."""
+    other = crossing.withColumnRenamed("source", "_source")
+    same = docs["source"].eqNullSafe(other["_source"]) & (docs[step] == other[at])
+    return docs.join(other, same).drop("_source", at)
+
+
+def _spread(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Documents with the row of their source; the few rows of ``cut`` are copied, so a source's documents are many tasks."""
+    left = docs.withColumn("_part", F.pmod(F.xxhash64("_key", "_text"), F.lit(PLACES)).cast("int"))
+    right = cut.withColumnRenamed("source", "_source").withColumn("_place_of", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+    same = left["source"].eqNullSafe(right["_source"]) & (left["_part"] == right["_place_of"])
+    return left.join(right, same, "left").drop("_source", "_part", "_place_of")
+
+
 def _keyed(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
     """Size, key, the key's step and a hash of the text, for every document."""
     weight = plain_share(F.col("text"), F.col("size")) if quality is None else quality
@@ -97,11 +113,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
 
     first = _by_source(sized.groupBy("source", "b1").agg(F.sum("size").alias("size")), sources.select("source", "rest"))
     first = c.checkpointed(_crossing(first, "b1", F.col("rest")).withColumnsRenamed({"at": "c1", "before": "before1"}))
-    inside = _by_source(sized, _by_source(first, sources.select("source", "rest")), "inner").filter("b1 = c1")
-    inside = c.checkpointed(inside.withColumn("rest", F.col("rest") - F.col("before1")).drop("c1", "before1"))
+    inside = _at_step(sized, "b1", _by_source(first, sources.select("source", "rest")), "c1")
+    inside = c.checkpointed(inside.withColumn("rest", F.col("rest") - F.col("before1")).drop("before1"))
     second = inside.groupBy("source", "b2", "rest").agg(F.sum("size").alias("size"))
     second = c.checkpointed(_crossing(second, "b2", F.col("rest")).withColumnsRenamed({"at": "c2", "before": "before2"}))
-    last = _by_source(inside, second, "inner").filter("b2 = c2")
+    last = _at_step(inside, "b2", second, "c2")
     upto = Window.partitionBy("source").orderBy("_key", "doc_id", "_text", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("_sum", F.sum("size").over(upto) + F.col("before2"))
     # the document on which the budget falls is taken if that comes nearer
@@ -110,7 +126,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     border = last.filter("_in").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "_text", "size")).alias("border"))
     cut = _by_source(_by_source(_by_source(sources, first.select("source", "c1")), second.select("source", "c2")), border)
 
-    joined = _by_source(keyed if texts else sized, cut)
+    joined = _spread(keyed if texts else sized, cut)
     b1, b2 = F.floor(F.col("_place") / STEPS), F.col("_place") % STEPS
     at_border = F.coalesce(F.struct("_key", "doc_id", "_text", "size") <= F.col("border"), F.lit(False))
     part = (b1 < F.col("c1")) | ((b1 == F.col("c1")) & ((b2 < F.col("c2")) | ((b2 == F.col("c2")) & at_border)))
