@@ -283,18 +283,18 @@ def _pick(values, index):
     return f"split_part('{'|'.join(values)}', '|', CAST(({index}) % {len(values)} AS INT) + 1)"
 
 
-_FILES = f"SELECT id AS file_id, ts, {_pick(_PATHS, 'user_id')} AS path, {_pick(_NAMES, 'id')} AS name, CAST(floor(value) AS INT) AS size, id FROM ({SCAN_SQL}) WHERE id % 3 <> 0"
-_INTENTS = f"SELECT id AS intent_id, ts, {_pick(_PKGS, 'id')} AS package, 'DOWNLOAD' AS intent_type FROM ({SCAN_SQL}) WHERE id % 3 = 0"
+_FILES = f"SELECT id AS file_id, user_id, ts, {_pick(_PATHS, 'user_id')} AS path, {_pick(_NAMES, 'id')} AS name, CAST(floor(value) AS INT) AS size, id FROM ({SCAN_SQL}) WHERE id % 3 <> 0"
+_INTENTS = f"SELECT id AS intent_id, user_id, ts, {_pick(_PKGS, 'id')} AS package, 'DOWNLOAD' AS intent_type FROM ({SCAN_SQL}) WHERE id % 3 = 0"
 
 
 def _files(spark, sf):
     return scans(spark, sf).filter("id % 3 <> 0").selectExpr(
-        "id AS file_id", "ts", f"{_pick(_PATHS, 'user_id')} AS path", f"{_pick(_NAMES, 'id')} AS name", "CAST(floor(value) AS INT) AS size")
+        "id AS file_id", "user_id", "ts", f"{_pick(_PATHS, 'user_id')} AS path", f"{_pick(_NAMES, 'id')} AS name", "CAST(floor(value) AS INT) AS size")
 
 
 def _intents(spark, sf):
     return scans(spark, sf).filter("id % 3 = 0").selectExpr(
-        "id AS intent_id", "ts", f"{_pick(_PKGS, 'id')} AS package", "'DOWNLOAD' AS intent_type")
+        "id AS intent_id", "user_id", "ts", f"{_pick(_PKGS, 'id')} AS package", "'DOWNLOAD' AS intent_type")
 
 
 @query("qualifying_downloads", f"""
@@ -321,8 +321,8 @@ c AS (SELECT *, CASE WHEN contains(lower(path), 'com.whatsapp.w4b') THEN 'com.wh
 def _level(pkg_case: str, source: str, name: str) -> str:
     return f"""
 {name}_l AS (SELECT a.file_id, a.ts AS fts, arg_max(i.intent_id, (i.ts, i.intent_id)) AS intent_id, max(i.ts) AS its FROM (SELECT *, {pkg_case} AS package FROM {source}) a
-  JOIN i ON i.package = a.package AND i.ts <= a.ts GROUP BY 1, 2),
-{name} AS (SELECT intent_id, arg_min(file_id, (fts, file_id)) AS file_id FROM {name}_l WHERE fts - its <= INTERVAL 7200 SECOND GROUP BY 1)"""
+  JOIN i ON i.user_id = a.user_id AND i.package = a.package AND i.ts <= a.ts GROUP BY 1, 2),
+{name} AS (SELECT intent_id, arg_min(file_id, (fts, file_id)) AS file_id FROM {name}_l WHERE fts - its <= INTERVAL 48 HOUR GROUP BY 1)"""
 
 
 @query("intent_match", f"""
@@ -333,14 +333,14 @@ c3 AS (SELECT * FROM c2 WHERE file_id NOT IN (SELECT file_id FROM w2)), {_level(
 w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)
 SELECT f.file_id, w.intent_id FROM f LEFT JOIN w ON f.file_id = w.file_id""")
 def intent_match(spark, sf):
-    return hs.match_intents(_files(spark, sf), _intents(spark, sf), seconds=7200).select("file_id", "intent_id")
+    return hs.match_intents(_files(spark, sf), _intents(spark, sf), seconds=48 * 3600, tenant=["user_id"]).select("file_id", "intent_id")
 
 
 @query("latest_intent", f"""
-WITH f AS ({_FILES}), i AS ({_INTENTS}), l AS (SELECT f.file_id, f.ts AS fts, i.intent_id, i.ts AS its FROM f ASOF LEFT JOIN i ON f.ts >= i.ts)
-SELECT file_id, CASE WHEN fts - its <= INTERVAL 60 SECOND THEN intent_id END AS intent_id FROM l""")
+WITH f AS ({_FILES}), i AS ({_INTENTS}), l AS (SELECT f.file_id, f.ts AS fts, i.intent_id, i.ts AS its FROM f ASOF LEFT JOIN i ON f.user_id = i.user_id AND f.ts >= i.ts)
+SELECT file_id, CASE WHEN fts - its <= INTERVAL 12 HOUR THEN intent_id END AS intent_id FROM l""")
 def latest_intent(spark, sf):
-    return hs.latest_intent(_files(spark, sf), _intents(spark, sf), seconds=60).select("file_id", "intent_id")
+    return hs.latest_intent(_files(spark, sf), _intents(spark, sf), seconds=12 * 3600, tenant=["user_id"]).select("file_id", "intent_id")
 
 
 @query("latest_claim", f"""
