@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,8 @@ def unpack(blob: bytes, dtype, delta: bool = False) -> np.ndarray:
 
 # --- bounded samples ----------------------------------------------------------
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most_chars: int, seed: int = 17) -> tuple[list[str], list[int]]:
-    """Whole labelled texts for training, of at most ``most_chars`` characters, with their labels 0 or 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most_chars: int, seed: int = 17) -> DataFrame:
+    """doc_id, text, _label (0 or 1): whole labelled texts for training, of at most ``most_chars`` characters.
 
     Only rows whose crc32(doc_id) mod ``modulus`` is not 0 are used. Ids are dealt into 65,536 slices by hash; the sample
     takes slices from the first on. Slices are measured on ids and lengths alone, and texts are read for the chosen ones
@@ -130,8 +131,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         if total + n > most_chars:
             break
         total, last = total + n, s
-    picked = train.filter(part <= last).select("doc_id", "text").join(marked.filter(part <= last), "doc_id").orderBy("doc_id", "text").collect()
-    return [r["text"] for r in picked], [r["_label"] for r in picked]
+    return train.filter(part <= last).select("doc_id", "text").join(marked.filter(part <= last), "doc_id")
+
+
+def train_on(sample: DataFrame, train: Callable[[list[str], list[int]], object]) -> object:
+    """The model that ``train`` makes of a bounded sample, made in one task; only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("_label").to_pylist()
+        yield pa.record_batch({"model": pa.array([pickle.dumps(train(texts, labels))], pa.binary())})
+
+    row = sample.select("doc_id", "text", "_label").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").first()
+    return train([], []) if row is None else pickle.loads(row["model"])
 
 
 def checkpoint_folder(spark: SparkSession) -> None:

@@ -180,7 +180,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod ``modulus`` is not 0, of at most ``sample_chars`` characters."""
-    texts, marks = c.labelled_sample(docs, labels, label, modulus, sample_chars)
+    return c.train_on(c.labelled_sample(docs, labels, label, modulus, sample_chars), train)
+
+
+def train(texts: list[str], marks: list[int]) -> Model:
+    """Fit on whole labelled texts."""
     y = np.array(marks, dtype=np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
     if not len(y) or y.min() == y.max():

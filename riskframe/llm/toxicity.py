@@ -189,7 +189,7 @@ def _fit(weights, bias, own, begin, target, weight, slots, words, penalty, steps
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, sample_chars: int = SAMPLE_CHARS, penalty: float = 1.0) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod ``modulus`` is not 0, of at most ``sample_chars`` characters."""
-    return train(*c.labelled_sample(docs, labels, label, modulus, sample_chars), penalty)
+    return c.train_on(c.labelled_sample(docs, labels, label, modulus, sample_chars), lambda texts, marks: train(texts, marks, penalty))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
