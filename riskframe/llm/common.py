@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,6 +47,15 @@ def id_remainder(ids: list, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus for i in ids], dtype=np.int64)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, beside an executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 # --- texts in Arrow batches -------------------------------------------------
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -58,6 +70,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
 
 
 def tokens(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
@@ -142,6 +155,8 @@ def train_on(sample: DataFrame, train: Callable[[list[str], list[int]], object])
             texts += batch.column("text").to_pylist()
             labels += batch.column("_label").to_pylist()
         yield pa.record_batch({"model": pa.array([pickle.dumps(train(texts, labels))], pa.binary())})
+        del texts, labels
+        release_memory()
 
     row = sample.select("doc_id", "text", "_label").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").first()
     return train([], []) if row is None else pickle.loads(row["model"])

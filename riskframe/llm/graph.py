@@ -49,6 +49,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tab
             begin = end
     if held:
         yield pa.Table.from_batches(held)
+    c.release_memory()
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\x01|<\|"
 _CAREFUL = re.compile(r"(?<=\S)(?=[ \n])")
 _MARKED = r"(\pL)([.,!?|#%*$&;:])"
-_MOST = 250_000  # stretches remembered by a worker before the older half is let go
+_MOST = 150_000  # stretches remembered by a worker before the older half is let go
 
 
 class Encoder:
