@@ -154,6 +154,23 @@ def test_near_duplicates_equal_brute_force(spark, block):
         assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_at_the_limit_that_share_a_band_are_linked(spark, percent):
+    """5,000 pairs exactly at the limit: whether their sketches agree well or not, those that meet in a bucket link."""
+    import pyarrow as pa
+
+    own = (100 - percent) // 2
+    texts = []
+    for k in range(5000):
+        shared = [f"p{k}s{i}" for i in range(percent)]
+        texts += [" ".join(shared + [f"p{k}a{i}" for i in range(own)]), " ".join(shared + [f"p{k}b{i}" for i in range(100 - percent - own)])]
+    v = np.concatenate([minhash.sketches(minhash.shingle_sets(pa.array(texts[k:k + 2000]), 1)) for k in range(0, len(texts), 2000)])
+    bands = (v[0::2] == v[1::2]).reshape(5000, minhash.BANDS, minhash.ROWS).all(axis=2)
+    meet = {2 * k for k in np.flatnonzero(bands.any(axis=1))}
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=1, least_percent=percent)
+    assert {r["component_id"] for r in got.filter("doc_id != component_id").collect()} == meet and len(meet) > 4960
+
+
 def test_sketches_estimate_similarity_and_fill():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64)) for _ in range(2))
