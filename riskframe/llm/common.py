@@ -131,20 +131,36 @@ def unpack(blob: bytes, dtype, delta: bool = False) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most_chars: int, seed: int = 17) -> DataFrame:
     """doc_id, text, _label (0 or 1): whole labelled texts for training, of at most ``most_chars`` characters.
 
-    Only rows whose crc32(doc_id) mod ``modulus`` is not 0 are used. Ids are dealt into 65,536 slices by hash; the sample
-    takes slices from the first on. Slices are measured on ids and lengths alone, and texts are read for the chosen ones
-    only, so that labels and texts of the whole table never meet. Where one slice is above the bound there is no sample.
+    Only rows whose crc32(doc_id) mod ``modulus`` is not 0 are used, and none that alone exceeds the bound. Rows are
+    ordered by a hash of id and text, in 65,536 x 65,536 slices; the sample takes slices from the first on. The slice in
+    which the bound falls is cut again by its second level, so rows that share an id, and large tables, are cut where
+    the bound falls too. Slices are measured on ids, hashes and lengths alone, and labels meet texts only within them.
+    An error is raised if there are labelled training texts but none fits.
     """
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 16)).cast("int")
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed))
+    upper, lower = F.pmod(F.shiftrightunsigned(hashed, 16), F.lit(1 << 16)).cast("int"), F.pmod(hashed, F.lit(1 << 16)).cast("int")
+    size = F.length("text") + 64
     marked = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
     train = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_of_id(F.col("doc_id")) % modulus != 0))
-    sizes = train.select("doc_id", (F.length("text") + 64).alias("_n")).join(marked, "doc_id").groupBy(part.alias("s")).agg(F.sum("_n").alias("n"))
-    total, last = 0, -1
-    for s, n in sorted((r["s"], r["n"]) for r in sizes.collect()):  # at most 65,536 rows
-        if total + n > most_chars:
-            break
-        total, last = total + n, s
-    return train.filter(part <= last).select("doc_id", "text").join(marked.filter(part <= last), "doc_id")
+    sized = train.select("doc_id", size.alias("_n"), upper.alias("_s"), lower.alias("_t"))
+
+    def prefix(rows: DataFrame, slices: str, room: int) -> tuple[int, int, int]:
+        """The last slice within ``room``, what it leaves of it, and the slice after it (-1: there is none)."""
+        last = -1
+        for s, n in sorted((r["s"], r["n"]) for r in rows.groupBy(F.col(slices).alias("s")).agg(F.sum("_n").alias("n")).collect()):  # at most 65,536 rows
+            if n > room:
+                return last, room, s
+            last, room = s, room - n
+        return last, room, -1
+
+    fits = sized.filter(F.col("_n") <= most_chars).join(marked.select("doc_id"), "doc_id")
+    last, room, crossing = prefix(fits, "_s", most_chars)
+    inner = prefix(fits.filter(F.col("_s") == crossing), "_t", room)[0] if crossing >= 0 else -1
+    if last < 0 and inner < 0 and not sized.join(marked.select("doc_id"), "doc_id").isEmpty():
+        raise ValueError(f"no labelled training text within a sample of {most_chars} characters")
+    taken = (size <= most_chars) & ((upper <= last) | ((upper == crossing) & (lower <= inner)))
+    chosen = train.filter(taken).select("doc_id", "text")
+    return chosen.join(marked, "doc_id")
 
 
 def train_on(sample: DataFrame, train: Callable[[list[str], list[int]], object]) -> object:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from riskframe.llm import common as c
 from riskframe.llm import lm, quality, toxicity
 
 DOCS = "doc_id long, text string, source string, held_out string, score string"  # the last two clash with results
@@ -184,6 +185,19 @@ def test_quality_on_held_out_texts(spark):
     assert quality.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_sample_is_cut_inside_a_slice_and_never_empty_without_an_error(spark):
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(hot, f"word{k} " * 10) for k in range(400)]  # one id, so one slice of ids, of twelve times the bound
+    marks = spark.createDataFrame([(hot, 1)], "doc_id long, toxic int")
+    total = lambda df: sum(len(r["text"]) + 64 for r in df.collect())
+    took = total(c.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), marks, "toxic", 5, 5000))
+    assert 4000 < took <= 5000
+    large = spark.createDataFrame([(hot, "x" * 6000), *rows[:20]], "doc_id long, text string")
+    assert c.labelled_sample(large, marks, "toxic", 5, 5000).count() == 20
+    with pytest.raises(ValueError, match="no labelled training text"):
+        toxicity.fit(large.filter("length(text) > 5000"), marks, sample_chars=5000)
+
+
 def test_temperature_calibrates_a_noisy_problem():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 10))
