@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -17,14 +16,20 @@ from riskframe.functions.urls import lexical_features
 from riskframe.operators.ordered import global_rank, running_sums
 
 
-def tfidf(df: DataFrame, text: str = "text", vocab_size: int = 1 << 18) -> tuple[PipelineModel, DataFrame]:
-    """Term vectors weighted by ``ln((n + 1) / (df + 1))``."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"\W+"),
-        CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab_size),
-        IDF(inputCol="counts", outputCol="tfidf")]
-    model = Pipeline(stages=stages).fit(df)
-    return model, model.transform(df)
+def tfidf(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``row_id, term, tf, df, weight`` with ``weight = tf * ln((n + 1) / (df + 1))``, for every term of every id.
+
+    Terms are the lower-cased runs of word characters. They are counted by id and by term with aggregates; no
+    vocabulary is built, so none is left out. ``n`` counts all rows, also those without a term; rows that share an id
+    count as one document of theirs.
+    """
+    words = df.select(row_id, F.explode(F.split(F.lower(text), r"\W+")).alias("term")).filter("term != ''")
+    counts = words.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    joined = counts.join(seen, "term").crossJoin(F.broadcast(total))
+    weight = F.col("tf") * F.log((F.col("_n") + 1.0) / (F.col("df") + 1.0))
+    return joined.select(row_id, "term", "tf", "df", weight.alias("weight"))
 
 
 def synthetic_urls(spark: SparkSession, n: int, seed: int = 42, jitter: float = 0.1) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe import lexicons as lx
@@ -216,11 +215,8 @@ WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\
 c AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
 SELECT c.doc_id, count(*) AS n_terms, round(sum(tf * ln((n + 1.0) / (df + 1.0))), 4) AS weight_sum FROM c JOIN d ON c.w = d.w, n GROUP BY 1""")
 def tfidf_weights(spark, sf):
-    _, out = ml.tfidf(table(spark, sf, "documents").select("doc_id", "text"))
-    # toInternal-free view of the sparse vector: counts and weights as arrays.
-    tokens = F.array_distinct("tokens")
-    weights = F.aggregate(F.filter(vector_to_array("tfidf"), lambda x: x != 0), F.lit(0.0), lambda a, x: a + x)
-    return out.filter(F.size("tokens") > 0).select("doc_id", F.size(tokens).cast("bigint").alias("n_terms"), F.round(weights, 4).alias("weight_sum"))
+    terms = ml.tfidf(table(spark, sf, "documents").select("doc_id", "text"))
+    return terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 4).alias("weight_sum"))
 
 
 @query("stratified_split", """
