@@ -72,6 +72,7 @@ def correlate(indicators: DataFrame, cases: DataFrame, per_indicator: int = 10)
     ``per_indicator + 1`` first cases, so those are ranked and packed once per
     value and joined back; no pairs inside a value are ever formed. The type
     of the indicator need not match. ``cases`` gives ``verdict`` by ``case_id``.
+    ``value_case_count`` is the exact number of all cases that hold the value.
     """
     # Written once: ranked, counted for hot values and joined below.
     usable = checkpointed(linkable(indicators).select(
@@ -79,16 +80,17 @@ def correlate(indicators: DataFrame, cases: DataFrame, per_indicator: int = 10)
     members = usable.select("normalized_value", "case_id").distinct()
     first = top_n(members, ["normalized_value"], [F.col("case_id")], per_indicator + 1)
     first = first.join(cases.select("case_id", "verdict"), "case_id", "left")
+    totals = members.groupBy("normalized_value").agg(F.count(F.lit(1)).alias("value_case_count"))
     packed = (
         first.groupBy("normalized_value")
         .agg(F.array_sort(F.collect_list(F.struct(
             "rank", F.col("case_id").alias("target_case_id"),
             F.coalesce("verdict", F.lit("UNKNOWN")).alias("target_verdict")))).alias("_others"))
-        .filter(F.size("_others") > 1))
+        .filter(F.size("_others") > 1)).join(totals, "normalized_value")
     joined = lookup_join(usable, packed, "normalized_value", "inner")
     others = F.slice(F.filter("_others", lambda o: o["target_case_id"] != F.col("case_id")), 1, per_indicator)
     out = joined.withColumn("_o", F.explode(others)).select(
-        "case_id", "indicator_type", "indicator_value", "normalized_value", "_o.target_case_id", "_o.target_verdict")
+        "case_id", "indicator_type", "indicator_value", "normalized_value", "_o.target_case_id", "_o.target_verdict", "value_case_count")
     relation, confidence = relation_of(F.col("indicator_type"))
     return out.withColumns({
         "relationship_type": relation, "confidence": confidence,

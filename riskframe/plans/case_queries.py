@@ -31,7 +31,7 @@ rel AS (SELECT p.case_id, indicator_type, indicator_value, target_case_id, c.ver
 
 @query("cross_case_correlation", f"WITH {_PAIRS} SELECT * FROM rel")
 def cross_case_correlation(spark, sf):
-    return co.correlate(indicators(spark, sf), case_verdicts(spark, sf)).drop("normalized_value", "explanation")
+    return co.correlate(indicators(spark, sf), case_verdicts(spark, sf)).drop("normalized_value", "explanation", "value_case_count")
 
 
 @query("attribution", f"""

@@ -40,6 +40,13 @@ def test_correlation_limit_per_indicator(spark):
     assert per.filter("case_id = 'c000'").first()["m"] == "c001"
 
 
+def test_correlation_counts_all_cases_of_a_value(spark):
+    ind = spark.createDataFrame([(f"c{i:03d}", "origin_ip", "8.8.8.8", "8.8.8.8") for i in range(200)],
+                                "case_id string, indicator_type string, indicator_value string, normalized_value string")
+    rel = co.correlate(ind, ind.select("case_id", F.lit("SAFE").alias("verdict")))
+    assert {r["value_case_count"] for r in rel.collect()} == {200}
+
+
 def test_components_match_union_find(spark):
     import random
     rng = random.Random(5)
