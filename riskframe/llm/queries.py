@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import common as c
-from riskframe.llm import hosts, lines, lm, minhash, mixing, packing, quality, seekable, toxicity, vectors
+from riskframe.llm import cutting, hosts, lines, lm, minhash, mixing, negatives, packing, quality, runs, seekable, toxicity, vectors
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
+def op11_internal_pattern_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_planted_periods(c.table(spark, sf_dir, "documents"))))
+
+
+def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.pack(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("row")
+
+
+def op13_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(c.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_itq_hamming": op2_itq_hamming,
@@ -63,10 +75,14 @@ QUERIES = {
     "op8_cuckoo_lines": op8_cuckoo_lines,
     "op9_seekable_frames": op9_seekable_frames,
     "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
+    "op11_internal_pattern_runs": op11_internal_pattern_runs,
+    "op12_cutting_stock": op12_cutting_stock,
+    "op13_slot_negatives": op13_slot_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_itq_hamming": vectors.SQL,
     "op3_host_rules": hosts.SQL,
     "op5_fast_similarity_sketching": minhash.SQL,
     "op8_cuckoo_lines": lines.SQL,
+    "op13_slot_negatives": negatives.SQL,
 }
