@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskframe.plans.datasets import SCAN_SQL, mail, table
+from riskframe import lexicons as lx
+from riskframe.functions.text import URL_PATTERN
+from riskframe.operators.correlation import linkable
+from riskframe.plans.datasets import LINK_SQL, MAIL_SQL, SCAN_SQL, mail, table
+from riskframe.plans import history_queries as hq
 from riskframe.plans import text_queries  # noqa: F401  (registers the batch form first)
 from riskframe.plans.registry import QUERIES, query
+from riskframe.plans.sqltext import in_list, quoted
 from riskframe.streaming import streams as st
 
 _VERDICT = "CASE event_type WHEN 'error' THEN 'DANGER' WHEN 'signup' THEN 'WARNING' ELSE 'SAFE' END"
@@ -40,33 +45,34 @@ def stream_suppress_repeats(spark, sf):
 
 
 @query("stream_daily_counts", f"""
-WITH s AS ({SCAN_SQL}), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM s)
-SELECT strftime(ts, '%Y-%m-%d') AS day, verdict, count(*) AS n FROM s GROUP BY 1, 2, date_trunc('day', ts)
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT w FROM m)""")
+SELECT strftime(ts, '%Y-%m-%d') AS day, verdict, count(*) AS n FROM ({SCAN_SQL}) GROUP BY 1, 2""")
 def stream_daily_counts(spark, sf):
-    out = st.run_available(st.daily_counts(_events(spark, sf), F.expr(_VERDICT)))
+    beat = st.Heartbeat(spark)
+    out = st.run_available(st.daily_counts(st.read_events(spark, sf, heartbeat=beat), F.expr(_VERDICT)), heartbeat=beat)
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("stream_debounce", f"""
 WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM ({SCAN_SQL})),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, id) AS burst FROM s),
-b AS (SELECT user_id, burst, max_by(content, ts) AS content, count(*) AS n_events, max(ts) + INTERVAL 1 HOUR AS burst_end FROM g GROUP BY 1, 2)
-SELECT user_id, content, n_events, epoch_us(burst_end) AS burst_end FROM b WHERE burst_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM s)""")
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, id) AS burst FROM s)
+SELECT user_id, max_by(content, ts) AS content, count(*) AS n_events, epoch_us(max(ts) + INTERVAL 1 HOUR) AS burst_end FROM g GROUP BY user_id, burst""")
 def stream_debounce(spark, sf):
-    events = _events(spark, sf).withColumn("content", F.col("props"))
-    out = st.run_available(st.debounce(events, ["user_id"], "1 hour"))
+    beat = st.Heartbeat(spark)
+    events = st.read_events(spark, sf, heartbeat=beat).withColumn("content", F.col("props"))
+    out = st.run_available(st.debounce(events, ["user_id"], "1 hour"), heartbeat=beat)
     return out.select("user_id", "content", "n_events", F.unix_micros("burst_end").alias("burst_end"))
 
 
-@query("stream_intent_join", f"""
-WITH f AS (SELECT id, ts, user_id FROM ({SCAN_SQL}) WHERE id % 3 <> 0), i AS (SELECT id AS intent_id, ts AS its, user_id AS u FROM ({SCAN_SQL}) WHERE id % 3 = 0)
-SELECT id, intent_id FROM f JOIN i ON u = user_id AND its <= ts AND its >= ts - INTERVAL 1 HOUR""")
+@query("stream_intent_join", QUERIES["intent_match"].sql)
 def stream_intent_join(spark, sf):
-    files = _events(spark, sf).filter("id % 3 <> 0").withColumn("package", F.col("user_id"))
-    intents = _events(spark, sf).filter("id % 3 = 0").select(
-        F.col("id").alias("intent_id"), F.col("ts").alias("intent_ts"), F.col("user_id").alias("intent_package"))
-    return st.run_available(st.match_intents(files, intents, 3600)).filter("intent_id is not null").select("id", "intent_id")
+    """Files and intents of a user, two days apart at most; the batch form's SQL tells which file uses which intent."""
+    beat = st.Heartbeat(spark)
+    events = st.prepare(spark).readStream.schema(st.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).selectExpr(
+        "event_id AS id", "user_id AS tenant", "CAST(ts AS TIMESTAMP) AS ts", "user_id")
+    files = events.filter("id % 3 <> 0").selectExpr("tenant", "id AS file_id", "ts", f"{hq._pick(hq._PATHS, 'user_id')} AS path")
+    intents = events.filter("id % 3 = 0").selectExpr("tenant", "id AS intent_id", "ts", f"{hq._pick(hq._PKGS, 'id')} AS package", "'DOWNLOAD' AS intent_type")
+    rows = beat.with_watermark(st.intent_rows(files, intents))
+    return st.run_available(st.match_intents(rows, 48 * 3600), heartbeat=beat).select("file_id", "intent_id")
 
 
 @query("stream_claims", f"""
@@ -146,12 +152,52 @@ def stream_dedup_exact(spark, sf):
     return st.run_available(st.dedup_exact(_events(spark, sf), ["user_id", "props"], 12 * 3600)).select("id")
 
 
-@query("stream_triage", f"SELECT email_id, verdict, risk_score, primary_category FROM ({QUERIES['email_triage'].sql})")
+def _batch_indicators() -> str:
+    """Indicators of a message and its micro-batch (three by id), by the SQL of the batch forms."""
+    from riskframe.plans.url_queries import _HOSTS_CTE
+
+    origin = QUERIES["origin_ip"].sql
+    urls = (f"SELECT email_id AS link_id, unnest(list_distinct(list_transform(regexp_extract_all(body_text, {quoted(URL_PATTERN)}), "
+            f"lambda x: rtrim(x, '.')))) AS url FROM ({MAIL_SQL})")
+    hosts = _HOSTS_CTE.replace(LINK_SQL, urls)
+    return f"""
+k AS (SELECT email_id, sender, trim(rtrim(CASE WHEN contains(sender, '@') THEN string_split(sender, '@')[-1] ELSE sender END, '>')) AS domain FROM ({MAIL_SQL})),
+r AS (SELECT email_id, 'sender_email' AS t, sender AS v, lower(trim(sender)) AS n FROM k
+  UNION ALL SELECT email_id, 'sender_domain', domain, lower(domain) FROM k WHERE contains(sender, '@')
+  UNION ALL SELECT email_id, 'origin_ip', origin_ip, origin_ip FROM ({origin}) WHERE origin_ip <> 'ORIGIN_NOT_DETERMINABLE'
+  UNION ALL SELECT DISTINCT link_id, 'url_domain', host, host FROM (WITH {hosts} SELECT link_id, host FROM s) WHERE coalesce(host, '') <> ''
+  UNION ALL SELECT doc_id, 'attachment_hash', sha256(text), sha256(text) FROM documents),
+u AS (SELECT DISTINCT CAST(email_id AS VARCHAR) AS case_id, email_id % 3 AS batch, t, v, n FROM r WHERE coalesce(v, '') <> '' AND n <> '' AND NOT {in_list('n', lx.UBIQUITOUS_VALUES)})"""
+
+
+@query("stream_triage", f"""
+WITH {_batch_indicators()}, m AS (SELECT DISTINCT n, case_id, batch FROM u),
+seen AS (SELECT b.n, b.batch, (SELECT count(*) FROM m WHERE m.n = b.n AND m.batch <= b.batch) AS cases FROM (SELECT DISTINCT n, batch FROM m) b),
+c AS (SELECT case_id, count(*) AS n_indicators, sum(cases - 1) AS shared, sum(least(cases - 1, 10)) AS n_links FROM u JOIN seen USING (n, batch) GROUP BY 1),
+h AS (SELECT u.case_id, min(m.case_id) AS first_case FROM u JOIN m ON u.n = m.n AND m.batch <= u.batch AND m.case_id <> u.case_id GROUP BY 1)
+SELECT t.email_id, verdict, risk_score, primary_category, coalesce(n_indicators, 0) AS n_indicators, CAST(coalesce(shared, 0) AS BIGINT) AS shared_cases,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, first_case
+FROM ({QUERIES['email_triage'].sql}) t LEFT JOIN c ON c.case_id = CAST(t.email_id AS VARCHAR) LEFT JOIN h ON h.case_id = CAST(t.email_id AS VARCHAR)""")
 def stream_triage(spark, sf):
+    """Messages in three micro-batches: verdicts, indicators, and links to what came before."""
     staged = st.shared_folder(st.prepare(spark))
-    messages = mail(spark, sf).select(
-        "email_id", "sender", "reply_to", "return_path", "subject", "body_text", "authentication_results", "raw_headers")
-    messages.write.parquet(f"{staged}/in")
-    stream = spark.readStream.schema(messages.schema).parquet(f"{staged}/in")
-    st.triage_batches(stream, f"{staged}/out", f"{staged}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{staged}/out/verdicts").select("email_id", "verdict", "risk_score", "primary_category")
+    messages = mail(spark, sf).join(table(spark, sf, "documents").select(
+        F.col("doc_id").alias("email_id"), F.array(F.sha2("text", 256)).alias("attachment_hashes")), "email_id").select(
+        "email_id", "sender", "reply_to", "return_path", "subject", "body_text", "authentication_results", "raw_headers", "received_headers", "attachment_hashes")
+    out = f"{staged}/out"
+    for part in range(3):
+        messages.filter(F.col("email_id") % 3 == part).write.mode("append").parquet(f"{staged}/in")
+        stream = spark.readStream.schema(messages.schema).parquet(f"{staged}/in")
+        st.triage_batches(stream, out, f"{staged}/checkpoint").awaitTermination()
+    key = F.col("case_id").cast("long").alias("email_id")
+    usable = linkable(spark.read.parquet(f"{out}/indicators")).select("case_id", "indicator_type", "indicator_value", "normalized_value").distinct()
+    links = spark.read.parquet(f"{out}/links")
+    counted = usable.groupBy(key).agg(F.count(F.lit(1)).alias("n_indicators"))
+    shared = links.groupBy(key, "indicator_type", "indicator_value", "normalized_value").agg(
+        F.max("value_case_count").alias("n"), F.count(F.lit(1)).alias("k"), F.min("target_case_id").alias("first_case"))
+    shared = shared.groupBy("email_id").agg(
+        F.sum(F.col("n") - 1).alias("shared_cases"), F.sum("k").alias("n_links"), F.min("first_case").alias("first_case"))
+    verdicts = spark.read.parquet(f"{out}/verdicts").select("email_id", "verdict", "risk_score", "primary_category")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return verdicts.join(counted, "email_id", "left").join(shared, "email_id", "left").select(
+        "email_id", "verdict", "risk_score", "primary_category", zero("n_indicators"), zero("shared_cases"), zero("n_links"), "first_case")

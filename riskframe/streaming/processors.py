@@ -163,6 +163,72 @@ class RecentBuffer(_Ordered):
             "tenant": [key[0]], "events": [len(kept)], "mean_score": [sum(k[2] for k in kept) / len(kept)], "newest_id": [kept[-1][1]]})
 
 
+class IntentMatch(StatefulProcessor):
+    """Gives each file the primed intent it may use, and every intent to one file.
+
+    Both inputs arrive as one table (``intent_rows``). What arrives is only stored; once the watermark has passed a moment,
+    nothing older can come, so everything up to it is handled in the order of event time: an intent replaces the older one
+    of its package, a file takes the first live intent of its packages, and a file without one goes out alone. State holds
+    what lies within the watermark delay, and intents for as long as they live.
+    """
+
+    def __init__(self, seconds: float) -> None:
+        self.life = int(seconds * 1_000_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        event = [("us", T.LongType()), ("is_file", T.BooleanType()), ("row_id", T.LongType()), ("package", T.StringType()),
+                 ("packages", T.ArrayType(T.StringType())), ("intent_type", T.StringType())]
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in event]))
+        self.primed = handle.getMapState("primed", T.StructType([T.StructField("package", T.StringType())]), T.StructType([
+            T.StructField("us", T.LongType()), T.StructField("row_id", T.LongType()), T.StructField("intent_type", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            us = _micros(pdf["ts"])
+            lists = [None if x is None else [str(p) for p in x] for x in pdf["packages"]]
+            self.waiting.appendList([
+                (int(a), bool(f), int(i), p, ps, k) for a, f, i, p, ps, k in
+                zip(us, pdf["is_file"], pdf["row_id"], pdf["package"], lists, pdf["intent_type"])])
+            self.handle.registerTimer(int(us.min()) // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for event in self.waiting.get() if self.waiting.exists() else ():
+            (due if event[0] <= passed else later).append(event)
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        primed = {k[0]: tuple(v) for k, v in self.primed.iterator()}
+        before, out = dict(primed), []
+        for us, is_file, row_id, package, packages, kind in sorted(due, key=lambda e: (e[0], e[1], e[2])):
+            if not is_file:
+                primed[package] = (us, row_id, kind)
+                continue
+            live = next((p for p in packages or () if p in primed and us - primed[p][0] <= self.life), None)
+            intent = primed.pop(live) if live else (None, None, None)
+            out.append((row_id, pd.Timestamp(us, unit="us"), intent[1], live, intent[2], None if live is None else pd.Timestamp(intent[0], unit="us")))
+        primed = {p: v for p, v in primed.items() if v[0] + self.life >= passed}
+        for p in before.keys() - primed.keys():
+            self.primed.removeKey((p,))
+        for p, v in primed.items():
+            if before.get(p) != v:
+                self.primed.updateValue((p,), v)
+        again = [e[0] for e in later] + [v[0] + self.life for v in primed.values()]
+        if again:
+            self.handle.registerTimer(max(min(again) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        if out:
+            frame = pd.DataFrame(out, columns=["file_id", "file_ts", "intent_id", "package", "intent_type", "intent_ts"])
+            frame["intent_id"] = frame["intent_id"].astype("Int64")
+            frame["intent_ts"] = pd.to_datetime(frame["intent_ts"])
+            yield frame.assign(tenant=key[0])[["tenant", *frame.columns]]
+
+    def close(self) -> None:
+        pass
+
+
+INTENT_OUTPUT = "tenant long, file_id long, file_ts timestamp, intent_id long, package string, intent_type string, intent_ts timestamp"
 CLAIM_OUTPUT = "uri string, id long, ts timestamp, layer string, granted boolean, holder string"
 WEIGHT_OUTPUT = "tenant long, weights array<double>, events long"
 BUFFER_OUTPUT = "tenant long, events long, mean_score double, newest_id long"

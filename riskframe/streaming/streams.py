@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe import lexicons as lx
 from riskframe.session import STREAM_CONF, shared_root
 from riskframe.streaming.processors import (
-    BUFFER_OUTPUT, CLAIM_OUTPUT, WEIGHT_OUTPUT, Claims, Cooldown, RecentBuffer, WeightAdapter, run_processor,
+    BUFFER_OUTPUT, CLAIM_OUTPUT, INTENT_OUTPUT, WEIGHT_OUTPUT, Claims, Cooldown, IntentMatch, RecentBuffer, WeightAdapter, run_processor,
 )
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -28,26 +29,59 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def read_events(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
+class Heartbeat:
+    """A side input that moves the watermark while the sources are silent, or past the end of landed data.
+
+    Its rows have only a time. ``with_watermark`` unites it with a stream below one watermark; operators never let its rows
+    out, as their windows stay open and their keys are NULL.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = prepare(spark), folder or f"{shared_folder(spark)}/heartbeat"
+        spark.createDataFrame([], "at timestamp").write.mode("append").parquet(self.folder)
+
+    def beat(self, at: str) -> None:
+        self.spark.sql("SELECT CAST(:at AS TIMESTAMP) AS at", {"at": at}).write.mode("append").parquet(self.folder)
+
+    def with_watermark(self, stream: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+        beats = self.spark.readStream.schema("at timestamp").parquet(self.folder)
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name != ts]
+        return stream.unionByName(beats.select(F.col("at").alias(ts), *rest)).withWatermark(ts, delay)
+
+
+#: A moment after which no window of the data is open.
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
+def read_events(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes", heartbeat: Heartbeat | None = None) -> DataFrame:
     """The events table as a stream; the naive time column becomes a UTC timestamp."""
     raw = prepare(spark).readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    raw = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return heartbeat.with_watermark(raw, "ts", watermark) if heartbeat else raw.withWatermark("ts", watermark)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", heartbeat: Heartbeat | None = None) -> DataFrame:
     """Process everything available and return the sink table.
 
     Append mode writes the fault-tolerant file sink; the other modes keep the
-    last version of each batch under its batch id.
+    last version of each batch under its batch id. With a heartbeat the query
+    runs once more after the end of the data, so that every window closes.
     """
     folder = shared_folder(stream.sparkSession)
     out, state = f"{folder}/out", f"{folder}/checkpoint"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, batch: write_batch(df, batch, out)).start()
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda df, batch: write_batch(df, batch, out)).start()
+        query.awaitTermination()
+
+    run()
+    if heartbeat:
+        heartbeat.beat(END_OF_TIME)
+        run()
     return stream.sparkSession.read.schema(stream.schema if mode == "append" else _with_batch(stream.schema)).parquet(out)
 
 
@@ -95,14 +129,36 @@ def daily_counts(df: DataFrame, verdict: Column, ts: str = "ts") -> DataFrame:
     return out.select(F.col("w.start").alias("day"), "verdict", "n")
 
 
-def match_intents(files: DataFrame, intents: DataFrame, seconds: int = 15) -> DataFrame:
-    """Files with the intents of their package in the interval before; unmatched files flow on.
+def intent_rows(files: DataFrame, intents: DataFrame) -> DataFrame:
+    """Files and intents as one table for ``match_intents``.
 
-    Both inputs carry watermarks: ``files`` ts, package; ``intents`` intent_ts, intent_package.
+    ``files``: tenant, file_id, path, ts; ``intents``: tenant, intent_id, package, intent_type, ts. Packages that one path
+    may ask for share a group, so a file and all intents it may use meet under one key.
     """
-    inside = F.expr(
-        f"package = intent_package AND intent_ts <= ts AND intent_ts >= ts - INTERVAL {seconds} SECONDS")
-    return files.join(intents, inside, "leftOuter")
+    from riskframe.operators.history import candidate_packages
+
+    group = F.lit(None).cast("string")
+    for _, packages in lx.PATH_PACKAGES:
+        group = F.when(F.col("package").isin(packages), packages[0]).otherwise(group)
+    asked = files.select("tenant", "ts", F.lit(True).alias("is_file"), F.col("file_id").alias("row_id"), F.lit(None).cast("string").alias("package"),
+                         candidate_packages(F.col("path")).alias("packages"), F.lit(None).cast("string").alias("intent_type"))
+    primed = intents.select("tenant", "ts", F.lit(False).alias("is_file"), F.col("intent_id").alias("row_id"), "package",
+                            F.lit(None).cast("array<string>").alias("packages"), "intent_type")
+    first = F.coalesce(F.get("packages", F.lit(0)), group)
+    return asked.withColumn("group", F.get("packages", F.lit(0))).unionByName(primed.withColumn("group", group)).withColumn("group", first)
+
+
+def match_intents(rows: DataFrame, seconds: float = 15) -> DataFrame:
+    """Each file with the intent it uses up, or alone; both come out when the watermark has passed the file.
+
+    ``rows``: ``intent_rows`` under a watermark on ``ts``. Files whose path names no package need no state.
+    """
+    keyed = rows.filter(F.col("group").isNotNull())
+    matched = run_processor(keyed, ["tenant", "group"], IntentMatch(seconds), INTENT_OUTPUT)
+    alone = rows.filter(F.col("group").isNull() & F.col("is_file")).select(
+        "tenant", F.col("row_id").alias("file_id"), F.col("ts").alias("file_ts"), F.lit(None).cast("long").alias("intent_id"),
+        F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("intent_type"), F.lit(None).cast("timestamp").alias("intent_ts"))
+    return matched.unionByName(alone)
 
 
 def claims(df: DataFrame, seconds: float = 10) -> DataFrame:
@@ -142,26 +198,51 @@ def overlay_alerts(foreground: DataFrame, overlays: DataFrame, seconds: float =
     return cooldown(joined, ["device_id", "package"], seconds)
 
 
-def triage_batches(messages: DataFrame, path: str, checkpoint: str, history: str | None = None):
-    """Continuous triage: verdicts, indicators and links to the history, per batch.
+def message_indicators(messages: DataFrame) -> DataFrame:
+    """Indicators of messages: sender, its domain, origin address, hosts of links, attachment digests.
 
-    Every output goes to a folder of its batch, so a repeated batch overwrites
-    itself. Returns the started query.
+    ``received_headers``, ``raw_headers`` and ``attachment_hashes`` are used where the table has them.
+    """
+    from riskframe.functions.text import extract_urls
+    from riskframe.functions.urls import host_of
+    from riskframe.operators.correlation import index_indicators
+    from riskframe.operators.enrichment import hop_array, origin_ip
+
+    have = set(messages.columns)
+    empty = F.array().cast("array<string>")
+    received = F.col("received_headers") if "received_headers" in have else empty
+    origin = origin_ip(hop_array(received), received, F.col("raw_headers"))["ip"] if "raw_headers" in have else F.lit(None).cast("string")
+    cases = messages.select(
+        F.col("email_id").cast("string").alias("case_id"), (F.col("ts") if "ts" in have else F.lit(None).cast("timestamp")).alias("ts"), "sender",
+        origin.alias("origin_ip"), F.array_distinct(F.transform(extract_urls("body_text"), host_of)).alias("url_domains"),
+        (F.col("attachment_hashes") if "attachment_hashes" in have else empty).alias("attachment_hashes"))
+    return index_indicators(cases)
+
+
+def triage_batches(messages: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Continuous triage: verdicts, indicators, links to the history and among the batch, and the case upsert.
+
+    Every output goes to a folder of its batch, so a repeated batch overwrites itself; the history below ``path/history``
+    grows by what the batch adds (``CaseHistory``). Returns the started query.
     """
-    from riskframe.functions.urls import clean_domain
-    from riskframe.operators.correlation import linkable
-    from riskframe.operators.joins import lookup_join
     from riskframe.operators.triage import triage
+    from riskframe.streaming.history import CaseHistory
+
+    history = CaseHistory(messages.sparkSession, f"{path}/history", buckets)
+    shown = ["email_id", "verdict", "risk_score", "primary_category", "summary"]
 
     def handle(df: DataFrame, batch: int) -> None:
-        verdicts = triage(df)
-        write_batch(verdicts.select("email_id", "verdict", "risk_score", "primary_category", "summary"), batch, f"{path}/verdicts")
-        found = df.select(F.col("email_id").cast("string").alias("case_id"), F.lit("sender_domain").alias("indicator_type"),
-                          clean_domain("sender").alias("normalized_value"))
-        write_batch(linkable(found), batch, f"{path}/indicators")
-        if history:
-            past = df.sparkSession.read.parquet(history).groupBy("normalized_value").agg(
-                F.min("case_id").alias("first_case"), F.count(F.lit(1)).alias("seen"))
-            write_batch(lookup_join(linkable(found), past, "normalized_value", "inner"), batch, f"{path}/links")
+        verdicts = triage(df).select(*shown, "sender", (F.col("ts") if "ts" in df.columns else F.lit(None).cast("timestamp")).alias("ts"))
+        verdicts = _written(verdicts, batch, f"{path}/verdicts")
+        indicators = _written(message_indicators(df), batch, f"{path}/indicators")
+        cases = verdicts.select(F.col("email_id").cast("string").alias("case_id"), "ts", "sender", "verdict", "risk_score", "primary_category")
+        write_batch(history.add(cases, indicators, batch), batch, f"{path}/links")
+        history.commit(batch)
 
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _written(df: DataFrame, batch: int, path: str) -> DataFrame:
+    """Write a batch's table and go on with what was written."""
+    write_batch(df, batch, path)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch_id={batch}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.ordered import spaced_out
 from riskframe.streaming import streams as st
+from riskframe.streaming.history import CaseHistory
 
 START = datetime(2024, 1, 1)
 
@@ -62,17 +63,55 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert 3 not in got and {1, 2} <= got
 
 
-def test_triage_stream_is_idempotent(spark, tmp_path):
-    rows = [(1, "x@evil.com", "", "", "urgent", "click here http://bit.ly/a", "", {}), (2, "a@b.com", "", "", "hi", "lunch", "", {})]
-    schema = "email_id int, sender string, reply_to string, return_path string, subject string, body_text string, authentication_results string, raw_headers map<string,string>"
-    src, out, ck, hist = (str(tmp_path / n) for n in ("in", "out", "ck", "hist"))
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
-    spark.createDataFrame([("old", "evil.com"), ("old2", "evil.com")], "case_id string, normalized_value string").write.parquet(hist)
-    for _ in range(2):
-        st.triage_batches(spark.readStream.schema(schema).parquet(src), out, ck, hist).awaitTermination()
-    assert spark.read.parquet(f"{out}/verdicts").count() == 2
-    link = spark.read.parquet(f"{out}/links").first()
-    assert (link["case_id"], link["first_case"], link["seen"]) == ("1", "old", 2)
+MESSAGES = ("email_id int, sender string, reply_to string, return_path string, subject string, body_text string, authentication_results string, "
+            "raw_headers map<string,string>, received_headers array<string>, attachment_hashes array<string>")
+
+
+def _message(i, sender, body="lunch", ip=None, digest=None):
+    return (i, sender, "", "", "hi", body, "", {"x-originating-ip": ip} if ip else {}, [], [digest] if digest else [])
+
+
+def test_triage_over_a_growing_history(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [
+        [_message(1, "x@evil.com", "see http://bad.site.com/a"), _message(2, "a@b.com", ip="8.8.4.4")],
+        [_message(3, "y@evil.com", ip="8.8.4.4"), _message(4, "q@other.net", "go to http://bad.site.com/b and http://new.org", digest="ab" * 32)],
+        [_message(5, "z@third.org", digest="ab" * 32), _message(1, "x@evil.com", "see http://bad.site.com/a again")]]
+
+    def run():
+        read = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(src)
+        st.triage_batches(read, out, f"{out}/checkpoint", buckets=4).awaitTermination()
+
+    for rows in batches[:2]:
+        spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(src)
+        run()
+    history = CaseHistory(spark, f"{out}/history", 4)
+    before = sorted(history.values().collect())
+    history.compact(1)
+    assert sorted(history.values().collect()) == before and history.batches(9) == [1]
+    spark.createDataFrame(batches[2], MESSAGES).coalesce(1).write.mode("append").parquet(src)
+    run()
+    run()  # nothing new: nothing changes
+    links = {(r["case_id"], r["indicator_type"], r["target_case_id"], r["value_case_count"]) for r in spark.read.parquet(f"{out}/links").collect()}
+    assert links == {
+        ("3", "sender_domain", "1", 2), ("3", "origin_ip", "2", 2), ("4", "url_domain", "1", 2), ("5", "attachment_hash", "4", 2),
+        ("1", "sender_domain", "3", 2), ("1", "url_domain", "4", 2)}
+    assert {r["normalized_value"]: r["case_count"] for r in history.values().collect() if r["case_count"] > 1} == {
+        "evil.com": 2, "8.8.4.4": 2, "bad.site.com": 2, "ab" * 32: 2}
+    assert history.cases().count() == 5 and spark.read.parquet(f"{out}/verdicts").count() == 6
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    history = CaseHistory(spark, str(tmp_path / "h"), 4)
+    case = lambda *ids: spark.createDataFrame([(i, START, "s", "SAFE", 1, "SAFE") for i in ids], "case_id string, ts timestamp, sender string, verdict string, risk_score int, primary_category string")
+    ind = lambda *rows: spark.createDataFrame([(i, "url_domain", v, v) for i, v in rows], "case_id string, indicator_type string, indicator_value string, normalized_value string")
+    history.add(case("a", "b"), ind(("a", "x.com"), ("b", "x.com")), 0).collect()
+    history.commit(0)
+    first = sorted(history.add(case("c"), ind(("c", "x.com")), 1).collect())
+    second = sorted(history.add(case("c"), ind(("c", "x.com")), 1).collect())  # lost before its commit
+    history.commit(1)
+    assert first == second and {r["target_case_id"] for r in first} == {"a", "b"} and first[0]["value_case_count"] == 3
+    assert [tuple(r)[:2] for r in history.values().collect()] == [("x.com", 3)]
 
 
 def test_cached_lookup_expires(spark, tmp_path):
@@ -87,3 +126,33 @@ def test_cached_lookup_expires(spark, tmp_path):
 def test_daily_counts_close_with_the_watermark(spark, landed):
     out = st.run_available(st.daily_counts(stream(spark, landed), F.col("content")))
     assert out.count() == 0  # the only day is still open
+
+
+def test_a_heartbeat_closes_the_last_window(spark, landed):
+    beat = st.Heartbeat(spark)
+    raw = st.prepare(spark).readStream.schema("id long, key string, ts timestamp, content string").parquet(landed)
+    out = st.run_available(st.daily_counts(beat.with_watermark(raw), F.col("content")), heartbeat=beat)
+    assert sorted((r["verdict"], r["n"]) for r in out.collect()) == [("x", 257), ("y", 43)]
+
+
+def test_intents_are_used_once(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    wa, dl = "/media/com.whatsapp/x.pdf", "/Download/a.pdf"
+    gm, chrome, provider = "com.google.android.gm", "com.android.chrome", "com.android.providers.downloads"
+    intents = [(1, 10, "com.whatsapp", "tap", at(0)), (1, 11, gm, "tap", at(100)), (1, 12, chrome, "notice", at(101)), (2, 13, gm, "tap", at(100)),
+               (1, 14, provider, "tap", at(200)), (1, 15, provider, "tap", at(204)), (1, 16, "com.other", "tap", at(204)), (1, 17, gm, "tap", at(300))]
+    files = [(1, 1, wa, at(5)), (1, 2, wa, at(6)), (1, 3, dl, at(103)), (1, 4, dl, at(104)), (1, 5, dl, at(105)), (2, 6, dl, at(100)),
+             (2, 7, dl, at(101)), (1, 8, dl, at(219)), (1, 9, dl, at(219)), (1, 10, "/DCIM/a.jpg", at(1)), (1, 11, dl, at(316)), (1, 12, dl, at(299))]
+    want = {1: 10, 2: None, 3: 11, 4: 12, 5: None, 6: 13, 7: None, 8: 15, 9: None, 10: None, 11: None, 12: None}
+    f, i = str(tmp_path / "f"), str(tmp_path / "i")
+    fs, js = "tenant long, file_id long, path string, ts timestamp", "tenant long, intent_id long, package string, intent_type string, ts timestamp"
+    for part in range(3):  # rows of a moment are spread over micro-batches
+        spark.createDataFrame(files[part::3], fs).coalesce(1).write.mode("append").parquet(f)
+        spark.createDataFrame(intents[part::3], js).coalesce(1).write.mode("append").parquet(i)
+    read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    beat = st.Heartbeat(spark)
+    rows = beat.with_watermark(st.intent_rows(read(fs, f), read(js, i)))
+    got = st.run_available(st.match_intents(rows, 15), heartbeat=beat).collect()
+    assert {r["file_id"]: r["intent_id"] for r in got} == want and len(got) == len(want)
+    one = next(r for r in got if r["file_id"] == 4)
+    assert (one["tenant"], one["package"], one["intent_type"], one["intent_ts"], one["file_ts"]) == (1, chrome, "notice", at(101), at(104))
