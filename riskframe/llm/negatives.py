@@ -158,7 +158,7 @@ def _streams(batches: Iterator[pa.RecordBatch], group: list[str], most: int) ->
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors.to_pylist()), dtype=np.int32).reshape(-1, width).astype(np.int64)
+    return np.frombuffer(b"".join(vectors.to_pylist()), dtype=np.int32).reshape(len(vectors), width).astype(np.int64)
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
