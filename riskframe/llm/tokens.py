@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +24,39 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\x01|<\|"
 _CAREFUL = re.compile(r"(?<=\S)(?=[ \n])")
 _MARKED = r"(\pL)([.,!?|#%*$&;:])"
-_MOST = 150_000  # stretches remembered by a worker before the older half is let go
+_MOST = 1_500_000  # stretches, and their ids, that a worker remembers before it lets go those its last batch did not use
+_MOST_IDS = 8_000_000
 
 
 class Encoder:
+    """Encodes texts. Known stretches stand before a batch's own when those are numbered, so their numbers find their ids."""
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, stretches: list[str]) -> list[bytes]:
-        if len(self.known) > _MOST:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for s in stretches:
-            if s not in known:
-                if s in older:
-                    known[s] = older[s]
-                else:
-                    new.append(s)
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return [known[s] for s in stretches]
+        self.known = pa.array([], pa.string())
+        self.begins, self.sizes, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _keep(self, used: np.ndarray) -> None:
+        """Remember only the stretches with these numbers."""
+        self.known = self.known.take(pa.array(used))
+        sizes, begins = self.sizes[used], self.begins[used]
+        self.store = self.store[_places(begins, sizes)]
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+
+    def _numbers(self, flat: pa.Array) -> np.ndarray:
+        """The number of each stretch among the known ones; new ones are encoded and known from here on."""
+        coded = pa.concat_arrays([self.known, flat]).dictionary_encode()
+        codes, old = np.asarray(coded.indices)[len(self.known):].astype(np.int64), len(self.known)
+        fresh, sizes, ids = coded.dictionary[old:].to_pylist(), [], []
+        for k in range(0, len(fresh), 20_000):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[k:k + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)))
+            ids.append(np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(sizes[-1].sum())))
+        if fresh:
+            self.known = coded.dictionary
+            self.sizes, self.store = np.concatenate([self.sizes, *sizes]), np.concatenate([self.store, *ids])
+            self.begins = np.cumsum(self.sizes) - self.sizes
+        return codes
 
     @staticmethod
     def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,18 +79,20 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed with ``end``, and the number of ids of each text (null: an empty text)."""
         flat, row = self._cut(pc.fill_null(texts, ""))
-        coded = flat.dictionary_encode()
-        each = self._ids(coded.dictionary.to_pylist()) + [np.array([end], dtype=np.uint32).tobytes()]
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        begins = np.cumsum(sizes) - sizes
-        store = np.frombuffer(b"".join(each), dtype=np.uint32)
-        closing = np.cumsum(np.bincount(row, minlength=len(texts)))
-        codes = np.insert(np.asarray(coded.indices).astype(np.int64), closing, len(each) - 1)
-        rows = np.insert(row, closing, np.arange(len(texts)))
-        out = sizes[codes]
-        total = int(out.sum())
-        ids = store[np.arange(total) + np.repeat(begins[codes] - (np.cumsum(out) - out), out)]
-        return ids, np.bincount(rows, weights=out, minlength=len(texts)).astype(np.int64)
+        codes = self._numbers(flat)
+        out = self.sizes[codes]
+        lengths = np.bincount(row, weights=out, minlength=len(texts)).astype(np.int64) + 1
+        ids = np.full(int(lengths.sum()), end, dtype=np.uint32)
+        # The ids of a text stand one place further for every text before it, whose end id comes in between.
+        ids[np.arange(int(out.sum())) + np.repeat(row, out)] = self.store[_places(self.begins[codes], out)]
+        if len(self.known) > _MOST or len(self.store) > _MOST_IDS:
+            self._keep(np.unique(codes))
+        return ids, lengths
+
+
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
 @lru_cache(maxsize=4)
