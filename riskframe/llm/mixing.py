@@ -87,10 +87,29 @@ def _keyed(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
     # u in (0, 1], from 52 bits of a hash
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 12) + 1) / F.lit(float(1 << 52))
     keyed = docs.withColumn("size", c.n_words(F.col("text"))).withColumns({"_key": -F.log(u) / weight, "_text": F.xxhash64("text")})
-    place = F.floor((1 - F.exp(-F.col("_key"))) * (STEPS * STEPS)).cast("long")
+    # Keys run from 0 to some hundreds where weights are small; this scale gives both ends many steps.
+    place = F.floor(F.col("_key") / (1 + F.col("_key")) * (STEPS * STEPS)).cast("long")
     return keyed.withColumn("_place", F.least(place, F.lit(STEPS * STEPS - 1)))
 
 
+def _numbered(joined: DataFrame) -> DataFrame:
+    """``_n``: 1, 2, ... of the rows of a source that equal its border. They are counted by partition, so they need not meet in a task."""
+    equal = F.coalesce(F.struct("_key", "doc_id", "_text", "size") == F.col("border"), F.lit(False))
+    placed = c.checkpointed(joined.filter(equal).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    counts = placed.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = counts.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).select(F.col("source").alias("_s"), F.col("_part").alias("_p"), "before")
+    within = Window.partitionBy("_part", "source").orderBy("_at")
+    met = placed.withColumn("_k", F.row_number().over(within)).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    met = met.withColumn("_n", F.col("_k") + F.col("before")).drop("_at", "_part", "_k", "_s", "_p", "before")
+    return joined.filter(~equal).withColumn("_n", F.lit(None).cast("long")).unionByName(met)
+
+
+def _number(joined: DataFrame) -> Column:
+    """The number of a row among those equal to it; 0 where all of them are taken."""
+    return F.col("_n") if "_n" in joined.columns else F.lit(0)
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, quality: Column | None = None,
         seed: int = 7, texts: bool = True) -> DataFrame:
     """All columns of ``docs`` with size, source_size, target, copies (times the mix takes it) and taken (size x copies).
@@ -99,7 +118,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     replaced. Size is the number of words; a null or blank text has size 0. A null source is a source of its own, the
     last one. ``quality`` is a positive weight of a document (default: ``plain_share``). Keys come from the id and the
     seed, so reruns agree; rows with equal keys are ordered by a hash of their text and are interchangeable if that is
-    equal too. An empty table gives an empty result. Without ``texts`` only doc_id and source of the documents come
+    equal too: of equal rows as many are taken as the budget holds. An empty table gives an empty result. Without ``texts`` only doc_id and source of the documents come
     back, and texts are read once instead of twice.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
@@ -123,12 +142,18 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     # the document on which the budget falls is taken if that comes nearer
     last = last.withColumn("_in", F.col("_sum") - F.col("size") / 2 <= F.col("rest"))
     # the last taken document of each source marks the border
-    border = last.filter("_in").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "_text", "size")).alias("border"))
+    row = F.struct("_key", "doc_id", "_text", "size")
+    last = c.checkpointed(last.withColumn("_row", row).select("source", "_row", "_in"))
+    border = last.filter("_in").groupBy("source").agg(F.max("_row").alias("border"))
+    equal = _by_source(last, border, "inner").filter("_row = border").groupBy("source").agg(F.count_if("_in").alias("room"), F.count(F.lit(1)).alias("there"))
+    border = _by_source(border, equal)  # of ``there`` rows equal to the border ``room`` are taken
     cut = _by_source(_by_source(_by_source(sources, first.select("source", "c1")), second.select("source", "c2")), border)
 
     joined = _spread(keyed if texts else sized, cut)
+    if not equal.filter("there > room").isEmpty():
+        joined = _numbered(joined)
     b1, b2 = F.floor(F.col("_place") / STEPS), F.col("_place") % STEPS
-    at_border = F.coalesce(F.struct("_key", "doc_id", "_text", "size") <= F.col("border"), F.lit(False))
+    at_border = F.coalesce(row < F.col("border"), F.lit(False)) | F.coalesce((row == F.col("border")) & (_number(joined) <= F.col("room")), F.lit(False))
     part = (b1 < F.col("c1")) | ((b1 == F.col("c1")) & ((b2 < F.col("c2")) | ((b2 == F.col("c2")) & at_border)))
     copies = F.col("epochs") + F.when(F.coalesce(part, F.lit(False)) & (F.col("rest") > 0), 1).otherwise(0)
     result = joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
