@@ -36,20 +36,11 @@ RULES = (
 )
 
 
-def _repeated(words: Column, n: Column) -> Column:
-    """Ascending places of the 3-word windows that occur twice or more.
-
-    Each window becomes one long: its hash above, its place below (as many bits as the text needs). Sorted, equal
-    windows are neighbours.
-    """
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    return bits, F.transform(
+def _windows(words: Column, n: Column) -> Column:
+    """Each 3-word window as (hash, place), sorted, so equal windows are neighbours."""
+    return F.sort_array(F.transform(
         F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")))
-
-
-def _rank(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", x, bits)
+        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.cast("long").alias("i"))))
 
 
 def features(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -64,18 +55,13 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("full"))
-    bits, windows = _repeated(F.col("words"), F.col("n"))
     staged = staged.select(
         "doc_id", "host", "n", "n_lines", "n_symbols", "word_chars", (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
-        bits.alias("bits"), F.sort_array(windows).alias("sorted"))
-    same = lambda x, k: (
-        (_rank(F.get("sorted", k - 1), F.col("bits")) == _rank(x, F.col("bits")))
-        | (_rank(F.get("sorted", k + 1), F.col("bits")) == _rank(x, F.col("bits"))))
+        _windows(F.col("words"), F.col("n")).alias("sorted"))
+    same = lambda x, k: (F.get("sorted", k - 1)["h"] == x["h"]) | (F.get("sorted", k + 1)["h"] == x["h"])
     places = F.filter("sorted", lambda x, k: F.coalesce(same(x, k), F.lit(False)))
-    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
     staged = staged.select(
-        "doc_id", "host", "n", "n_lines", "n_symbols", "word_chars", "n_dup_lines",
-        F.sort_array(F.transform(places, lambda x: x.bitwiseAND(place))).alias("places"))
+        "doc_id", "host", "n", "n_lines", "n_symbols", "word_chars", "n_dup_lines", F.sort_array(F.transform(places, lambda x: x["i"])).alias("places"))
     # Each repeated window covers three words, less where the next one starts sooner.
     covered = F.aggregate(
         F.transform("places", lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get("places", k + 1) - x, F.lit(3).cast("long")))),
