@@ -65,7 +65,9 @@ def learn(sample: np.ndarray, width: int, tables: int = TABLES, bits: int = BITS
 
 
 def unit(rows: list) -> np.ndarray:
+    """Unit vectors; first scaled by a power of two, so no component is too large or too small to be squared."""
     x = np.array(rows, dtype=np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -149,8 +151,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     """
     own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    valid = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
+    some = F.exists("embedding", lambda x: x != 0)
+    valid = F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False))
     own = own.select("vec_id", "embedding", "label", valid.alias("valid"))
     keyed = own.withColumns({"h1": F.when(F.col("valid"), F.xxhash64("embedding")), "h2": F.when(F.col("valid"), F.xxhash64("embedding", F.lit(1)))})
     same = ["label", "h1", "h2"]
@@ -183,10 +185,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
 #: DuckDB SQL of the query over ``embeddings``.
 SQL = """
 with recursive v as (select row_number() over () as rid, vec_id, label, embedding::double[] as e from embeddings),
-ok as (
-  select *, list_dot_product(e, e) as n2 from v
-  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0
-), l as (
+sound as (
+  select rid, vec_id, label, e, list_max(list_transform(e, lambda x: abs(x))) as m from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), scaled as (select rid, vec_id, label, list_transform(e, lambda x: x / m) as e from sound where m > 0),
+ok as (select *, list_dot_product(e, e) as n2 from scaled), l as (
   select a.rid as x, b.rid as y from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.rid <> b.rid
   where list_dot_product(a.e, b.e) / sqrt(a.n2 * b.n2) >= 0.98
 ), reach as (

@@ -75,3 +75,9 @@ def test_components_of_chains_and_stars(spark):
 
 def test_roots_of_a_group():
     assert graph.roots(6, np.array([0, 3, 4]), np.array([3, 4, 5])).tolist() == [0, 1, 2, 0, 0, 0]
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1e-310, 2e-310], 1), (4, [1e308, -1e308], 1), (5, [1.0, 2.0], 1), (6, [5e-324, 0.0], 1)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
