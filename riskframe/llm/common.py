@@ -132,7 +132,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """doc_id, text, _label (0 or 1): whole labelled texts for training, of at most ``most_chars`` characters.
 
     Only rows whose crc32(doc_id) mod ``modulus`` is not 0 are used, and none that alone exceeds the bound. Rows are
-    ordered by a hash of id and text, in 65,536 x 65,536 slices; the sample takes slices from the first on. The slice in
+    ordered by a hash of id and text (of different labels of an id the smaller counts), in 65,536 x 65,536 slices; the sample takes slices from the first on. The slice in
     which the bound falls is cut again by its second level, so rows that share an id, and large tables, are cut where
     the bound falls too. Slices are measured on ids, hashes and lengths alone, and labels meet texts only within them.
     An error is raised if there are labelled training texts but none fits.
@@ -140,7 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     hashed = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed))
     upper, lower = F.pmod(F.shiftrightunsigned(hashed, 16), F.lit(1 << 16)).cast("int"), F.pmod(hashed, F.lit(1 << 16)).cast("int")
     size = F.length("text") + 64
-    marked = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and doc_id is not null")
+    marked = marked.groupBy("doc_id").agg(F.min("_label").alias("_label"))
     train = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_of_id(F.col("doc_id")) % modulus != 0))
     sized = train.select("doc_id", size.alias("_n"), upper.alias("_s"), lower.alias("_t"))
 
