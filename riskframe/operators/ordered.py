@@ -134,46 +134,134 @@ def sessions(df: DataFrame, keys: list[str], order: list[str], breaks: Column, p
         F.concat_ws("-", run["p"].cast("string"), run["n"].cast("string")).alias(name))
 
 
+#: A time after every row: the only step of a partition whose outcome does not depend on what came before it.
+_ALWAYS = (1 << 63) - 1
+
+
 def spaced_out(df: DataFrame, keys: list[str], ts: str, row_id: str, seconds: float,
                same: list[str] | None = None) -> DataFrame:
     """Keep a row when no kept row of the key lies less than ``seconds`` before it.
 
     With ``same``, only consecutive rows that agree on those columns suppress
-    each other. A gap of the full interval, or a changed value, makes the next
-    row independent of everything before, so the runs between such breaks are
-    folded in parallel; the fold itself streams over sorted batches and jumps
-    from kept row to kept row.
+    each other. One key, even one endless run without a gap, is many tasks:
+
+    * Rows are range-partitioned by key and time. What a partition does to a
+      run that comes from the partition before depends on one number, the time
+      from which a row may be kept again. That dependence is a step function,
+      of at most as many steps as rows lie within ``seconds``.
+    * The functions are composed by doubling: after n rounds a partition knows
+      the outcome of the 2^n partitions up to it. A gap of the full interval or
+      a change of key makes the outcome constant, and ends its rounds.
+    * Then every partition keeps its rows by itself.
     """
-    same = same or []
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))
-    breaks = gap >= int(seconds * 1_000_000)
-    for c in same:
-        breaks = breaks | ~F.col(c).eqNullSafe(F.col(f"prev_{c}"))
-    runs = sessions(df, keys, [ts, row_id], breaks, [ts, *same], "_run").drop(
-        *[f"prev_{c}" for c in [ts, *same]])
-    runs = runs.withColumn("_us", F.unix_micros(F.col(ts)))
-    sorted_runs = runs.repartition("_run").sortWithinPartitions("_run", "_us", row_id)
-    step = int(seconds * 1_000_000)
-
-    def keep(batches):
+    step, group = int(seconds * 1_000_000), [*keys, *(same or [])]
+    name = [x for k in group for x in (F.col(k), F.col(k).isNull())]
+    marked = df.withColumns({"_run": F.xxhash64(*name) if group else F.lit(0).cast("long"), "_us": F.unix_micros(F.col(ts))})
+    placed = range_ordered(marked, [*keys, "_us", row_id])
+    edge = F.struct("_run", "_us")
+    ends = placed.groupBy("_part").agg(F.min_by(edge, "_pos").alias("first"), F.max_by(edge, "_pos").alias("last"))
+    order = Window.orderBy("_part")  # one row a partition
+    ends = ends.withColumns({"_k": F.row_number().over(order), "_before": F.lag("last").over(order)})
+    goes_on = (F.col("first._run") == F.col("_before._run")) & (F.col("first._us") - F.col("_before._us") < step)
+    ends = checkpointed(ends.select("_part", "_k", F.when(goes_on, F.col("_before._us") + step).alias("_latest")))
+    steps = placed.select("_part", "_run", "_us").join(F.broadcast(ends), "_part").select("_k", "_latest", "_run", "_us")
+    steps = checkpointed(steps.mapInPandas(_partition_steps(step), "k int, lo long, exit long"))
+    span = 1
+    while not steps.filter(F.col("lo") < _ALWAYS).isEmpty():
+        late = steps.filter(F.col("lo") < _ALWAYS).select(F.col("k").alias("at"), F.lit(1).alias("role"), "lo", "exit")
+        early = steps.select((F.col("k") + span).alias("at"), F.lit(0).alias("role"), "lo", "exit")
+        met = late.unionByName(early.join(late.select("at").distinct(), "at", "left_semi"))
+        met = met.repartition("at").sortWithinPartitions("at", "role", "lo").mapInPandas(_composed, "k int, lo long, exit long")
+        steps = checkpointed(steps.filter(F.col("lo") == _ALWAYS).unionByName(met))
+        span *= 2
+    free = steps.select((F.col("k") + 1).alias("_k"), F.col("exit").alias("_free"))
+    start = ends.join(free, "_k", "left").select("_part", F.when(F.col("_latest").isNotNull(), F.col("_free")).alias("_free"))
+    ready = placed.join(F.broadcast(start), "_part").drop("_part", "_pos")
+    return ready.mapInPandas(_kept_rows(step), ready.schema).drop("_run", "_us", "_free")
+
+
+def _partition_steps(step: int):
+    """The step function of a partition: rows (lo, exit), for a run free again at T the first lo >= T tells when it is free after."""
+    def run(batches):
         import numpy as np
+        import pandas as pd
 
-        run, last = None, None
+        part, latest, runs, times = None, None, [], []
         for pdf in batches:
-            names, times = pdf["_run"].to_numpy(), pdf["_us"].to_numpy()
+            if len(pdf):
+                part, latest = int(pdf["_k"].iloc[0]), pdf["_latest"].iloc[0]
+                runs.append(pdf["_run"].to_numpy())
+                times.append(pdf["_us"].to_numpy())
+        if part is None:
+            return
+        run, us = np.concatenate(runs), np.concatenate(times)
+        cuts = 1 + np.flatnonzero((run[1:] != run[:-1]) | (np.diff(us) >= step))
+        tail = us[cuts[-1] if len(cuts) else 0:]
+        after = np.searchsorted(tail, tail + step)
+        last = np.where(after < len(tail), after, np.arange(len(tail)))
+        while not (last[last] == last).all():
+            last = last[last]
+        exits = tail[last] + step
+        if len(cuts) or pd.isna(latest):  # a run begins here: nothing before it matters
+            yield pd.DataFrame({"k": [part], "lo": [_ALWAYS], "exit": [int(exits[0])]}).astype({"k": "int32"})
+            return
+        reach = min(len(tail), int(np.searchsorted(tail, int(latest))) + 1)
+        lo, exits = tail[:reach], exits[:reach]
+        ends = np.append(lo[1:] != lo[:-1], True) & np.append(exits[1:] != exits[:-1], True)
+        first = np.searchsorted(lo, lo[ends])  # equal times: the first of them is kept
+        yield pd.DataFrame({"k": np.full(int(ends.sum()), part, dtype=np.int32), "lo": lo[ends], "exit": exits[first]})
+    return run
+
+
+def _composed(batches):
+    """For each ``at``: the function of role 0, then that of role 1."""
+    import numpy as np
+    import pandas as pd
+
+    def compose(table):
+        early, late = table[table["role"] == 0], table[table["role"] == 1]
+        lo, out = early["lo"].to_numpy(), early["exit"].to_numpy()
+        lo2, out2 = late["lo"].to_numpy(), late["exit"].to_numpy()
+        at = np.searchsorted(lo2, out)
+        out = np.where(at < len(lo2), out2[np.minimum(at, len(lo2) - 1)], out)
+        beyond = lo2 > (lo[-1] if len(lo) else np.iinfo(np.int64).min)
+        lo, out = np.append(lo, lo2[beyond]), np.append(out, out2[beyond])
+        ends = np.append(out[1:] != out[:-1], True)
+        return pd.DataFrame({"k": np.full(int(ends.sum()), table["at"].iloc[0], dtype=np.int32), "lo": lo[ends], "exit": out[ends]})
+
+    held = []
+    for pdf in batches:
+        for at, own in pdf.groupby("at", sort=False):
+            if held and held[0]["at"].iloc[0] != at:
+                yield compose(pd.concat(held))
+                held = []
+            held.append(own)
+    if held:
+        yield compose(pd.concat(held))
+
+
+def _kept_rows(step: int):
+    def run(batches):
+        import numpy as np
+
+        name, free = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            runs, times = pdf["_run"].to_numpy(), pdf["_us"].to_numpy()
+            if name is None and not np.isnan(float(pdf["_free"].iloc[0] if pdf["_free"].iloc[0] is not None else np.nan)):
+                name, free = runs[0], int(pdf["_free"].iloc[0])
             kept = np.zeros(len(pdf), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(pdf) else []
-            stops = [*starts[1:], len(pdf)]
-            for a, b in zip(starts, stops):
-                if names[a] != run:
-                    run, last = names[a], None
-                i = a if last is None else a + int(np.searchsorted(times[a:b], last + step))
+            starts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if runs[a] != name:
+                    name, free = runs[a], None
+                i = a if free is None else a + int(np.searchsorted(times[a:b], free))
                 while i < b:
-                    kept[i], last = True, times[i]
-                    i = a + int(np.searchsorted(times[a:b], last + step))
+                    kept[i], free = True, int(times[i]) + step
+                    i = a + int(np.searchsorted(times[a:b], free))
             yield pdf[kept]
-
-    return sorted_runs.mapInPandas(keep, sorted_runs.schema).drop("_run", "_us")
+    return run
 
 
 def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

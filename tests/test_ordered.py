@@ -76,6 +76,29 @@ def test_spaced_out(frame, rows, same):
     assert got == want
 
 
+@pytest.mark.parametrize("seconds", [3, 47, 5000, 10**6])
+def test_one_endless_run_is_many_tasks(spark, seconds):
+    """Steady times never let two chains meet; equal times and a NULL key are in it as well."""
+    rng = random.Random(seconds)
+    times = sorted([float(i) for i in range(4000)] + [round(rng.random() * 4000, 3) for _ in range(500)] + [1000.0] * 40)
+    rows = [(i, k, START + timedelta(seconds=t)) for k in (None, "a") for i, t in enumerate(times)]
+    df = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "id long, key string, ts timestamp")
+    state, want = {}, set()
+    for n, (_, key, at) in enumerate(rows):
+        if key not in state or (at - state[key]).total_seconds() >= seconds:
+            state[key] = at
+            want.add(n)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = od.spaced_out(df, ["key"], "ts", "id", seconds)
+        assert {r["id"] for r in got.collect()} == want and got.columns == df.columns
+        assert got.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_reputation_uses_only_the_past(frame, rows):
     got = {r["id"]: r["reputation"] for r in hs.reputation_asof(frame, "key").collect()}
     weight, seen = {"SAFE": 0.0, "WARNING": 0.5, "DANGER": 1.0}, {}
