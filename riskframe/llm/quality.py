@@ -24,6 +24,7 @@ from riskframe.llm import common as c
 WIDTH, NONZERO, WINDOW, LEAST_COUNT = 96, 6, 2, 5
 HIDDEN, EPOCHS, RATE = 32, 40, 3e-3
 SAMPLE_CHARS = 24_000_000
+MOST_TOKENS = 400_000  # tokens whose vectors a worker remembers
 _TOKEN = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
@@ -130,8 +131,11 @@ class Network:
         hidden = np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1)
         return hidden @ self.w2 + self.b2
 
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -30, 30)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
+        return self.calibrated(self.logits(x))
 
 
 def train_network(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
@@ -166,16 +170,57 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
+class TokenTable:
+    """What each token adds to the hidden layer. Pooling is linear, so standardisation and the first layer are applied to tokens.
+
+    Known tokens stand before a batch's own when those are numbered. Beyond ``MOST_TOKENS`` only the last batch's stay.
+    """
+
+    def __init__(self, vectors: WordVectors, network: Network):
+        self.vectors, self.network = vectors, network
+        self.first = (network.w1 / network.scale[:, None]).astype(np.float64)
+        self.base = network.b1 - (network.mean / network.scale) @ network.w1
+        self.known, self.rows = pa.array([], pa.string()), np.zeros((0, self.first.shape[1]), dtype=np.float32)
+
+    def numbers(self, flat: pa.Array) -> np.ndarray:
+        coded = pa.concat_arrays([self.known, flat]).dictionary_encode()
+        old = len(self.known)
+        fresh = coded.dictionary[old:].to_pylist()
+        if fresh:
+            new = [self.vectors.of_tokens(fresh[k:k + 16384]) @ self.first[:WIDTH] for k in range(0, len(fresh), 16384)]
+            self.known, self.rows = coded.dictionary, np.concatenate([self.rows, *(x.astype(np.float32) for x in new)])
+        return np.asarray(coded.indices)[old:].astype(np.int64)
+
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        flat, rows = c.tokens(texts, lower=False)
+        codes = self.numbers(flat)
+        n = np.bincount(rows, minlength=len(texts))
+        total = np.zeros((len(texts), self.rows.shape[1]))
+        for k in range(0, len(codes), 65536):
+            doc = rows[k:k + 65536]
+            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            total[doc[begin]] += np.add.reduceat(self.rows[codes[k:k + 65536]], begin, axis=0)
+        repeats = np.bincount(rows[1:][(codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])], minlength=len(texts))
+        total += repeats[:, None] * (_REPEAT @ self.first[:WIDTH])[None, :]
+        if len(self.known) > MOST_TOKENS:
+            used = np.unique(codes)
+            self.known, self.rows = self.known.take(pa.array(used)), self.rows[used]
+        hidden = np.tanh(total / np.maximum(n, 1)[:, None] + np.log1p(n)[:, None] * self.first[WIDTH:] + self.base)
+        return hidden @ self.network.w2 + self.network.b2
+
+
 @dataclass
 class Model:
     vectors: WordVectors
     network: Network | None
     share: float
+    table: TokenTable | None = None  # grows in each worker
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.share)
-        return self.network.probability(pooled(texts, self.vectors))
+        self.table = self.table or TokenTable(self.vectors, self.network)
+        return self.network.calibrated(self.table.logits(texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -198,8 +243,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, thresh
     """doc_id, held_out, score, predicted of every row.
 
     docs: doc_id long, text string; labels: doc_id, quality 0/1; further columns are not read. A null or blank text is
-    scored by the network on the zero vector. A null id counts as held out. Repeated rows are scored each; of labels
-    repeated for an id one is used. Labels other than 0 and 1 are not used; without labels of both kinds every score
+    scored by the network on the zero vector. A null id counts as held out. Repeated rows are scored each; of different
+    labels of an id the smaller counts. Labels other than 0 and 1 are not used; without labels of both kinds every score
     is the share of label 1 (0.5 without labels). An empty table gives an empty result.
     """
     # At most one context vector for each LEAST_COUNT words of the sample: bounded by ``sample_chars``.
