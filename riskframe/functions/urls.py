@@ -140,11 +140,19 @@ def domain_spoof(host: Column, unicode_host: Column | None = None) -> Column:
 
 # -- URL reputation --------------------------------------------------------
 
+def url_scheme(url: Column) -> Column:
+    """Text before the first colon, lower-cased, also where a URL has no host."""
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+
+
 def url_assessment(url: Column | str) -> Column:
     """Host flags and risk of one URL as a struct."""
     value = text(url)
-    # Text before the first colon is the scheme also where a URL has no host.
-    scheme = F.lower(F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    return host_assessment(host_of(value), url_scheme(value))
+
+
+def host_assessment(host: Column, scheme: Column) -> Column:
+    """The same for a host under a scheme: all that a URL's rating depends on."""
     internal = rf"^(?:{'|'.join(h.replace('.', chr(92) + '.') for h in lx.INTERNAL_HOSTS)})$|^{alternation(lx.INTERNAL_PREFIXES)}"
 
     def flags(h: Column) -> Column:
@@ -165,7 +173,7 @@ def url_assessment(url: Column | str) -> Column:
             f["outcome"].isNotNull().alias("is_brand_impersonation"), f["outcome"]["brand"].alias("brand"),
             f["outcome"]["type"].alias("impersonation_type"), risk.alias("risk_score"))
 
-    return let(let(F.struct(host_of(value).alias("host"), scheme.alias("scheme")), flags), rate)
+    return let(let(F.struct(host.alias("host"), scheme.alias("scheme")), flags), rate)
 
 
 # -- spoofed senders -------------------------------------------------------

@@ -12,6 +12,7 @@ from riskframe.functions.headers import (
 )
 from riskframe.functions.urls import clean_domain
 from riskframe.operators.joins import lookup_join
+from riskframe.session import checkpointed
 
 NOT_DETERMINABLE = "ORIGIN_NOT_DETERMINABLE"
 
@@ -222,6 +223,22 @@ def decode_hosts(df: DataFrame, host: str = "host", out: str = "unicode_host") -
     return df.join(decoded, host, "left").withColumn(out, F.coalesce(F.col(out), F.col(host)))
 
 
+def spoofed_links(messages: DataFrame, key: str, urls: str = "urls") -> DataFrame:
+    """``typosquat`` and ``homograph`` of a message: whether one of its links imitates a brand.
+
+    Distinct hosts are decoded (IDN) and judged once each, and their few positives joined back.
+    """
+    from riskframe.functions.common import host_of
+    from riskframe.functions.urls import domain_spoof
+
+    links = messages.select(key, F.explode(F.array_distinct(F.transform(urls, host_of))).alias("host"))
+    hosts = decode_hosts(links.select("host").distinct())
+    judged = hosts.select("host", domain_spoof(F.col("host"), F.col("unicode_host")).alias("s")).filter("s.typosquat or s.homograph")
+    found = lookup_join(links, checkpointed(judged), "host", "inner").groupBy(key).agg(
+        F.bool_or("s.typosquat").alias("typosquat"), F.bool_or("s.homograph").alias("homograph"))
+    return lookup_join(messages, found, key).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("typosquat", "homograph")})
+
+
 def known_bad_attachments(attachments: DataFrame, hashes: DataFrame) -> DataFrame:
     """Attachments whose digest is on the list; the digest of empty input never counts."""
     listed = hashes.select(F.lower(F.col("sha256")).alias("sha256")).filter(F.col("sha256") != lx.EMPTY_SHA256).distinct()

@@ -59,13 +59,13 @@ def stratified_split(df: DataFrame, label: str, row_id: str, share: float, seed:
 
     The order is a digest of seed and id, so the split repeats exactly; ranks
     are taken over range partitions, so a frequent label is not sorted in one
-    task.
+    task. A NULL label is a class of its own.
     """
     keyed = df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")), 256))
     ranked = running_sums(keyed, [label], ["_h", row_id], {"_before": F.lit(1)})
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_total"))
-    joined = ranked.join(F.broadcast(sizes), label)  # one row per class
-    return joined.withColumn(name, F.col("_before") < F.floor(F.col("_total") * share)).drop("_h", "_before", "_total")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_total"))
+    joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))  # one row per class; Spark measures it
+    return joined.withColumn(name, F.col("_before") < F.floor(F.col("_total") * share)).drop("_h", "_before", "_total", "_label")
 
 
 def time_folds(df: DataFrame, order: list[str], folds: int = 3, name: str = "tile") -> DataFrame:

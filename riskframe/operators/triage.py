@@ -12,7 +12,9 @@ from riskframe.functions.headers import parse_auth
 from riskframe.functions.text import (
     exposed_types, extract_urls, forwarded_by_header, forwarding, link_mismatches,
 )
-from riskframe.functions.urls import spoof_check, url_assessment
+from riskframe.functions.urls import brand_imitation, host_assessment, host_of, spoof_check, url_assessment, url_scheme
+from riskframe.operators.joins import lookup_join
+from riskframe.session import checkpointed
 
 
 def url_rollup(url_scores: DataFrame, key: str) -> DataFrame:
@@ -32,13 +34,75 @@ def url_summary(urls: Column) -> Column:
         have("ip_based").alias("any_ip"), have("is_brand_impersonation").alias("any_imitation"))
 
 
+def rated_links(messages: DataFrame, key: str, urls: str = "urls") -> DataFrame:
+    """Link signals of each message: ``url_signals``, the first link's host ``url_domain`` and ``url_imitation``.
+
+    A host under a scheme is rated once, however many links name it, and joined back; adaptive execution measures the rated
+    hosts before it broadcasts them and splits hot hosts. Messages without links are not in the result.
+    """
+    links = messages.select(key, F.posexplode(urls).alias("_at", "_url"))
+    links = links.select(key, "_at", host_of(F.col("_url")).alias("_host"), url_scheme(F.col("_url")).alias("_scheme"))
+    hosts = links.select("_host", "_scheme").distinct()
+    rated = hosts.withColumn("_a", host_assessment(F.col("_host"), F.col("_scheme")))
+    met = lookup_join(links, rated, ["_host", "_scheme"])
+    first = F.min_by(F.struct("_host", F.col("_a.is_brand_impersonation").alias("imitates")), "_at")
+    rolled = met.groupBy(key).agg(
+        F.max("_a.risk_score").alias("url_risk"), F.bool_or("_a.is_shortener").alias("any_shortener"), F.bool_or("_a.suspicious_tld").alias("any_bad_tld"),
+        F.bool_or("_a.ip_based").alias("any_ip"), F.bool_or("_a.is_brand_impersonation").alias("any_imitation"), first.alias("_first"))
+    return rolled.select(key, F.struct("url_risk", "any_shortener", "any_bad_tld", "any_ip", "any_imitation").alias("url_signals"),
+                         F.col("_first._host").alias("url_domain"), F.col("_first.imitates").alias("url_imitation"))
+
+
+def attachment_facts(attachments: DataFrame, bad_hashes: DataFrame, key: str) -> DataFrame:
+    """Worst attachment of each message. A digest is looked up once, however many messages carry it."""
+    from riskframe.operators.enrichment import attachment_risk, known_bad_attachments
+
+    listed = known_bad_attachments(attachments.select("sha256").distinct(), bad_hashes).select("sha256").withColumn("known_bad", F.lit(True))
+    rated = attachment_risk(lookup_join(attachments.withColumn("sha256", F.lower("sha256")), listed.distinct(), "sha256"))
+    each = F.array_sort(F.collect_list(F.struct("filename", "attachment_factors")))
+    return rated.groupBy(key).agg(
+        F.max("attachment_score").alias("attachment_score"), F.bool_or("is_malware").alias("has_malware"),
+        F.flatten(F.transform(each, lambda a: a["attachment_factors"])).alias("attachment_factors"))
+
+
+def full_triage(messages: DataFrame, key: str = "email_id", domains: DataFrame | None = None, as_of: Column | None = None,
+                attachments: DataFrame | None = None, bad_hashes: DataFrame | None = None, allow_verified: bool = False) -> DataFrame:
+    """One verdict from all sources: text, links, sender and link domains, attachments, HTML and authentication.
+
+    ``domains`` (``enrich_domains``) with the day ages are counted to, ``attachments`` (key, filename, content_type, sha256,
+    is_encrypted) with ``bad_hashes`` (sha256) are optional. Sender domains, link hosts and digests are rated once each;
+    what they say of a message is a narrow table, written before it is joined.
+    Facts of the relay path are reported elsewhere and never scored.
+    """
+    from riskframe.operators.enrichment import enrich_domains
+
+    own = messages if "urls" in messages.columns else messages.withColumn("urls", extract_urls("body_text"))
+    links = checkpointed(rated_links(own, key))
+    out = lookup_join(own, links.drop("url_imitation"), key).withColumn("url_signals", F.coalesce("url_signals", no_links()))
+    if domains is not None:
+        facts = enrich_domains(lookup_join(own.select(key, "sender"), links.drop("url_signals"), key), domains, as_of)
+        senders = checkpointed(facts.select("domain").distinct().withColumn("sender_imitation", brand_imitation("domain").isNotNull()))
+        facts = fusion.domain_signals(lookup_join(facts, senders, "domain"))
+        facts = facts.select(key, "registration_score", "mx_score", "url_imitation_score", "domain_categories")
+        out = lookup_join(out, checkpointed(facts), key)
+    if attachments is not None:
+        out = lookup_join(out, checkpointed(attachment_facts(attachments, bad_hashes, key)), key)
+    return triage(out, allow_verified)
+
+
+def no_links() -> Column:
+    false = F.lit(False)
+    return F.struct(F.lit(0).alias("url_risk"), false.alias("any_shortener"), false.alias("any_bad_tld"), false.alias("any_ip"), false.alias("any_imitation"))
+
+
 def analyse_content(df: DataFrame) -> DataFrame:
     """Content rules over a table of messages, one row in, one row out.
 
     Needs ``sender, subject, body_text``; uses ``body_html, reply_to,
-    return_path, urls, raw_headers`` and, where the caller has joined them,
-    ``registration_score, mx_score, url_imitation_score, domain_categories``
-    (``fusion.domain_signals``) and ``attachment_score, has_malware``.
+    return_path, urls, raw_headers`` and, where the caller has joined them
+    (``full_triage``), ``url_signals``, ``registration_score, mx_score,
+    url_imitation_score, domain_categories`` (``fusion.domain_signals``) and
+    ``attachment_score, has_malware, attachment_factors``.
     No shuffle: everything is a projection.
     """
     have = set(df.columns)
@@ -60,7 +124,7 @@ def analyse_content(df: DataFrame) -> DataFrame:
     })
     lower = F.col("_lower")
     df = df.withColumns({
-        "url_signals": url_summary(F.col("_urls")),
+        "url_signals": F.col("url_signals") if "url_signals" in have else url_summary(F.col("_urls")),
         "urgency_hits": hits(lower, lx.URGENCY_PHRASES), "credential_hits": hits(lower, lx.CREDENTIAL_PHRASES),
         "bec_hits": hits(lower, lx.BEC_PHRASES), "fraud_hits": hits(lower, lx.FRAUD_PHRASES),
     })
@@ -96,6 +160,7 @@ def analyse_content(df: DataFrame) -> DataFrame:
             F.when(n("urgency_hits") > 0, say("Urgency/social-engineering language: ", first3("urgency_hits"))),
             F.when(n("credential_hits") > 0, say("Credential harvesting language: ", first3("credential_hits")))),
         F.col("spoof.factors"),
+        F.coalesce("attachment_factors", F.array().cast("array<string>")) if "attachment_factors" in have else F.array().cast("array<string>"),
         compact(
             F.when(F.col("link_mismatches") > 0, F.format_string(
                 "%d link(s) with mismatched display text vs. actual URL", F.col("link_mismatches"))),

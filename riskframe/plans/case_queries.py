@@ -25,13 +25,15 @@ _PAIRS = f"""{_USABLE}, m AS (SELECT DISTINCT normalized_value, case_id FROM u),
 p AS (SELECT u.case_id, u.indicator_type, u.indicator_value, u.normalized_value, m.case_id AS target_case_id,
   row_number() OVER (PARTITION BY u.case_id, u.indicator_type, u.indicator_value, u.normalized_value ORDER BY m.case_id) AS rn
   FROM u JOIN m ON u.normalized_value = m.normalized_value AND u.case_id <> m.case_id),
+held AS (SELECT normalized_value, count(*) AS value_case_count FROM m GROUP BY 1),
 rel AS (SELECT p.case_id, indicator_type, indicator_value, target_case_id, c.verdict AS target_verdict,
-  {_RELATION} AS relationship_type, {_CONF} AS confidence FROM p LEFT JOIN c ON p.target_case_id = c.case_id WHERE rn <= 10)"""
+  {_RELATION} AS relationship_type, {_CONF} AS confidence, value_case_count
+  FROM p JOIN held ON p.normalized_value = held.normalized_value LEFT JOIN c ON p.target_case_id = c.case_id WHERE rn <= 10)"""
 
 
 @query("cross_case_correlation", f"WITH {_PAIRS} SELECT * FROM rel")
 def cross_case_correlation(spark, sf):
-    return co.correlate(indicators(spark, sf), case_verdicts(spark, sf)).drop("normalized_value", "explanation", "value_case_count")
+    return co.correlate(indicators(spark, sf), case_verdicts(spark, sf)).drop("normalized_value", "explanation")
 
 
 @query("attribution", f"""

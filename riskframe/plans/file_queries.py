@@ -61,11 +61,11 @@ def pdf_scan(spark, sf):
 
 @query("finding_scores", f"""
 WITH e(k, n, total, hard) AS (VALUES {_pdf_expected()})
-SELECT CAST(doc_id AS VARCHAR) AS file_id, n AS findings, hard AS hard_trigger, CASE WHEN hard THEN greatest(least(100, total), 85) ELSE least(100, total) END AS structural_score
-FROM documents JOIN e ON k = doc_id % {len(_PDF)} WHERE n > 0 AND doc_id % 5 <> 0""")
+SELECT CAST(doc_id AS VARCHAR) AS file_id, n + cut AS findings, hard AS hard_trigger,
+  CASE WHEN hard THEN greatest(least(100, total + 50 * cut), 85) ELSE least(100, total + 50 * cut) END AS structural_score
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS cut FROM documents) JOIN e ON k = doc_id % {len(_PDF)} WHERE n + cut > 0""")
 def finding_scores(spark, sf):
-    files = _pdf_files(spark, sf).filter("CAST(file_id AS BIGINT) % 5 <> 0")
-    return fx.structural_scores(fx.scan_files(files).select("file_id", F.inline("findings")))
+    return fx.structural_scores(fx.scan_files(_pdf_files(spark, sf)).select("file_id", F.inline("findings")))
 
 
 @query("scan_reports")

@@ -8,9 +8,10 @@ from riskframe import lexicons as lx
 from riskframe.functions import fusion
 from riskframe.functions import text as tx
 from riskframe.functions.sql import register_functions
-from riskframe.functions.urls import domain_spoof, is_trusted_mobile, lexical_features
+from riskframe.functions.urls import is_trusted_mobile, lexical_features
 from riskframe.functions.common import host_of
 from riskframe.operators import ml
+from riskframe.operators.enrichment import spoofed_links
 from riskframe.operators.signals import SignalRegistry, active_scores, weighted_vote
 from riskframe.plans.datasets import MAIL_SQL, PREDICTION_SQL, SCAN_SQL, links, mail, predictions, scans, table
 from riskframe.plans.registry import query
@@ -82,10 +83,9 @@ def probability_rules(spark, sf):
 def _messages(spark, sf):
     score = lambda k: F.expr(f"CAST(email_id * {k} % 101 AS DOUBLE) / 100")
     m = mail(spark, sf).select("email_id", F.col("body_text").alias("text"), tx.extract_message_urls("body_text").alias("urls"))
-    spoof = F.transform("urls", lambda u: domain_spoof(host_of(u)))
+    m = spoofed_links(m, "email_id")
     return m.withColumns({
         "url_score": F.when(F.size("urls") > 0, score(7)).otherwise(0.0), "nlp_score": score(13), "structural_score": score(3) * 0.3,
-        "typosquat": F.exists(spoof, lambda s: s["typosquat"]), "homograph": F.exists(spoof, lambda s: s["homograph"]),
         "regional": F.lit(0.0), "reputation": score(5) * 0.5, "regional_language": tx.has_tamil("text"),
         "ai_score": F.when(F.col("email_id") % 3 == 0, (F.col("email_id") % 101).cast("int")),
         "cloud_score": F.when(F.col("email_id") % 4 == 0, (F.col("email_id") * 3 % 101).cast("int")),

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from riskframe import lexicons as lx
 from riskframe.functions import fusion
 from riskframe.functions import text as tx
+from riskframe.functions import urls as ux
 from riskframe.operators import triage as tr
 from riskframe.operators.language import build_vocabulary, detect_romanised, encode_tokens
+from riskframe.operators.joins import lookup_join
+from riskframe.plans import header_queries, url_queries  # noqa: F401  (their queries' SQL is used below)
 from riskframe.plans.datasets import LINK_SQL, MAIL_SQL, mail, table
-from riskframe.plans.registry import query
+from riskframe.plans.registry import QUERIES, query
 from riskframe.plans.sqltext import (
-    has_any, hit_count, hit_list, in_list, matches, quoted, unicode_edges,
+    ends_any, has_any, hit_count, hit_list, in_list, matches, quoted, under, unicode_edges,
 )
+from riskframe.session import checkpointed
 
 EMAIL_RE = tx.EMAIL_PATTERN
 PHONE_RE = tx.PHONE_PATTERN
@@ -306,7 +310,37 @@ def token_encoding(spark, sf):
 
 # -- triage ----------------------------------------------------------------
 
-def _triage_cte() -> str:
+def _facts_cte() -> str:
+    """What a message's domain, first link, attachment and HTML say, one row a message."""
+    from riskframe.plans.header_queries import _ATT, _MIME
+    from riskframe.plans.url_queries import _HOST, _brand_case
+
+    def imitates(name, host):
+        return f"""{name} AS (SELECT email_id, {_brand_case('brand')} IS NOT NULL AS imitates FROM (SELECT *, len(ps) AS nparts, CASE WHEN len(ps) >= 2 THEN ps[len(ps) - 1] ELSE '' END AS root,
+  CASE WHEN len(ps) > 2 THEN array_to_string(ps[1:len(ps) - 2], '.') ELSE '' END AS sub FROM (SELECT email_id, host, string_split(host, '.') AS ps FROM ({host}))))"""
+
+    known = (f"({under('domain', lx.TRUSTED_DOMAINS)} OR {ends_any('domain', lx.INSTITUTION_SUFFIXES)} OR {has_any('domain', lx.EDUCATION_KEYWORDS)} "
+             f"OR {has_any('lower(sender)', lx.EDUCATION_KEYWORDS)})")
+    first = f"SELECT email_id, {_HOST} AS host FROM (SELECT email_id, rtrim(regexp_extract_all(body_text, {quoted(tx.URL_PATTERN)})[1], '.') AS url FROM ({MAIL_SQL})) WHERE url IS NOT NULL"
+    return f"""
+dom AS (SELECT d.email_id, m.sender, d.domain, len(d.domain) * 13 % 120 AS age, len(d.domain) % 3 <> 0 AS mx, len(d.domain) % 4 <> 0 AS registered
+  FROM ({QUERIES['domain_cleanup'].sql}) d JOIN ({MAIL_SQL}) m ON d.email_id = m.email_id),
+{imitates('si', 'SELECT email_id, domain AS host FROM dom')}, {imitates('ui', first)},
+att AS (SELECT doc_id AS email_id, split_part('{"|".join(_ATT)}', '|', CAST(doc_id % 6 AS INT) + 1) AS fn, split_part('{"|".join(_MIME)}', '|', CAST(doc_id % 4 AS INT) + 1) AS mt,
+  doc_id % 11 = 0 AS enc, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 7) AS bad FROM documents),
+fx AS (SELECT dom.email_id, CASE WHEN {known} THEN 0 WHEN si.imitates THEN 90 WHEN age < 30 THEN 85 WHEN age < 90 THEN 40 ELSE 0 END AS reg,
+  CASE WHEN NOT {known} AND NOT mx AND registered AND contains(domain, '.') AND len(domain) > 4 THEN 60 ELSE 0 END AS mxs,
+  coalesce(ui.imitates, false) AS uimit, NOT {known} AND si.imitates AS simit, NOT {known} AND NOT si.imitates AND age < 30 AS young,
+  greatest(CASE WHEN enc THEN 75 ELSE 0 END, CASE WHEN bad THEN 100 ELSE 0 END, CASE WHEN ends_with(lower(fn), '.pdf') AND mt <> '' AND NOT contains(mt, 'pdf')
+    AND NOT contains(mt, 'octet-stream') THEN 85 ELSE 0 END, CASE WHEN ends_with(fn, '.exe') OR ends_with(fn, '.js') THEN 90 ELSE 0 END) AS ats,
+  bad OR ends_with(fn, '.exe') OR ends_with(fn, '.js') AS malw, CASE WHEN dom.email_id % 9 = 0 THEN 55 ELSE 0 END AS mis
+  FROM dom JOIN si ON dom.email_id = si.email_id JOIN att ON dom.email_id = att.email_id LEFT JOIN ui ON dom.email_id = ui.email_id)"""
+
+
+_NO_FACTS = f"fx AS (SELECT email_id, 0 AS reg, 0 AS mxs, false AS uimit, false AS simit, false AS young, 0 AS ats, false AS malw, 0 AS mis FROM ({MAIL_SQL}))"
+
+
+def _triage_cte(facts: str = _NO_FACTS) -> str:
     from riskframe.plans.header_queries import _AUTH_CTE, _PEN
     from riskframe.plans.url_queries import _HOSTS_CTE, _spoof_sql
 
@@ -314,12 +348,15 @@ def _triage_cte() -> str:
             f"lambda x: rtrim(x, '.')))) AS url FROM ({MAIL_SQL})")
     hosts = _HOSTS_CTE.replace(LINK_SQL, urls)
     cats = ", ".join([
+        "CASE WHEN simit OR uimit THEN 'PHISHING' END", "CASE WHEN simit OR uimit THEN 'IMPERSONATION' END", "CASE WHEN young THEN 'SUSPICIOUS' END",
+        "CASE WHEN malw THEN 'MALWARE' END",
         "CASE WHEN nx > 0 THEN 'SENSITIVE_DATA_EXPOSURE' END", "CASE WHEN nc > 0 OR url_risk >= 50 OR short THEN 'PHISHING' END",
         f"CASE WHEN nb > 0 OR {has_any('low', lx.BEC_CATEGORY_PHRASES)} THEN 'BEC' END",
         f"CASE WHEN (nf > 0 AND nb = 0) OR {has_any('low', lx.FRAUD_CATEGORY_PHRASES)} THEN 'FRAUD' END",
         "CASE WHEN impersonating THEN 'IMPERSONATION' END", "CASE WHEN header_mismatch OR lookalike THEN 'SPOOFED' END"])
     order = " ".join(f"WHEN list_contains(cats, '{c}') THEN '{c}'" for c in lx.CATEGORY_PRIORITY)
     return f"""
+{facts},
 fw AS (WITH {_fwd_cte()} SELECT email_id, (q OR fwd) AS is_forwarded, concat(coalesce(osub, subject), ' ', CASE WHEN (q OR fwd) AND o <> '' THEN o ELSE b END) AS t FROM f),
 sp AS ({_spoof_sql()}), ur AS (WITH {hosts} SELECT link_id AS email_id, max(risk) AS url_risk, bool_or(short) AS short FROM s GROUP BY 1),
 au AS (WITH {_AUTH_CTE} SELECT email_id, spf, dkim, dmarc, CASE WHEN spf = 'UNKNOWN' AND dkim = 'UNKNOWN' AND dmarc = 'UNKNOWN' THEN 0
@@ -327,16 +364,18 @@ au AS (WITH {_AUTH_CTE} SELECT email_id, spf, dkim, dmarc, CASE WHEN spf = 'UNKN
 n AS (SELECT fw.email_id, is_forwarded, lower(t) AS low, len({_EXPOSED}) AS nx, {hit_count('lower(t)', lx.URGENCY_PHRASES)} AS nu, {hit_count('lower(t)', lx.CREDENTIAL_PHRASES)} AS nc,
   {hit_count('lower(t)', lx.BEC_PHRASES)} AS nb, {hit_count('lower(t)', lx.FRAUD_PHRASES)} AS nf, coalesce(url_risk, 0) AS url_risk, coalesce(short, false) AS short,
   sp.score AS sps, header_mismatch, lookalike, impersonating, auth_score, NOT (spf = 'UNKNOWN' AND dkim = 'UNKNOWN' AND dmarc = 'UNKNOWN') AS known
-  FROM fw JOIN sp ON fw.email_id = sp.email_id JOIN au ON fw.email_id = au.email_id LEFT JOIN ur ON fw.email_id = ur.email_id),
-g AS (SELECT *, CAST(greatest(url_risk, CASE WHEN nu > 0 THEN least(30 + nu * 12, 90) ELSE 0 END, CASE WHEN nc > 0 THEN 85 ELSE 0 END, sps, CASE WHEN nx > 0 THEN 95 ELSE 0 END,
-  CASE WHEN nb > 0 THEN 90 ELSE 0 END, CASE WHEN nf > 0 AND nb = 0 THEN 85 ELSE 0 END) AS INT) AS c, list_filter([{cats}], lambda x: x IS NOT NULL) AS cats0 FROM n),
+  , reg, mxs, uimit, simit, young, ats, malw, mis
+  FROM fw JOIN sp ON fw.email_id = sp.email_id JOIN au ON fw.email_id = au.email_id JOIN fx ON fw.email_id = fx.email_id LEFT JOIN ur ON fw.email_id = ur.email_id),
+g AS (SELECT *, CAST(greatest(reg, mxs, CASE WHEN uimit THEN 90 ELSE 0 END, ats, mis, url_risk, CASE WHEN nu > 0 THEN least(30 + nu * 12, 90) ELSE 0 END, CASE WHEN nc > 0 THEN 85 ELSE 0 END, sps, CASE WHEN nx > 0 THEN 95 ELSE 0 END,
+  CASE WHEN nb > 0 THEN 90 ELSE 0 END, CASE WHEN nf > 0 AND nb = 0 THEN 85 ELSE 0 END) AS INT) AS c, list_distinct(list_filter([{cats}], lambda x: x IS NOT NULL)) AS cats0 FROM n),
 k AS (SELECT *, CASE WHEN len(cats0) = 0 AND nu > 0 THEN ['SPAM'] ELSE cats0 END AS cats FROM g),
 pc AS (SELECT *, CASE {order} WHEN c >= 30 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS cat FROM k)"""
 
 
-@query("email_triage", f"""
-WITH {_triage_cte()},
-a1 AS (SELECT *, cat IN ('PHISHING', 'IMPERSONATION', 'SPOOFED', 'BEC', 'MALWARE') AS mim, CAST(floor(round(c * 0.6 + auth_score * 0.4, 6)) AS INT) AS mix FROM pc),
+def _verdict_sql(facts: str = _NO_FACTS) -> str:
+    return f"""
+WITH {_triage_cte(facts)},
+a1 AS (SELECT *, cat IN ('PHISHING', 'IMPERSONATION', 'SPOOFED', 'BEC', 'MALWARE') OR reg = 90 OR uimit AS mim, CAST(floor(round(c * 0.6 + auth_score * 0.4, 6)) AS INT) AS mix FROM pc),
 a2 AS (SELECT *, CASE WHEN known THEN CASE WHEN mim OR c >= 40 THEN greatest(c, mix) ELSE mix END ELSE c END AS s0 FROM a1),
 a3 AS (SELECT *, CASE WHEN mim OR c >= 70 OR cat IN ('SENSITIVE_DATA_EXPOSURE', 'FRAUD') THEN greatest(s0, c) ELSE s0 END AS s1 FROM a2),
 a4 AS (SELECT *, CASE WHEN mim THEN greatest(s1, 85) ELSE s1 END AS s2 FROM a3),
@@ -345,7 +384,10 @@ a6 AS (SELECT *, CASE WHEN c < 30 AND auth_score < 30 AND NOT mim THEN 'SAFE' WH
   WHEN risk_score >= 45 THEN 'SUSPICIOUS' WHEN risk_score >= 20 THEN 'UNVERIFIED' ELSE 'SAFE' END AS v0 FROM a5),
 a7 AS (SELECT *, CASE WHEN v0 = 'SAFE' AND (c >= 40 OR mim) THEN CASE WHEN c >= 70 OR mim THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END ELSE v0 END AS verdict FROM a6)
 SELECT email_id, c AS content_score, auth_score, risk_score, verdict, CASE verdict WHEN 'MALICIOUS' THEN 'HIGH' WHEN 'SUSPICIOUS' THEN 'MEDIUM-HIGH' WHEN 'UNVERIFIED' THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
-  cat AS primary_category, array_to_string(list_sort(list_filter(cats, lambda x: x <> cat)), ',') AS secondary_categories, is_forwarded FROM a7""")
+  cat AS primary_category, array_to_string(list_sort(list_filter(cats, lambda x: x <> cat)), ',') AS secondary_categories, is_forwarded FROM a7"""
+
+
+@query("email_triage", _verdict_sql())
 def email_triage(spark, sf):
     out = tr.triage(mail(spark, sf))
     return out.select(
@@ -353,6 +395,32 @@ def email_triage(spark, sf):
         F.array_join("secondary_categories", ",").alias("secondary_categories"), "is_forwarded")
 
 
+@query("full_triage", f"""
+SELECT t.*, coalesce(anomaly_score, 0) AS relay_score FROM ({_verdict_sql(_facts_cte())}) t LEFT JOIN ({QUERIES['relay_anomaly'].sql}) r ON t.email_id = r.email_id""")
+def full_triage(spark, sf):
+    """Every source at once; the relay score stands beside the verdict and never moves it."""
+    from riskframe.operators.enrichment import relay_anomaly
+    from riskframe.plans.header_queries import _ATT, _MIME, _located_hops
+
+    mails = checkpointed(mail(spark, sf).withColumn("body_html", F.when(
+        F.col("email_id") % 9 == 0, '<a href="http://evil.example.net/x">https://bank.example.com/</a>').otherwise("")))
+    docs = table(spark, sf, "documents")
+    names = mails.select(ux.clean_domain("sender").alias("domain")).distinct().filter("domain <> ''")
+    domains = names.selectExpr(
+        "domain", "CASE WHEN length(domain) % 4 <> 0 THEN 'Registrar' END AS registrar",
+        "date_sub(DATE'2024-06-01', length(domain) * 13 % 120) AS creation_date", "length(domain) % 3 <> 0 AS has_mx")
+    attachments = docs.selectExpr(
+        "doc_id AS email_id", f"split_part('{'|'.join(_ATT)}', '|', CAST(doc_id % 6 AS INT) + 1) AS filename",
+        f"split_part('{'|'.join(_MIME)}', '|', CAST(doc_id % 4 AS INT) + 1) AS content_type", "sha2(text, 256) AS sha256", "doc_id % 11 = 0 AS is_encrypted")
+    listed = docs.filter("doc_id % 50 = 7").selectExpr("sha2(text, 256) AS sha256")
+    out = tr.full_triage(mails, "email_id", domains, F.to_date(F.lit("2024-06-01")), attachments, listed)
+    out = checkpointed(out.select(
+        "email_id", "content_score", "auth_score", "risk_score", "verdict", "risk_band", "primary_category",
+        F.array_join("secondary_categories", ",").alias("secondary_categories"), "is_forwarded"))
+    relays = relay_anomaly(_located_hops(spark, sf)).select("email_id", F.col("anomaly_score").alias("relay_score"))
+    return lookup_join(out, checkpointed(relays), "email_id").withColumn("relay_score", F.coalesce("relay_score", F.lit(0)))
+
+
 _FIRED = ", ".join([
     "CASE WHEN url_risk > 0 THEN 'URL' END", "CASE WHEN nu > 0 THEN 'URGENCY' END", "CASE WHEN nc > 0 THEN 'CREDENTIAL' END",
     "CASE WHEN sps > 0 THEN 'SPOOFING' END", "CASE WHEN nx > 0 THEN 'EXPOSURE' END", "CASE WHEN nb > 0 THEN 'BEC' END",

@@ -176,12 +176,17 @@ def recent_buffer(df: DataFrame, size: int = 500) -> DataFrame:
 
 def cached_lookup(stream: DataFrame, dim: DataFrame, key: str, ts: str = "ts", fetched: str = "fetched_at",
                   ttl_seconds: int = 600) -> DataFrame:
-    """Reuse a looked-up value while it is fresh at the time of the event."""
-    age = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(fetched))
-    fresh = age.between(0, ttl_seconds * 1_000_000)
+    """Reuse a looked-up value while it is fresh at the time of the event.
+
+    A key may have been looked up several times; an event takes the newest version at or before it, and stays one event.
+    """
     values = [c for c in dim.columns if c not in (key, fetched)]
-    joined = stream.join(dim, key, "left")
-    return joined.withColumns({c: F.when(fresh, F.col(c)) for c in values}).drop(fetched)
+    versions = dim.groupBy(key).agg(F.collect_list(F.struct(F.col(fetched).alias("_at"), *values)).alias("_versions"))
+    joined = stream.join(versions, key, "left")
+    known = F.sort_array(F.filter("_versions", lambda v: v["_at"] <= F.col(ts)), asc=False)
+    joined = joined.withColumn("_v", F.get(known, F.lit(0))).drop("_versions")
+    fresh = F.unix_micros(F.col(ts)) - F.unix_micros("_v._at") <= ttl_seconds * 1_000_000
+    return joined.withColumns({c: F.when(fresh, F.col(f"_v.{c}")) for c in values}).drop("_v")
 
 
 def overlay_alerts(foreground: DataFrame, overlays: DataFrame, seconds: float = 30) -> DataFrame:

@@ -15,3 +15,11 @@ def test_every_term_has_a_weight(spark):
     got = ml.tfidf(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()
     want = 100 * math.log(3003 / 2) + 2 * math.log(3003 / 3001)
     assert len(got) == 3000 and all(r["n"] == 101 and abs(r["w"] - want) < 1e-6 for r in got)
+
+
+def test_a_missing_label_is_a_class(spark):
+    from riskframe.operators.ml import stratified_split
+
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(60)]
+    out = stratified_split(spark.createDataFrame(rows, "id int, label int"), "label", "id", 0.5).collect()
+    assert len(out) == 60 and all(sum(r["is_train"] for r in out if r["label"] == k) == 10 for k in (None, 0, 1))

