@@ -48,6 +48,18 @@ def active_scores(scores: DataFrame, manifest: DataFrame) -> DataFrame:
         "risk": F.coalesce("risk", F.lit(0.0))})
 
 
+#: Fixed value: what a failed inference of a local model counts as, so that a failure never reads as safe.
+UNCERTAIN = 0.50
+
+
+def local_scores(df: DataFrame, models: dict[str, Column]) -> DataFrame:
+    """``<name>_score`` of each local model, and ``degraded``: the models that gave no score (NULL or NaN) for the row."""
+    valid = {name: F.when(~F.isnan(c.cast("double")), c.cast("double")) for name, c in models.items()}
+    return df.withColumns({
+        **{f"{name}_score": F.coalesce(c, F.lit(UNCERTAIN)) for name, c in valid.items()},
+        "degraded": F.array_compact(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in valid.items()]))})
+
+
 def weighted_vote(scores: DataFrame, key: str) -> DataFrame:
     """Manifest-weighted mean risk per row over the models that answered."""
     ready = F.col("status") == "READY"

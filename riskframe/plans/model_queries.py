@@ -12,7 +12,7 @@ from riskframe.functions.urls import is_trusted_mobile, lexical_features
 from riskframe.functions.common import host_of
 from riskframe.operators import ml
 from riskframe.operators.enrichment import spoofed_links
-from riskframe.operators.signals import SignalRegistry, active_scores, weighted_vote
+from riskframe.operators.signals import SignalRegistry, active_scores, local_scores, weighted_vote
 from riskframe.plans.datasets import MAIL_SQL, PREDICTION_SQL, SCAN_SQL, links, mail, predictions, scans, table
 from riskframe.plans.registry import query
 from riskframe.plans.sqltext import has_any, hit_count, in_list, quoted
@@ -52,6 +52,18 @@ def model_score_rows(spark, sf):
     return active_scores(rows, load_dims(spark)["model"]).select("sample_id", "model_id", "risk", "status")
 
 
+@query("local_model_scores", f"""
+SELECT sample_id, url_score, nlp_score, degraded, round(url_score * 0.6 + nlp_score * 0.4, 6) AS soft_vote, round(url_score * 0.6 + nlp_score * 0.4, 9) >= 0.72 AS flagged
+FROM (SELECT sample_id, CASE WHEN url > 0.9 THEN 0.5 ELSE url END AS url_score, CASE WHEN nlp > 0.9 THEN 0.5 ELSE nlp END AS nlp_score,
+  concat_ws(',', CASE WHEN url > 0.9 THEN 'url' END, CASE WHEN nlp > 0.9 THEN 'nlp' END) AS degraded FROM ({PREDICTION_SQL}))""")
+def local_model_scores(spark, sf):
+    p = local_scores(predictions(spark, sf), {
+        "url": F.when(F.col("url") <= 0.9, F.col("url")), "nlp": F.when(F.col("nlp") > 0.9, F.lit(float("nan"))).otherwise(F.col("nlp"))})
+    vote = fusion.soft_vote(F.col("url_score"), F.col("nlp_score"))
+    return p.select("sample_id", "url_score", "nlp_score", F.array_join("degraded", ",").alias("degraded"), F.round(vote, 6).alias("soft_vote"),
+                    fusion.soft_vote_flag(F.round(vote, 9)).alias("flagged"))
+
+
 def _knots(i: int) -> str:
     xs, ys = lx.ISOTONIC_KNOTS[i]
     parts = [f"WHEN s <= {xs[0]!r} THEN {ys[0]!r}"]
