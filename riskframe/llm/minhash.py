@@ -8,8 +8,8 @@ Equal sets are one node. Nodes that agree in a whole band of coordinates meet in
 each followed by exact verification on the full sets and by components:
 
 1. each node with the first and the last node of its buckets (two pairs a node and bucket, never all pairs);
-2. where a bucket still holds nodes of different components: each node with its most similar node of another one, then
-   with its 16 most similar ones;
+2. where a bucket still holds nodes of different components: of each node's most similar node of another one, the pairs
+   of a forest (fewer pairs than nodes);
 3. every pair of a bucket that is still in different components, on the full sets, in blocks.
 
 Links inside a component need no further test, so a group of thousands of near copies costs a few pairs a node, and no
@@ -33,8 +33,7 @@ from riskframe.llm import common as c
 from riskframe.llm.graph import components, groups, in_blocks
 
 COORDINATES, BANDS, ROWS, BLOCK = 126, 21, 6, 1024
-#: How many of the most similar nodes of other components a node proposes in each turn, before the turn that leaves none out.
-TURNS = (1, 16)
+LAST = 4  # blocks of the last turn against those before it
 SHINGLES = 1024  # a node of the last turn; a block holds as many nodes as have ``block`` times that
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -130,8 +129,12 @@ def _agreement(least: float):
     return run
 
 
-def _across(least: float, most: int):
-    """Of each node of a group the ``most`` similar nodes of other components, if they are similar enough."""
+def _across(least: float):
+    """Candidate pairs between components of a group: a forest of the most similar ones, so fewer than it has nodes.
+
+    Each node names its most similar node of another component; of these pairs, the most similar first, those are proposed
+    that join components not yet joined by a pair of the group.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["bucket", "lo", "hi"]):
             node, part, block = (np.asarray(t[x].combine_chunks()) for x in ("node", "component", "block"))
@@ -140,51 +143,73 @@ def _across(least: float, most: int):
             if not len(a) or not len(b) or (part[a].min() == part[a].max() == part[b].min() == part[b].max()):
                 continue
             v = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
-            sides = [(a, b)] if lo == hi else [(a, b), (b, a)]
-            for i, side in ((i, other) for own, other in sides for i in own):
-                others = side[part[side] != part[i]]
-                if not len(others):
-                    continue
-                alike = (v[others] == v[i]).mean(axis=1)
-                near = alike >= least
-                others, alike = others[near], alike[near]
-                if len(others) > most:
-                    others = others[np.lexsort((node[others], -alike))[:most]]
-                if len(others):
-                    x, y = np.full(len(others), node[i]), node[others]
-                    yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+            found = []
+            for own, side in [(a, b)] if lo == hi else [(a, b), (b, a)]:
+                for i in own:
+                    others = side[part[side] != part[i]]
+                    if len(others):
+                        alike = (v[others] == v[i]).mean(axis=1)
+                        k = int(np.argmax(alike))
+                        if alike[k] >= least:
+                            found.append((-alike[k], int(i), int(others[k])))
+            root = {int(p): int(p) for p in np.unique(part)}
+
+            def find(p: int, root: dict[int, int] = root) -> int:
+                while root[p] != p:
+                    root[p] = p = root[root[p]]
+                return p
+
+            kept = []
+            for _, i, j in sorted(found):
+                p, q = find(int(part[i])), find(int(part[j]))
+                if p != q:
+                    root[p] = q
+                    kept.append((node[i], node[j]))
+            if kept:
+                x, y = np.array(kept, dtype=np.int64).T
+                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
     return run
 
 
-def _linked_across(least_percent: int):
-    """Links on the full sets between different components of a group; components that a link joins count as one after it."""
+def _linked_across(least_percent: int, rows: int):
+    """Links on the full sets between different components of a group; components that a link joins count as one after it.
+
+    A pair is tested in the first band where it meets. Of two components one is not the largest of the group, so only the
+    others' nodes go through their partners; the intersections of a node with all of them are counted in one pass.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["bucket", "lo", "hi"]):
             node, part, block = (np.array(t[x].combine_chunks()) for x in ("node", "component", "block"))
-            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+            lo, hi, band = t["lo"][0].as_py(), t["hi"][0].as_py(), t["band"][0].as_py()
             a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             if not len(a) or not len(b) or (part[a].min() == part[a].max() == part[b].min() == part[b].max()):
                 continue
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)[:, :band * rows].reshape(len(node), band, rows)
             sets = [c.unpack(x, np.uint64, delta=True) for x in t["set"].to_pylist()]
             n = np.array([len(x) for x in sets], dtype=np.int64)
             known, codes = np.unique(np.concatenate(sets), return_inverse=True)
             del sets
             begin = np.cumsum(n) - n
             here = np.zeros(len(known), dtype=bool)
-            for i in a:
-                others = b[(part[b] != part[i]) & (100 * np.minimum(n[b], n[i]) >= least_percent * np.maximum(n[b], n[i]))]
-                if lo == hi:
-                    others = others[others > i]
-                if not len(others):
-                    continue
+            labels, times = np.unique(part, return_counts=True)
+            largest = labels[np.argmax(times)]
+            for i in np.flatnonzero(part != largest):
+                side = b if block[i] == lo else a
+                others = side[(part[side] != part[i]) & (100 * np.minimum(n[side], n[i]) >= least_percent * np.maximum(n[side], n[i]))]
+                if band and len(others):
+                    others = others[~(sketch[others] == sketch[i]).all(axis=2).any(axis=1)]
                 own = codes[begin[i]:begin[i] + n[i]]
                 here[own] = True
-                both = np.array([np.count_nonzero(here[codes[begin[j]:begin[j] + n[j]]]) for j in others])
+                for k in range(0, len(others), 4096):
+                    some = others[k:k + 4096]
+                    ends = np.cumsum(n[some])
+                    flat = np.arange(int(ends[-1])) + np.repeat(begin[some] - (ends - n[some]), n[some])
+                    both = np.add.reduceat(here[codes[flat]].astype(np.int64), ends - n[some])
+                    for j in some[100 * both >= least_percent * (n[some] + n[i] - both)]:
+                        if part[j] != part[i]:
+                            part[part == part[j]] = part[i]
+                            yield pa.record_batch({"a": pa.array([min(node[i], node[j])]), "b": pa.array([max(node[i], node[j])])})
                 here[own] = False
-                for j in others[100 * both >= least_percent * (n[others] + n[i] - both)]:
-                    if part[j] != part[i]:
-                        part[part == part[j]] = part[i]
-                        yield pa.record_batch({"a": pa.array([min(node[i], node[j])]), "b": pa.array([max(node[i], node[j])])})
     return run
 
 
@@ -236,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, least_percent: int = 85, coo
     likely = least_percent / 100
     near = max(0.0, likely - 3 * np.sqrt(likely * (1 - likely) / coordinates))  # for the first turns only; the last one asks no sketch
 
-    met = nodes.select("node", "sketch").mapInArrow(_bands(bands, rows), "node long, keys array<long>").select("node", F.explode("keys").alias("bucket"))
+    met = nodes.select("node", "sketch").mapInArrow(_bands(bands, rows), "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "bucket"))
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1")
     members = c.checkpointed(met.join(crowded, "bucket"))
 
@@ -264,27 +289,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, least_percent: int = 85, coo
 
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = components(links)
-        labelled = members.select("bucket", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = members.select("bucket", "band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("size"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p != q").select("bucket", "size")
         return labelled, c.checkpointed(mixed)
 
     tested, links = first, verify(first)
-    for most in TURNS:
-        labelled, mixed = apart(links)
-        if mixed.isEmpty():
-            break
-        dealt = in_blocks(labelled.join(mixed, "bucket").join(sketch_of, "node"), ["bucket"], "node", "size", block)
-        new = dealt.mapInArrow(_across(near, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        new = c.checkpointed(new)
-        tested, links = tested.unionByName(new), links.unionByName(verify(new))
     labelled, mixed = apart(links)
+    if not mixed.isEmpty():
+        dealt = in_blocks(labelled.join(mixed, "bucket").join(sketch_of, "node"), ["bucket"], "node", "size", block)
+        new = dealt.mapInArrow(_across(near), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(verify(c.checkpointed(new)))
+        labelled, mixed = apart(links)
     if not mixed.isEmpty():
         left = labelled.join(mixed.select("bucket"), "bucket")
         load = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_shingles") / SHINGLES))
         loads = left.join(full.select(F.col("row").alias("node"), "n_shingles"), "node").groupBy("bucket").agg(load.alias("size"))
-        dealt = in_blocks(left.join(loads, "bucket").join(sets, "node"), ["bucket"], "node", "size", block)
-        links = links.unionByName(c.checkpointed(dealt.mapInArrow(_linked_across(least_percent), "a long, b long").distinct()))
+        # Sets are copied once a block, so blocks are as large as a task can well hold.
+        dealt = in_blocks(left.join(loads, "bucket").join(sets, "node").join(sketch_of, "node"), ["bucket"], "node", "size", LAST * block)
+        links = links.unionByName(c.checkpointed(dealt.mapInArrow(_linked_across(least_percent, rows), "a long, b long").distinct()))
     parts = components(links)
     placed = same.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = placed.groupBy("component").agg(F.min("first").alias("component_id"))
