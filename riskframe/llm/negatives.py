@@ -101,16 +101,11 @@ def prepared(vectors: DataFrame, relabel: bool) -> DataFrame:
 def _meet(anchors: DataFrame, rows: DataFrame, key: list[str], work: Callable, schema: str) -> DataFrame:
     """Stream rows past blocks of anchors. ``anchors``: the columns of rows, block, and what ``work`` needs more.
 
-    ``key``: columns that both sides share beside the block; rows go to every block of their key. Within a group anchors
-    come first. The number of blocks of a key is counted, and a row is copied once for each.
+    ``rows`` have an array of the blocks they go to, and are copied once for each; ``key``: columns that both sides share
+    beside the block. Within a group anchors come first.
     """
     parts = c.shuffle_partitions(rows.sparkSession)
-    blocks = anchors.select(*key, "block").distinct()
-    if key:
-        dealt = rows.join(blocks, key)
-    else:
-        # One block for every ANCHORS anchors: few against the rows, and joined on a constant so that Spark may choose how.
-        dealt = rows.withColumn("_one", F.lit(1)).join(blocks.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    dealt = rows.withColumn("block", F.explode("blocks")).drop("blocks")
     dealt = dealt.withColumns({"lane": F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"), "anchor": F.lit(False)})
     first = anchors.withColumns({"lane": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "anchor": F.lit(True)})
     group = [*key, "block", "lane"]
@@ -275,9 +270,11 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     """
     rows = prepared(vectors, relabel)
     chosen = rows.filter(F.col("vec_id") % every == 0)
-    parts = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    in_label = chosen.join(parts, "label").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("_n") / F.lit(ANCHORS))).cast("int")).drop("_n")
-    found = _meet(in_label, rows, ["label"], _best_positives(positives), "anchor_row long, score long, vec_id long, row long")
+    counts = chosen.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(ANCHORS)).cast("int").alias("_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    in_label = chosen.join(counts, "label").withColumn("block", block(F.col("_blocks"))).drop("_blocks")
+    near = rows.join(counts, "label").withColumn("blocks", F.sequence(F.lit(0), F.col("_blocks") - 1)).drop("_blocks")
+    found = _meet(in_label, near, ["label"], _best_positives(positives), "anchor_row long, score long, vec_id long, row long")
     pairs = _combined(found, ["anchor_row"], positives)
     limits = pairs.groupBy("anchor_row").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "row"))).alias("_p"))  # at most ``positives``
@@ -286,10 +283,10 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     limits = limits.withColumn("upper", F.sort_array(F.array_distinct(whole), asc=False))
     lowest = F.array_min(F.transform("positives", lambda p: F.ceil((p["score"] * low).cast("decimal(38,0)") / 100).cast("long")))
     limits = c.checkpointed(limits.select(F.col("anchor_row").alias("row"), "positives", "upper", lowest.alias("lowest")))
-    total = chosen.count()
-    block = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-total // ANCHORS)))).cast("int")
-    ready = chosen.join(limits.drop("positives"), "row").withColumn("block", block)
-    slots = _meet(ready, rows, [], _best_in_slots(negatives), "anchor_row long, slot int, score long, vec_id long, row long")
+    blocks = max(1, -(-chosen.count() // ANCHORS))
+    ready = chosen.join(limits.drop("positives"), "row").withColumn("block", block(F.lit(blocks)))
+    everyone = rows.withColumn("blocks", F.sequence(F.lit(0), F.lit(blocks - 1)))
+    slots = _meet(ready, everyone, [], _best_in_slots(negatives), "anchor_row long, slot int, score long, vec_id long, row long")
     slots = _combined(slots, ["anchor_row", "slot"], negatives)
     lists = slots.groupBy(F.col("anchor_row").alias("row")).agg(F.collect_list(F.struct("slot", "score", "vec_id", "row")).alias("slots"))
     answered = limits.join(chosen.select("row", "vec_id"), "row").join(lists, "row", "left")
