@@ -8,9 +8,12 @@ dropped by Spark and counted in the query progress.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -44,10 +47,39 @@ class _Ordered(StatefulProcessor):
         pass
 
 
+class Spilled:
+    """Frames of one key and batch, kept in the state store while only their times are in memory.
+
+    A key with many rows comes as many frames. All but the last are written to the store, one entry each, and read back
+    one at a time; a key with one frame never touches it.
+    """
+
+    def __init__(self, store) -> None:
+        self.store, self.count, self.last = store, 0, None
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        if self.last is not None:
+            self.store.updateValue((self.count - 1,), (bytearray(pickle.dumps(self.last, protocol=5)),))
+        self.last, self.count = pdf, self.count + 1
+
+    def frames(self) -> Iterator[tuple[int, pd.DataFrame]]:
+        """Number and frame, once; the store is empty afterwards."""
+        for k in range(self.count - 1):
+            yield k, pickle.loads(bytes(self.store.getValue((k,))[0]))
+            self.store.removeKey((k,))
+        if self.last is not None:
+            yield self.count - 1, self.last
+
+
+FRAME_KEY = T.StructType([T.StructField("frame", T.IntegerType())])
+FRAME = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
 class Cooldown(_Ordered):
     """Pass a row when none was passed for the key within the interval.
 
-    With ``content`` a row is only held back by a passed row of equal content.
+    With ``content`` a row is only held back by a passed row of equal content. Of a key's rows in a batch only time, id and
+    a hash of the content are in memory together; the rows themselves wait in the state store.
     """
 
     def __init__(self, seconds: float, ts: str = "ts", row_id: str = "id", content: str | None = None) -> None:
@@ -57,20 +89,32 @@ class Cooldown(_Ordered):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([
             T.StructField("us", T.LongType()), T.StructField("content", T.StringType())]))
+        self.waiting = handle.getMapState("waiting", FRAME_KEY, FRAME)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = self.ordered(rows)
+        spilled, times, ids, contents, frames = Spilled(self.waiting), [], [], [], []
+        for pdf in rows:
+            times.append(_micros(pdf[self.ts]).to_numpy())
+            ids.append(pdf[self.row_id].to_numpy())
+            if self.content:
+                contents.append(np.array([xxhash.xxh3_64_intdigest(str(x)) for x in pdf[self.content]], dtype=np.uint64))
+            frames.append(len(pdf))
+            spilled.add(pdf)
+        us, content = np.concatenate(times), np.concatenate(contents) if self.content else None
+        order = np.lexsort((np.concatenate(ids), us))
         at, seen = self.last.get() if self.last.exists() else (None, None)
-        keep = []
-        contents = pdf[self.content].astype(str) if self.content else [None] * len(pdf)
-        for us, content in zip(pdf["_us"], contents):
-            fresh = at is None or us - at >= self.step or content != seen
-            if fresh:
-                at, seen = int(us), content
-            keep.append(fresh)
+        kept = np.zeros(len(us), dtype=bool)
+        for i in order.tolist():
+            own = str(content[i]) if self.content else None
+            if at is None or us[i] - at >= self.step or own != seen:
+                at, seen, kept[i] = int(us[i]), own, True
         self.last.update((at, seen))
         self.forget_after((at + self.step) // 1000 + 1)
-        yield pdf.loc[keep].drop(columns="_us")
+        begins = np.cumsum([0, *frames])
+        for k, pdf in spilled.frames():
+            own = kept[begins[k]:begins[k + 1]]
+            if own.any():
+                yield pdf.loc[own]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -93,17 +137,30 @@ class Claims(_Ordered):
             T.StructField("us", T.LongType()), T.StructField("layer", T.StringType()), T.StructField("state", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = self.ordered(rows)
+        times, ids, kinds, layers = [], [], [], []
+        names: dict[str, int] = {}  # kinds and layers are few; rows hold their numbers
+        for pdf in rows:
+            times.append(_micros(pdf["ts"]).to_numpy())
+            ids.append(pdf["id"].to_numpy())
+            kinds.append(np.array([names.setdefault(x, len(names)) for x in pdf["kind"]], dtype=np.int32))
+            layers.append(np.array([names.setdefault(x, len(names)) for x in pdf["layer"]], dtype=np.int32))
+        us_, ids_, kinds_, layers_ = (np.concatenate(x) for x in (times, ids, kinds, layers))
+        name = list(names)
         held = self.claim.get() if self.claim.exists() else None
         out = []
-        for us, row_id, kind, layer, ts in zip(pdf["_us"], pdf["id"], pdf["kind"], pdf["layer"], pdf["ts"]):
+        columns = ["uri", "id", "ts", "layer", "granted", "holder"]
+        for i in np.lexsort((ids_, us_)).tolist():
+            us, row_id, kind, layer = int(us_[i]), int(ids_[i]), name[kinds_[i]], name[layers_[i]]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
             if held is not None and held[2] == "PENDING_CAPTURE" and us - held[0] > self.step:
                 held = None  # the pending claim has lapsed
             if kind == "CLAIM":
                 granted = held is None
                 if granted:
                     held = (int(us), layer, "PENDING_CAPTURE")
-                out.append((key[0], row_id, ts, layer, granted, held[1]))
+                out.append((key[0], row_id, pd.Timestamp(us, unit="us"), layer, granted, held[1]))
             elif kind == "CAPTURED" and held is not None:
                 held = (held[0], held[1], "CAPTURED")
             elif kind == "PROCESSED":
@@ -114,7 +171,7 @@ class Claims(_Ordered):
             self.claim.update(held)
             if held[2] == "PENDING_CAPTURE":
                 self.forget_after((held[0] + self.step) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["uri", "id", "ts", "layer", "granted", "holder"])
+        yield pd.DataFrame(out, columns=columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.claim.exists() and self.claim.get()[2] == "PENDING_CAPTURE":
@@ -155,9 +212,9 @@ class RecentBuffer(_Ordered):
             T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = self.ordered(rows)
-        fresh = [(int(a), int(b), float(c)) for a, b, c in zip(pdf["_us"], pdf["id"], pdf["score"])]
-        kept = sorted([*self.buffer.get(), *fresh])[-self.size:]
+        kept = list(self.buffer.get())
+        for pdf in rows:  # never more than the buffer and one frame
+            kept = sorted([*kept, *((int(a), int(b), float(c)) for a, b, c in zip(_micros(pdf["ts"]), pdf["id"], pdf["score"]))])[-self.size:]
         self.buffer.put(kept)
         yield pd.DataFrame({
             "tenant": [key[0]], "events": [len(kept)], "mean_score": [sum(k[2] for k in kept) / len(kept)], "newest_id": [kept[-1][1]]})

@@ -166,3 +166,71 @@ def test_cached_lookup_takes_the_newest_version_before_the_event(spark, tmp_path
     src = spark.readStream.schema("id int, key string, ts timestamp").parquet(path)
     got = [(r["id"], r["val"]) for r in st.run_available(st.cached_lookup(src, dim, "key")).collect()]
     assert sorted(got) == [(1, "old"), (2, "new"), (3, None), (4, None)]
+
+
+class _State(dict):
+    """A state handle in plain Python, for processors without Spark."""
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, _Map())
+
+    def getValueState(self, name, *_):
+        return self.setdefault(name, _Value())
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        self["timer"] = at
+
+
+class _Map(dict):
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_key_of_a_million_rows_holds_one_frame_at_a_time():
+    import weakref
+
+    import numpy as np
+    import pandas as pd
+
+    from riskframe.streaming.processors import Cooldown
+
+    rng = np.random.default_rng(1)
+    alive, most, n = [], 0, 1_000_000
+    at = rng.permutation(n)
+
+    def frames():
+        nonlocal most
+        for k in range(0, n, 20_000):
+            part = at[k:k + 20_000]
+            pdf = pd.DataFrame({"id": part, "ts": pd.to_datetime(part.astype("int64"), unit="s"), "text": ["row"] * len(part)})
+            alive.append(weakref.ref(pdf))
+            yield pdf
+            most = max(most, sum(r() is not None for r in alive))
+
+    state, cooldown = _State(), Cooldown(600)
+    cooldown.init(state)
+    got = [int(i) for out in cooldown.handleInputRows(("k",), frames(), None) for i in out["id"]]
+    assert sorted(got) == list(range(0, n, 600)) and most <= 4 and not state["waiting"]
+    assert list(cooldown.handleInputRows(("k",), iter([pd.DataFrame({"id": [n], "ts": [pd.to_datetime(n, unit="s")], "text": ["x"]})]), None)) == []
