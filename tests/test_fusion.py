@@ -128,3 +128,28 @@ def test_undefined_rates_read_zero(spark):
     df = spark.createDataFrame([("SAFE", "SAFE")], "expected string, verdict string")
     r = ev.binary_metrics(df).first()
     assert (r["tn"], r["precision"], r["recall"], r["f1"], r["accuracy"]) == (1, 0.0, 0.0, 0.0, 1.0)
+
+
+def test_each_source_can_change_the_verdict(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from riskframe.operators.triage import full_triage
+
+    mails = [(1, "a@old.org", "see you at lunch", ""), (2, "a@young.org", "see you at lunch", ""), (3, "a@old.org", "see you at lunch", ""),
+             (4, "a@old.org", "see you at lunch", '<a href="http://evil.net/x">https://bank.example.com/</a>'), (5, "a@old.org", "see http://paypa1.com/login", ""),
+             (6, "a@old.org", "see you at lunch", ""), (7, "a@nomx.org", "see you at lunch", ""), (8, "a@netfl1x.com", "see you at lunch", "")]
+    df = spark.createDataFrame([(i, s, "", "", "hi", b, "", h) for i, s, b, h in mails],
+                               "email_id int, sender string, reply_to string, return_path string, subject string, body_text string, authentication_results string, body_html string")
+    domains = spark.createDataFrame([("old.org", "R", date(2010, 1, 1), True), ("young.org", "R", date(2024, 5, 20), True), ("nomx.org", "R", date(2010, 1, 1), False)],
+                                    "domain string, registrar string, creation_date date, has_mx boolean")
+    files = spark.createDataFrame([(3, "a.pdf", "application/pdf", "AB" * 32, False), (6, "b.zip", "", "cd" * 32, True), (6, "c.txt", "", "ee" * 32, False)],
+                                  "email_id int, filename string, content_type string, sha256 string, is_encrypted boolean")
+    bad = spark.createDataFrame([("ab" * 32,)], "sha256 string")
+    got = {r["email_id"]: r for r in full_triage(df, "email_id", domains, F.lit("2024-06-01").cast("date"), files, bad).select(
+        "email_id", "verdict", "content_score", "primary_category", "risk_factors").collect()}
+    assert [(i, r["verdict"], r["content_score"]) for i, r in sorted(got.items())] == [
+        (1, "SAFE", 0), (2, "MALICIOUS", 85), (3, "MALICIOUS", 100), (4, "SUSPICIOUS", 55), (5, "MALICIOUS", 90), (6, "MALICIOUS", 75),
+        (7, "SUSPICIOUS", 60), (8, "MALICIOUS", 90)]
+    assert got[3]["primary_category"] == "MALWARE" and "SHA-256" in got[3]["risk_factors"][0]
