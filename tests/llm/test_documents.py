@@ -258,3 +258,30 @@ def test_pipeline_equals_a_plain_one(spark):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in plain(mixed))
     for df in (docs, clean, lined, single, mixed):
         df.unpersist()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_mixing_takes_only_as_many_equal_rows_as_fit(spark, seed):
+    text = " ".join(["plain"] * 20)
+    rows = [(7, text, "a")] * 150 + [(1000 + i, " ".join(["word"] * (1 + i % 40)), "a") for i in range(150)] + [(5000 + i, text, "b") for i in range(400)]
+    rows += [(9, text, None)] * 60 + [(None, text, None)] * 60
+    df = frame(spark, rows).repartition(5)
+    for texts in (True, False):
+        got = mixing.mix(df, seed=seed, texts=texts).collect()
+        assert len(got) == len(rows)
+        for s in ("a", "b", None):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20 and all(r["taken"] <= 2 * r["size"] for r in own)
+
+
+def test_mixing_spreads_texts_of_small_weight_over_many_steps(spark):
+    rows = [(i, "12 34 56", "a") for i in range(3000)]
+    steps = mixing._keyed(frame(spark, rows), None, 7).groupBy("_place").count()
+    assert steps.agg({"count": "max"}).first()[0] <= 4
+
+
+def test_windows_of_very_long_texts_do_not_collide(spark):
+    n = 5_000_000
+    text = spark.range(1).selectExpr("1L AS doc_id", f"array_join(transform(sequence(0, {n - 1}), i -> hex(i)), ' ') AS text", "'h' AS source")
+    row = hosts.features(text).first()
+    assert (row["n_words"], row["n_repeat_words"]) == (n, 0)

@@ -206,3 +206,22 @@ def test_temperature_calibrates_a_noisy_problem():
     fresh = rng.normal(size=(3000, 10))
     truth = 1 / (1 + np.exp(-fresh[:, 0]))
     assert np.abs(net.probability(fresh) - truth).mean() < 0.15
+
+
+def test_the_smaller_of_different_labels_of_an_id_counts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for i in range(200) for k in range(5)], "doc_id long, toxic int").repartition(7)
+    got = c.labelled_sample(docs, labels, "toxic", 5, 1_000_000).collect()
+    assert len(got) > 100 and {r["_label"] for r in got} == {0}
+
+
+def test_token_table_gives_the_scores_of_the_network_on_pooled_vectors(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["Good", "bad!!", "12", "x-y", "fine.", "(z)"], int(n))) for n in rng.integers(0, 60, 300)] + ["", None, "again again again", "\t"]
+    marks = [i % 2 for i in range(300)]
+    model = quality.train(texts[:300], marks)
+    want = model.network.probability(quality.pooled(pa.array(texts, pa.string()), model.vectors))
+    monkeypatch.setattr(quality, "MOST_TOKENS", 4)  # forgets between batches
+    for k in range(0, len(texts), 37):
+        got = model.scores(pa.array(texts[k:k + 37], pa.string()))
+        assert np.abs(got - want[k:k + 37]).max() < 1e-5
