@@ -69,20 +69,47 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for every node of ``edges`` (a long, b long).
+def _contracted(most: int):
+    """Of each ``most`` edges of a partition a star forest with the same components: at most one edge a node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-    Large-star and small-star rounds to the fixed point; each round's edges are checkpointed. Nodes with many edges are
-    only ever grouped by a minimum (partly added up before the shuffle) or joined (skewed partitions are split).
+        def forest() -> pa.RecordBatch:
+            nodes, places = np.unique(np.concatenate(held), return_inverse=True)
+            a, b = places.reshape(-1, 2).T
+            root = roots(len(nodes), a, b)
+            inner = np.flatnonzero(root != np.arange(len(nodes)))
+            return pa.record_batch({"u": pa.array(nodes[inner]), "v": pa.array(nodes[root[inner]])})
+
+        for batch in batches:
+            held.append(np.stack([np.asarray(batch.column("a")), np.asarray(batch.column("b"))], axis=1).reshape(-1))
+            n += batch.num_rows
+            if n >= most:
+                yield forest()
+                held, n = [], 0
+        if n:
+            yield forest()
+        c.release_memory()
+    return run
+
+
+def components(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """node, component (smallest node reachable) for every node of ``edges`` (a long, b long; cheap to read twice).
+
+    Partitions of about ``chunk`` edges are first contracted to star forests where they lie. Large-star and small-star
+    rounds follow until the whole is a star forest: no node has two edges to smaller ones, and none that has one is the
+    end of another. Each round's edges are checkpointed. Nodes with many edges are only ever grouped by a minimum or a
+    sum (partly added up before the shuffle) or joined (skewed partitions are split).
     """
-    now = c.checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
+    edges = edges.filter("a != b")
+    parts = max(1, -(-edges.count() // chunk))
+    now = c.checkpointed(edges.select("a", "b").coalesce(parts).mapInArrow(_contracted(chunk), "u long, v long"))
     while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
-        if before == tuple(state):
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")),
+                                            F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or (up = 1 and root = 1)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

@@ -66,9 +66,12 @@ def test_rotations_balance_and_keep_near_vectors_near():
     assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.15
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 16])
+def test_components_of_chains_and_stars(spark, chunk):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(300, 200), (7, 7)]
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [edges[(k * 41) % len(edges)] for k in range(len(edges))]  # chunks of 16 hold scattered links of the chain
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), chunk).collect()}
+    assert len(got) == 61 + 50 + 2
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(50)) and got[300] == got[200] == 200
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
