@@ -85,19 +85,27 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "case_id", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0)))
 
 
-def reachable(roots: DataFrame, refs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(roots: DataFrame, refs: DataFrame) -> DataFrame:
     """All ``(file_id, obj_key)`` reachable from the roots over ``(file_id, obj_key, target)``.
 
-    Breadth-first over all files at once; a round joins only the newly found
-    objects. Stops when a round finds nothing new.
+    Breadth-first over all files at once, until a round finds nothing new; a round joins only the newly found objects.
+    What was found is kept in tables of doubling age, two of an age being merged, so a row is written again at most once
+    for each doubling of the rounds, and a round reads as many tables as that.
     """
-    refs = checkpointed(refs.select("file_id", "obj_key", "target").distinct())
-    seen = checkpointed(roots.select("file_id", "obj_key").distinct())
-    front = seen
-    for _ in range(max_rounds):
-        step = front.join(refs, ["file_id", "obj_key"]).select("file_id", F.col("target").alias("obj_key")).distinct()
-        front = checkpointed(step.join(seen, ["file_id", "obj_key"], "left_anti"))
+    key = ["file_id", "obj_key"]
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    refs = checkpointed(refs.select(*key, "target").distinct())
+    front = checkpointed(roots.select(*key).distinct())
+    found = [(0, front)]
+    while True:
+        seen = found[0][1]
+        for _, more in found[1:]:
+            seen = seen.union(more)
+        step = front.join(refs, key).select("file_id", F.col("target").alias("obj_key")).distinct()
+        front = checkpointed(step.join(seen, key, "left_anti"))
         if front.isEmpty():
             return seen
-        seen = checkpointed(seen.union(front))
-    raise RuntimeError(f"references deeper than {max_rounds}")
+        found.append((0, front))
+        while len(found) > 1 and found[-1][0] == found[-2][0]:
+            (age, older), (_, newer) = found[-2:]
+            found[-2:] = [(age + 1, checkpointed(older.union(newer).coalesce(parts)))]

@@ -157,3 +157,19 @@ def test_a_bomb_hides_no_other_stream(spark):
     row = inflated_streams(df, max_total=10_000).first()
     assert row["bomb"] and row["inflated"] == "first text\napp.alert(1)"
     assert not inflated_streams(df).first()["bomb"]
+
+
+def test_reachable_objects_equal_a_plain_search(spark):
+    """A chain of 40 objects with a cycle, a fan, a file of no root and a reference out of nowhere."""
+    from riskframe.operators.graph import reachable
+
+    refs = [(1, i, i + 1) for i in range(40)] + [(1, 40, 7), (1, 90, 91)] + [(2, 0, k) for k in range(1, 200)] + [(2, 0, 5), (3, 0, 1)]
+    roots = [(1, 0), (2, 0), (2, 0), (4, 9)]
+    seen, todo = set(roots), list(roots)
+    while todo:
+        f, o = todo.pop()
+        for new in {(f, t) for g, x, t in refs if (g, x) == (f, o)} - seen:
+            seen.add(new)
+            todo.append(new)
+    got = reachable(spark.createDataFrame(roots, "file_id int, obj_key int"), spark.createDataFrame(refs, "file_id int, obj_key int, target int")).collect()
+    assert sorted(map(tuple, got)) == sorted(seen)
