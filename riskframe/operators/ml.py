@@ -96,16 +96,29 @@ def boosted_trees(label: str = "label", features: str = "features", rounds: int
 
 
 def grid_search(df: DataFrame, folds: int = 5, fold_col: str | None = None, rounds: tuple[int, ...] = (10, 20),
-                rates: tuple[float, ...] = (0.05,), label: str = "label"):
-    """Cross-validated search by area under the ROC curve; ``fold_col`` fixes the folds."""
+                rates: tuple[float, ...] = (0.05,), label: str = "label", parallelism: int = 4):
+    """Cross-validated search by area under the ROC curve; ``fold_col`` (0 .. folds - 1) fixes the folds.
+
+    Up to ``parallelism`` fits of a fold run at once, on the fold's cached rows.
+    """
     gbt = boosted_trees(label)
     grid = ParamGridBuilder().addGrid(gbt.maxIter, list(rounds)).addGrid(gbt.stepSize, list(rates)).build()
     cv = CrossValidator(
         estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=42,
-        **({"foldCol": fold_col} if fold_col else {}))
+        parallelism=parallelism, **({"foldCol": fold_col} if fold_col else {}))
     return cv.fit(df)
 
 
+def grid_report(spark: SparkSession, fitted) -> DataFrame:
+    """One row for each point of a fitted search: rounds, rate, mean_auc over the folds, is_best (the first of equal ones)."""
+    best = fitted.avgMetrics.index(max(fitted.avgMetrics))
+    rows = []
+    for k, (point, auc) in enumerate(zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, strict=True)):
+        named = {param.name: value for param, value in point.items()}
+        rows.append((named["maxIter"], float(named["stepSize"]), float(auc), k == best))
+    return spark.createDataFrame(rows, "rounds int, rate double, mean_auc double, is_best boolean")
+
+
 def score_vectors(model, df: DataFrame, threshold: float, mask: list[int] | None = None, width: int | None = None,
                   features: str = "features") -> DataFrame:
     """Probability and decision of a fitted classifier.

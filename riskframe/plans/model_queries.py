@@ -268,6 +268,18 @@ def url_classifier(spark, sf):
     return scored.select("link_id", "label", F.round("probability", 6).alias("probability"), "prediction")
 
 
+@query("grid_search")
+def grid_search(spark, sf):
+    from riskframe.functions.urls import url_assessment
+
+    feats = lexical_features("url")
+    rows = links(spark, sf).select(
+        "link_id", (url_assessment("url")["risk_score"] >= 70).cast("double").alias("label"), *[c.cast("double").alias(n) for n, c in feats.items()])
+    data = ml.assemble(rows, list(feats)).select("label", "features", F.pmod(F.xxhash64("link_id"), F.lit(3)).cast("int").alias("fold"))
+    fitted = ml.grid_search(data, folds=3, fold_col="fold", rounds=(2, 5), rates=(0.05, 0.1))
+    return ml.grid_report(spark, fitted).withColumn("mean_auc", F.round("mean_auc", 6))
+
+
 @query("sql_functions", f"""
 SELECT email_id, CASE WHEN contains(sender, '@') THEN concat(CASE WHEN len(split_part(sender, '@', 1)) > 1 THEN concat(left(sender, 1), '***') ELSE '***' END, '@', split_part(sender, '@', 2)) ELSE sender END AS masked,
   CASE WHEN regexp_extract(lower(authentication_results), 'spf\\s*=\\s*(pass|fail|softfail|neutral|none|temperror|permerror|bestguesspass)', 1) = '' THEN 'UNKNOWN'

@@ -23,3 +23,25 @@ def test_a_missing_label_is_a_class(spark):
     rows = [(i, None if i % 3 == 0 else i % 2) for i in range(60)]
     out = stratified_split(spark.createDataFrame(rows, "id int, label int"), "label", "id", 0.5).collect()
     assert len(out) == 60 and all(sum(r["is_train"] for r in out if r["label"] == k) == 10 for k in (None, 0, 1))
+
+
+def test_grid_search_equals_a_loop_over_the_folds(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rows = spark.range(240, numPartitions=1).select(
+        (F.col("id") % 3).cast("int").alias("fold"), F.pmod(F.xxhash64("id"), F.lit(10)).cast("double").alias("a"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)).cast("double").alias("b"))
+    rows = ml.assemble(rows.withColumn("label", (F.col("a") * 2 + F.col("b") > 14).cast("double")), ["a", "b"]).cache()
+    fitted = ml.grid_search(rows, folds=3, fold_col="fold", rounds=(1, 4), rates=(0.1,))
+    evaluator, want = BinaryClassificationEvaluator(labelCol="label"), {}
+    for n in (1, 4):
+        aucs = []
+        for k in range(3):
+            model = ml.boosted_trees(rounds=n).setStepSize(0.1).fit(rows.filter(F.col("fold") != k))
+            aucs.append(evaluator.evaluate(model.transform(rows.filter(F.col("fold") == k))))
+        want[n] = sum(aucs) / 3
+    got = {r["rounds"]: r for r in ml.grid_report(spark, fitted).collect()}
+    assert all(abs(got[n]["mean_auc"] - want[n]) < 1e-9 and got[n]["rate"] == 0.1 for n in (1, 4))
+    assert [n for n in got if got[n]["is_best"]] == [max(want, key=lambda n: (want[n], -n))]
+    assert fitted.bestModel.getNumTrees == max(want, key=lambda n: (want[n], -n))
+    rows.unpersist()
