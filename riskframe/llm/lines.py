@@ -47,6 +47,7 @@ class CuckooFilter:
     def __init__(self, keys: int, table: np.ndarray | None = None):
         buckets = 1 << max(4, int(np.ceil(np.log2(max(keys, 1) / (0.8 * self.SLOTS) + 1))))
         self.table = np.zeros((buckets, self.SLOTS), dtype=np.uint16) if table is None else table
+        self.used = int((self.table != 0).sum())
 
     def _at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = (h >> np.uint64(48)).astype(np.uint16)
@@ -63,6 +64,7 @@ class CuckooFilter:
     def insert(self, h: np.ndarray) -> np.ndarray:
         """Place distinct keys; returns, as (mark, bucket) in one integer each, fingerprints that found no place."""
         mark, bucket = self._at(h)
+        self.used += len(h)
         slot = 0
         for turn in range(self.ROUNDS):
             if len(mark) == 0:
@@ -82,6 +84,7 @@ class CuckooFilter:
                 mark[first] = out
             mark, bucket, moves = mark[waits], bucket[waits], first[waits] | (turn == 0)
             bucket = np.where(moves, self._other(mark, bucket), bucket)
+        self.used -= len(mark)
         return (bucket.astype(np.uint64) << np.uint64(16)) | mark
 
     def delete(self, h: np.ndarray) -> np.ndarray:
@@ -96,16 +99,37 @@ class CuckooFilter:
                     self.table[bucket, at[0]] = 0
                     found[k] = True
                     break
+        self.used -= int(found.sum())
+        return found
+
+
+class KeySet:
+    """Distinct keys in sorted runs, at least doubling in length from the last to the first: few runs, few merges."""
+
+    def __init__(self):
+        self.runs: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        if len(keys):
+            self.runs.append(np.unique(keys))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1]) > len(self.runs[-2]):
+            self.runs[-2:] = [np.union1d(self.runs[-2], self.runs[-1])]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), dtype=bool)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run, keys), len(run) - 1)
+            found |= run[at] == keys
         return found
 
 
 class Shard:
-    """Cuckoo filters of one shard: a further one is opened when the last is full."""
+    """Cuckoo filters of one shard: a further one, as large as all before it together, is opened when the last is full."""
 
     def __init__(self, blob: bytes | None = None):
         self.filters: list[CuckooFilter] = []
         self.loose = np.zeros(0, dtype=np.uint64)  # keys whose insertion failed, kept whole
-        self.fresh = np.zeros(0, dtype=np.uint64)  # keys inserted since the blob was read; not part of it
+        self.fresh = KeySet()  # keys inserted since the blob was read; not part of it
         if blob:
             reader = pa.ipc.open_stream(blob)
             for batch in reader:
@@ -129,13 +153,15 @@ class Shard:
 
     def force(self, new: np.ndarray) -> None:
         """Insert distinct keys whatever the filters say: for keys that only seemed to be there."""
-        self.fresh = np.union1d(self.fresh, new)
+        self.fresh.add(new)
         if len(new):
-            if not self.filters or (self.filters[-1].table != 0).mean() + len(new) / self.filters[-1].table.size > 0.9:
-                self.filters.append(CuckooFilter(max(2 * len(new), 1024)))
-            last, before = self.filters[-1], self.filters[-1].table.copy()
+            if not self.filters or self.filters[-1].used + len(new) > 0.9 * self.filters[-1].table.size:
+                held = sum(f.table.size for f in self.filters)
+                self.filters.append(CuckooFilter(max(2 * len(new), held * 3 // 4, 1024)))
+            last = self.filters[-1]
+            before, used = last.table.copy(), last.used
             if len(last.insert(new)):  # very rare: keep these keys whole instead
-                last.table[:] = before
+                last.table[:], last.used = before, used
                 self.loose = np.union1d(self.loose, new)
 
     def delete(self, h: np.ndarray) -> None:
@@ -226,7 +252,7 @@ def _mixed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 def _insert(shard, filters, hi, lo, n):
     """Suspects: keys met again (n as it is), or that a filter took for known before they were inserted here (n = 0)."""
     unique, place = np.unique(_mixed(hi, lo), return_inverse=True)
-    here = np.isin(unique, filters.fresh)
+    here = filters.fresh.has(unique)
     known = filters.insert(unique)
     suspect = (known | (np.bincount(place, weights=n) > 1))[place]
     k = int(suspect.sum())
@@ -235,7 +261,8 @@ def _insert(shard, filters, hi, lo, n):
 
 
 def _force(shard, filters, hi, lo, n):
-    filters.force(np.setdiff1d(_mixed(hi, lo), filters.fresh))
+    new = np.unique(_mixed(hi, lo))
+    filters.force(new[~filters.fresh.has(new)])
     return
     yield
 
