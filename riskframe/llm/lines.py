@@ -337,16 +337,28 @@ class LineIndex:
         self._pass(_sharded(orphans, self.shards), _delete)
         self.version += 1
 
+    def _with_keys(self, keys: DataFrame, weight: str, how: str) -> DataFrame:
+        """References joined with distinct ``keys``; those of keys that hold over a thousandth of all ``weight`` move no reference.
+
+        There are fewer than a thousand of these, whatever the input, so they are broadcast; the rest are joined by key.
+        """
+        keys = c.checkpointed(keys)
+        most = (keys.agg(F.sum(weight)).first()[0] or 0) / 1000
+        hot, rest = keys.filter(F.col(weight) > most), keys.filter(F.col(weight) <= most)
+        held = self.references()
+        cold = held.join(F.broadcast(hot.select(*_KEY)), _KEY, "left_anti").join(rest, _KEY, how)
+        return held.join(F.broadcast(hot), _KEY, how).unionByName(cold)
+
     def repeats(self) -> DataFrame:
         """Lines that at least two documents hold: hi, lo, n_docs, first (the smallest doc_id)."""
-        suspects = self._read("filters", _SHARDED, self._every()).filter(F.col("blob").isNull()).select(*_KEY).distinct()
-        counted = self.references().join(suspects, _KEY, "left_semi").groupBy(*_KEY)
+        suspects = self._read("filters", _SHARDED, self._every()).filter(F.col("blob").isNull()).groupBy(*_KEY).agg(F.sum("n").alias("n"))
+        counted = self._with_keys(suspects, "n", "left_semi").groupBy(*_KEY)
         return counted.agg(F.count_distinct("doc_id").alias("n_docs") if self.version == 1 else F.count("*").alias("n_docs"),
                            F.min("doc_id").alias("first")).filter("n_docs >= 2")
 
     def drops(self) -> DataFrame:
         """For each document, the keys of the lines it loses."""
-        pairs = self.references().join(self.repeats(), _KEY).filter("doc_id > first").select("doc_id", *_KEY).distinct()
+        pairs = self._with_keys(self.repeats(), "n_docs", "inner").filter("doc_id > first").select("doc_id", *_KEY).distinct()
         return pairs.groupBy("doc_id").agg(F.collect_list(F.struct(*_KEY)).alias("keys"))
 
     def clean(self, docs: DataFrame) -> DataFrame:
@@ -378,16 +390,17 @@ class LineIndex:
         return joined.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, shards: int = 256) -> DataFrame:
     """All columns of ``docs`` with repeated lines dropped, and n_lines, n_dropped.
 
     A line's key is the line without outer ASCII white space, A-Z in lower case. Keys of at least ``least`` code points
     that two or more documents hold lose their lines everywhere but in the smallest doc_id that holds them.
 
     A null text counts as one empty line and stays null; a null doc_id holds no line and loses none. Rows that share a
-    doc_id are one document. Extra columns pass through. An empty table gives an empty result.
+    doc_id are one document. Extra columns pass through. An empty table gives an empty result. A shard's filters are held
+    by one task: take a shard for every few million distinct lines.
     """
-    index = LineIndex(docs.sparkSession, least=least)
+    index = LineIndex(docs.sparkSession, least=least, shards=shards)
     index.insert(docs, last=True)
     return index.clean(docs)
 

@@ -73,6 +73,16 @@ def test_line_dedup_equals_sql(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_of_every_document_and_of_two(spark):
+    """Two lines stand in all of 1,500 documents (joined as frequent keys), 600 in two each (joined by key)."""
+    rows = [(i, f"a line that all documents hold\nline number {i % 900} of two documents\nown line {i} here\nA LINE that all hold too", "s") for i in range(1500)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(frame(spark, rows), shards=3).collect()}
+    assert got[0] == (rows[0][1], 0) and len(got) == 1500
+    for i in range(1, 1500):
+        own = ([f"line number {i % 900} of two documents"] if i < 900 else []) + [f"own line {i} here"]
+        assert got[i] == ("\n".join(own), 4 - len(own))
+
+
 def test_line_index_is_reversible(spark):
     def clean(index, rows):
         return {r["doc_id"]: (r["text"], r["n_dropped"]) for r in index.clean(frame(spark, rows)).collect()}
