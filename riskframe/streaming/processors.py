@@ -241,6 +241,8 @@ class IntentMatch(StatefulProcessor):
             T.StructField("us", T.LongType()), T.StructField("row_id", T.LongType()), T.StructField("intent_type", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] is None:
+            return iter([])
         for pdf in rows:
             us = _micros(pdf["ts"])
             lists = [None if x is None else [str(p) for p in x] for x in pdf["packages"]]

@@ -158,6 +158,19 @@ def test_intents_are_used_once(spark, tmp_path):
     assert (one["tenant"], one["package"], one["intent_type"], one["intent_ts"], one["file_ts"]) == (1, chrome, "notice", at(101), at(104))
 
 
+def test_a_heartbeat_lets_the_last_files_out(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    f, i = str(tmp_path / "f"), str(tmp_path / "i")
+    fs, js = "tenant long, file_id long, path string, ts timestamp", "tenant long, intent_id long, package string, intent_type string, ts timestamp"
+    spark.createDataFrame([(1, 1, "/Download/a.pdf", at(9)), (1, 2, "/DCIM/a.jpg", at(9)), (1, 3, "/Download/b.pdf", at(3600))], fs).write.parquet(f)
+    spark.createDataFrame([(1, 10, "com.android.chrome", "tap", at(1)), (1, 11, "com.other", "tap", at(1))], js).write.parquet(i)
+    read = lambda schema, path: spark.readStream.schema(schema).parquet(path)
+    beat = st.Heartbeat(spark)
+    rows = beat.with_watermark(st.intent_rows(read(fs, f), read(js, i)))
+    got = st.run_available(st.match_intents(rows, 15), heartbeat=beat).collect()
+    assert sorted((r["file_id"], r["intent_id"]) for r in got) == [(1, 10), (2, None), (3, None)]
+
+
 def test_cached_lookup_takes_the_newest_version_before_the_event(spark, tmp_path):
     path = str(tmp_path / "v")
     at = lambda m: START + timedelta(minutes=m)
