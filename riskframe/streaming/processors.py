@@ -76,48 +76,65 @@ FRAME = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
 class Cooldown(_Ordered):
-    """Pass a row when none was passed for the key within the interval.
+    """Pass a row when none was passed for its key within the interval.
 
-    With ``content`` a row is only held back by a passed row of equal content. Of a key's rows in a batch only time, id and
-    a hash of the content are in memory together; the rows themselves wait in the state store.
+    With ``content`` a row is only held back by a passed row of equal content. ``key`` names the column with the key's digest
+    where many keys share a group; without it a group is one key. The group's passed rows are one value of the state, read and
+    written once a batch; those the watermark has made harmless are left out. Of a group's rows in a batch only time, id, key
+    number and a hash of the content are in memory together; the rows themselves wait in the state store.
     """
 
-    def __init__(self, seconds: float, ts: str = "ts", row_id: str = "id", content: str | None = None) -> None:
-        self.step, self.ts, self.row_id, self.content = int(seconds * 1_000_000), ts, row_id, content
+    def __init__(self, seconds: float, ts: str = "ts", row_id: str = "id", content: str | None = None, key: str | None = None,
+                 helpers: tuple[str, ...] = ()) -> None:
+        self.step, self.ts, self.row_id, self.content, self.key = int(seconds * 1_000_000), ts, row_id, content, key
+        self.helpers = list(helpers)  # columns that do not come out
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([
-            T.StructField("us", T.LongType()), T.StructField("content", T.StringType())]))
+        self.passed = handle.getValueState("passed", T.StructType([T.StructField("keys", T.BinaryType())]))
         self.waiting = handle.getMapState("waiting", FRAME_KEY, FRAME)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spilled, times, ids, contents, frames = Spilled(self.waiting), [], [], [], []
+        last = pickle.loads(bytes(self.passed.get()[0])) if self.passed.exists() else {}  # digest: time and content
+        number = {digest: k for k, digest in enumerate(last)}
+        held = dict(enumerate(last.values()))
+        spilled, times, ids, keys, contents, frames = Spilled(self.waiting), [], [], [], [], []
         for pdf in rows:
             times.append(_micros(pdf[self.ts]).to_numpy())
             ids.append(pdf[self.row_id].to_numpy())
-            if self.content:
-                contents.append(np.array([xxhash.xxh3_64_intdigest(str(x)) for x in pdf[self.content]], dtype=np.uint64))
+            digests = pdf[self.key] if self.key else [b""] * len(pdf)
+            keys.append(np.array([number.setdefault(bytes(x), len(number)) for x in digests], dtype=np.int64))
+            texts = (xxhash.xxh3_64_intdigest(str(x)) for x in pdf[self.content]) if self.content else [0] * len(pdf)
+            contents.append(np.array([*texts], dtype=np.uint64))
             frames.append(len(pdf))
             spilled.add(pdf)
-        us, content = np.concatenate(times), np.concatenate(contents) if self.content else None
-        order = np.lexsort((np.concatenate(ids), us))
-        at, seen = self.last.get() if self.last.exists() else (None, None)
+        us, ids, keys, contents = (np.concatenate(x) for x in (times, ids, keys, contents))
+        order = np.lexsort((ids, us, keys))
         kept = np.zeros(len(us), dtype=bool)
-        for i in order.tolist():
-            own = str(content[i]) if self.content else None
-            if at is None or us[i] - at >= self.step or own != seen:
-                at, seen, kept[i] = int(us[i]), own, True
-        self.last.update((at, seen))
-        self.forget_after((at + self.step) // 1000 + 1)
+        for i, k, at, own in zip(order.tolist(), keys[order].tolist(), us[order].tolist(), contents[order].tolist()):
+            before = held.get(k)
+            if before is None or at - before[0] >= self.step or own != before[1]:
+                held[k], kept[i] = (at, own), True
+        self.keep({digest: held[k] for digest, k in number.items()}, timerValues)
         begins = np.cumsum([0, *frames])
         for k, pdf in spilled.frames():
             own = kept[begins[k]:begins[k + 1]]
             if own.any():
-                yield pdf.loc[own]
+                yield pdf.loc[own].drop(columns=self.helpers)
+
+    def keep(self, last: dict, timerValues) -> None:
+        """Store what may still hold a row back; a timer clears the rest with the newest of it."""
+        if timerValues is not None:
+            gone = timerValues.getCurrentWatermarkInMs() * 1000
+            last = {digest: row for digest, row in last.items() if row[0] + self.step > gone}
+        if not last:
+            self.passed.clear()
+            return
+        self.passed.update((bytearray(pickle.dumps(last, protocol=5)),))
+        self.forget_after((max(at for at, _ in last.values()) + self.step) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        self.passed.clear()
         return iter([])
 
 

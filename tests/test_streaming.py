@@ -38,6 +38,31 @@ def test_repeats_over_batches(spark, landed):
     assert got == want
 
 
+def test_many_keys_share_a_group_and_stay_apart(spark, tmp_path):
+    path, at = str(tmp_path / "m"), lambda s: START + timedelta(seconds=s)
+    rows = [(1, "a", at(0), "x"), (2, None, at(1), "x"), (3, "null", at(2), "x"), (4, "a", at(59), "y"), (5, None, at(60), "x"),
+            (6, "a", at(60), "y"), (7, None, at(61), "x"), (8, "b", at(61), "x")]
+    for part in range(2):
+        spark.createDataFrame(rows[part * 4:part * 4 + 4], "id long, key string, ts timestamp, content string").coalesce(1).write.mode("append").parquet(path)
+    out = st.cooldown(stream(spark, path), ["key"], 60, buckets=1)
+    assert out.columns == ["id", "key", "ts", "content"]
+    assert sorted(r["id"] for r in st.run_available(out).collect()) == [1, 2, 3, 6, 7, 8]
+
+
+def test_a_group_is_handled_in_one_call(monkeypatch):
+    import pandas as pd
+
+    from riskframe.streaming.processors import Cooldown
+
+    n, state, cooldown = 5_000, _State(), Cooldown(600, key="_key", helpers=("_key",))
+    cooldown.init(state)
+    calls = []
+    monkeypatch.setattr(_Value, "update", lambda self, value: (calls.append(1), setattr(self, "value", value)))
+    rows = pd.DataFrame({"id": range(n), "ts": pd.to_datetime(range(n), unit="s"), "_key": [b"%d" % k for k in range(n)]})
+    assert sum(len(out) for out in cooldown.handleInputRows((0,), iter([rows]), None)) == n and len(calls) == 1
+    assert list(cooldown.handleInputRows((0,), iter([rows]), None)) == []
+
+
 def test_claims(spark, tmp_path):
     at = lambda s: START + timedelta(seconds=s)
     rows = [("u", at(0), 1, "CLAIM", "a"), ("u", at(5), 2, "CLAIM", "b"), ("u", at(11), 3, "CLAIM", "c"), ("u", at(12), 4, "CAPTURED", "c"),
