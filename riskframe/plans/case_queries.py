@@ -14,6 +14,7 @@ from riskframe.plans.datasets import (
 )
 from riskframe.plans.registry import query
 from riskframe.plans.sqltext import in_list
+from riskframe.session import checkpointed
 
 _USABLE = f"""i AS ({INDICATOR_SQL}), c AS ({CASE_SQL}),
 u AS (SELECT DISTINCT * FROM i WHERE normalized_value <> '' AND NOT {in_list('normalized_value', lx.UBIQUITOUS_VALUES)})"""
@@ -103,7 +104,7 @@ SELECT seen.campaign_id, member_case_count, first_member, epoch(a)::BIGINT AS fi
   CASE k WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, concat('Campaign ', left(normalized_value, 20)) AS campaign_name
 FROM seen JOIN best ON seen.campaign_id = best.campaign_id AND rn = 1""")
 def campaign_summary(spark, sf):
-    ind = indicators(spark, sf)
+    ind = checkpointed(indicators(spark, sf))
     out = cp.campaign_summary(cp.campaigns(ind), case_verdicts(spark, sf), ind)
     return out.withColumns({"first_seen": F.unix_timestamp("first_seen"), "last_seen": F.unix_timestamp("last_seen")})
 
@@ -135,7 +136,7 @@ FROM c LEFT JOIN ip USING (case_id) LEFT JOIN ur USING (case_id) LEFT JOIN fl US
 
 @query("case_graph", _GRAPH)
 def case_graph(spark, sf):
-    ind, cases = indicators(spark, sf), case_verdicts(spark, sf)
+    ind, cases = checkpointed(indicators(spark, sf)), case_verdicts(spark, sf)  # read six times below
     rel = co.correlate(ind, cases)
     mem = cp.campaigns(ind).withColumns({"campaign_name": F.lit(None).cast("string"), "confidence": F.lit("HIGH")})
     first_ip = ind.filter("indicator_type = 'origin_ip'").groupBy("case_id").agg(F.min("normalized_value").alias("origin_ip"))

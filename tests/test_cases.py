@@ -136,3 +136,18 @@ def test_search_treats_wildcards_as_text(spark):
     assert [r["case_id"] for r in cs.search_cases(df, query="%_").collect()] == ["c1"]
     assert cs.search_cases(df, domain="X.com").first()["sender"] == "b***@x.com"
     assert cs.search_cases(df, verdict="safe", category="safe").count() == 1
+
+
+def test_indicators_of_a_graph_are_worked_out_once(spark, monkeypatch):
+    from riskframe.plans import case_queries as cq
+
+    count, indicators = spark.sparkContext.accumulator(0), cq.indicators
+
+    def counted(session, sf):
+        found = indicators(session, sf)
+        return session.createDataFrame(found.rdd.map(lambda r: (count.add(1), r)[1]), found.schema)
+
+    monkeypatch.setattr(cq, "indicators", counted)
+    sf = "/root/testdata/sf0.001"
+    cases = cq.case_graph(spark, sf).count()
+    assert cases == cq.case_verdicts(spark, sf).count() and count.value == indicators(spark, sf).count()
