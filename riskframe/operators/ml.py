@@ -14,20 +14,45 @@ from pyspark.sql import functions as F
 from riskframe import lexicons as lx
 from riskframe.functions.urls import lexical_features
 from riskframe.operators.ordered import global_rank, running_sums
+from riskframe.session import checkpointed
 
 
-def tfidf(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: So many terms, or shared ids, are sent to every executor; more of them are joined by a shuffle.
+LISTED = 500_000
+
+
+def _term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``row_id, term, tf`` of each row by itself: its sorted words are cut into runs, without a shuffle."""
+    words = df.select(row_id, F.sort_array(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")).alias("_words"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)))
+    word = lambda i: F.get("_words", i)
+    begins = words.withColumn("_begins", F.filter(places, lambda i: (i < F.size("_words")) & ((i == 0) | (word(i) != word(i - 1)))))
+    runs = F.transform("_begins", lambda at, k: F.struct(
+        word(at).alias("term"), (F.coalesce(F.get("_begins", k + 1), F.size("_words")) - at).cast("long").alias("tf")))
+    # An inner explode would work its input out a second time, to filter on its size.
+    return begins.select(row_id, F.explode_outer(runs).alias("_r")).select(row_id, "_r.term", "_r.tf").filter("term IS NOT NULL")
+
+
+def tfidf(df: DataFrame, row_id: str = "doc_id", text: str = "text", listed: int = LISTED) -> DataFrame:
     """Rows ``row_id, term, tf, df, weight`` with ``weight = tf * ln((n + 1) / (df + 1))``, for every term of every id.
 
-    Terms are the lower-cased runs of word characters. They are counted by id and by term with aggregates; no
-    vocabulary is built, so none is left out. ``n`` counts all rows, also those without a term; rows that share an id
-    count as one document of theirs.
+    Terms are the lower-cased runs of word characters. They are counted inside the row; only rows that share an id meet in a
+    shuffle. The rows of a term are counted and written first. Up to ``listed`` terms are broadcast, so the counts do not
+    move; of more terms none is left out, the counts are shuffled to them. ``n`` counts all rows, also those without a
+    term; rows that share an id count as one document of theirs.
     """
-    words = df.select(row_id, F.explode(F.split(F.lower(text), r"\W+")).alias("term")).filter("term != ''")
-    counts = words.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    small = lambda part: F.broadcast(part) if part.count() <= listed else part.hint("shuffle_hash")
+    shared = checkpointed(df.groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("_id"))
+    if shared.isEmpty():
+        counts = _term_counts(df, row_id, text)
+    else:
+        ids = small(shared)
+        same = F.col(row_id).eqNullSafe(F.col("_id"))
+        met = _term_counts(df.join(ids, same, "left_semi"), row_id, text).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"))
+        counts = _term_counts(df.join(ids, same, "left_anti"), row_id, text).unionByName(met)
+    seen = checkpointed(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     total = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    joined = counts.join(seen, "term").crossJoin(F.broadcast(total))
+    joined = counts.join(small(seen), "term").crossJoin(F.broadcast(total))
     weight = F.col("tf") * F.log((F.col("_n") + 1.0) / (F.col("df") + 1.0))
     return joined.select(row_id, "term", "tf", "df", weight.alias("weight"))
 

@@ -45,3 +45,18 @@ def test_grid_search_equals_a_loop_over_the_folds(spark):
     assert [n for n in got if got[n]["is_best"]] == [max(want, key=lambda n: (want[n], -n))]
     assert fitted.bestModel.getNumTrees == max(want, key=lambda n: (want[n], -n))
     rows.unpersist()
+
+
+def test_counts_of_terms_do_not_move_to_their_document(spark):
+    rows = spark.createDataFrame([(1, "B a b"), (2, "a"), (3, ""), (4, None)], "doc_id long, text string")
+    plan = ml.tfidf(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_rows_of_one_id_are_one_document_however_the_terms_are_joined(spark):
+    rows = [(1, "B a b"), (1, "b; c"), (2, "a"), (None, "a x"), (None, "x x"), (3, "--"), (4, None), (5, "a" + " b" * 30_000)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "b"): (3, 2), (1, "a"): (1, 4), (1, "c"): (1, 1), (2, "a"): (1, 4), (None, "a"): (1, 4), (None, "x"): (3, 1), (5, "a"): (1, 4), (5, "b"): (30_000, 2)}
+    for listed in (0, 1, 100):
+        got = {(r["doc_id"], r["term"]): (r["tf"], r["df"]) for r in ml.tfidf(rows, listed=listed).collect()}
+        assert got == want
