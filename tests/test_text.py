@@ -111,3 +111,13 @@ def test_vocabulary_and_encoding(spark):
     assert ids["a"] == 2 and set(ids) == {"a", "b", "c", "zz"}
     coded = {r["id"]: r["token_ids"] for r in encode_tokens(docs, vocab.filter("token <> 'zz'"), "id", width=5).collect()}
     assert coded[2][:3] == [2, ids["c"], 1] and coded[2][3:] == [0, 0]
+
+
+def test_digests_of_mail_come_without_a_join(spark):
+    from riskframe.plans.datasets import mail
+
+    sf = "/root/testdata/sf0.001"
+    rows = mail(spark, sf, "array(sha2(text, 256)) AS attachment_hashes")
+    texts = {r["doc_id"]: r["h"] for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "sha2(text, 256) AS h").collect()}
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r["email_id"]: r["attachment_hashes"] for r in rows.select("email_id", "attachment_hashes").collect()} == {k: [h] for k, h in texts.items()}
